@@ -1,7 +1,7 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
-from veriledger.llm import decontaminate, langid, substrings
+from veriledger.llm import decontaminate, divergence, langid, log_bloom, ngram_join, packing, pseudonyms, substrings, url_filter
 
-_MODULES = (langid, substrings, decontaminate)
+_MODULES = (ngram_join, pseudonyms, packing, langid, log_bloom, substrings, divergence, url_filter, decontaminate)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in getattr(m, "SQL", {}).items()}
