@@ -13,7 +13,6 @@ rows get equal results; an empty table on either side gives no hits.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,16 +141,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int
     if len(parts) == 1:
         return parts[0]
     # more blocks: merge what each found by the document's row, told apart by a digest of all that the result depends on
-    every = parts[0].withColumn("_block", F.lit(0))
-    for n, p in enumerate(parts[1:], 1):
-        every = every.unionByName(p.withColumn("_block", F.lit(n)))
-    key = ["doc_id", "n_words", "_text", *[c for c in keep if c != "doc_id" and c != "text"]]
-    merged = every.withColumn("_text", F.xxhash64("text") if "text" in keep else F.col("_digest"))
-    merged = merged.groupBy(*key).agg(
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    key = ["doc_id", "n_words", "_digest", *[c for c in keep if c != "doc_id"]]
+    merged = every.groupBy(*key).agg(
         F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        (F.count("*") / len(parts)).cast("int").alias("_copies"), *([F.first("text").alias("text")] if "text" in keep else []),
+        (F.count("*") / len(parts)).cast("int").alias("_copies"),
     )
-    merged = merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copy", "_copies", "_text")
+    merged = merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copy", "_copies")
     return _union_spans(merged)
 
 
@@ -204,9 +202,8 @@ def _against(source: DataFrame, sent, keep) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents without any hit, with their columns; null texts have no words and stay."""
-    columns = docs.columns
-    kept = find_hits(docs, benchmark, keep=tuple(columns), **options)
-    return kept.where(F.size("hit_spans") == 0).select(*columns)
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return find_hits(rows, benchmark, keep=("_row",), **options).where(F.size("hit_spans") == 0).select("_row.*")
 
 
 def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, keep: tuple[str, ...] | Non
     """The columns in keep (all by default), lang_pred and score (0 to 1: 1 for a text with the very profile of its language)."""
     spark = docs.sparkSession
     small_batches(spark)
-    keep = tuple(docs.columns) if keep is None else keep
+    keep = tuple(c for c in docs.columns if c not in ("lang_pred", "score")) if keep is None else keep
     sent = spark.sparkContext.broadcast(profiles)
     source = docs.select(*keep, F.col("text").alias("_judged"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", lang_pred string, score double"

@@ -4,14 +4,14 @@ A document is its set of distinct word n-grams. Two documents link when 100 * |A
 
 1. Which n-grams does more than one document hold? Packed hashes answer that over the whole corpus (exchange.py).
    A document that links to another shares at least percent of its n-grams, so all others leave here, alone in their class.
-2. The global order puts n-grams that one document holds first, then the rest by hash. Linked documents share an n-gram within the
-   first |A| - ceil(percent/100 |A|) + 1; documents that do, and whose sizes allow a link, form families.
+2. The global order puts n-grams that one document holds first, then the rest from rare to frequent, then by hash. Linked documents
+   share an n-gram within the first |A| - ceil(percent/100 |A|) + 1; documents that do, and whose sizes allow a link, form families.
 3. Each family's sets go into a trie in the global order. Every document walks the trie, adding up its overlap along shared
    paths once, and leaves subtrees whose sizes or remaining lengths cannot reach the threshold, or whose documents
    are in its class already. Families of more than ``block_tokens`` are split: blocks are joined within, their main
    classes are linked, and what lies outside the family's main class is then joined with every block.
 
-Equal sets are joined once, through a representative. Links are decided on 46-bit n-gram ids.
+Equal sets are joined once, through a representative. Links are decided on n-gram ids of 40 bits and a bucket.
 
 Defined results: a document without words (null, empty) has no n-grams and links with nothing; with fewer words than n, the whole
 sequence is its one n-gram; a null doc_id links with nothing and keeps a null class; rows that repeat a doc_id are one document
@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 
 from veriledger.llm import exchange as X
 from veriledger.llm import kernels as K
+from veriledger.llm import small_ints as small
 from veriledger.llm.components import components
 from veriledger.llm.storage import materialise, small_batches
 from veriledger.llm.substrings import load, save
 
 NGRAM, PERCENT = 5, 75
 BLOCK_TOKENS = 2_000_000
-TOKEN_BYTES = 6
+TOKEN_BYTES = 8
+#: Rows of n-grams that a chunk holds in several documents; single ones are X.ASK.
+ASK_MANY = 6
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,30 +72,99 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 SETS = "doc_id long, n_shingles long, tokens binary"
 
 
+def place_of(df: np.ndarray, bucket: np.ndarray | int, low: np.ndarray) -> np.ndarray:
+    """An n-gram's id, which is its place in the global order: frequency (in steps of a fourth root of two), bucket, hash."""
+    level = np.minimum(63, (4 * np.log2(np.maximum(df, 1))).astype(np.int64))
+    return level << 57 | np.int64(bucket) << 40 | low.astype(np.int64)
+
+
+def _blobs(table: pa.Table, kind: int) -> list[tuple]:
+    return [r for r in zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", "h", "r")), strict=True) if r[1] == kind]
+
+
+def _frequencies(table: pa.Table) -> pa.Table:
+    """One bucket: how many documents hold each n-gram, answered for those that more than one holds."""
+    bucket = table.column("bucket")[0].as_py()
+    single, many = _blobs(table, X.ASK), _blobs(table, ASK_MANY)
+    hs, hm = [X.unpack(r[2], 5) for r in single], [X.unpack(r[2], 5) for r in many]
+    out: list[tuple] = []
+    if hs or hm:
+        h = np.concatenate([*hs, *hm])
+        n = np.concatenate([*(np.ones(len(x), np.int64) for x in hs), *(small.ints(r[3]) for r in many)])
+        distinct, where = np.unique(h, return_inverse=True)
+        df = np.bincount(where, n, len(distinct)).astype(np.int64)[where]
+        at = 0
+        for (chunk, _, _, refs), own in zip(single, hs, strict=True):
+            mine = df[at : at + len(own)]
+            twice = mine > 1
+            if twice.any():
+                out.append((bucket, chunk, X.ANSWER, X.pack(own[twice], 5), np.frombuffer(refs, "<u2")[twice].tobytes(), small.small_ints(mine[twice])))
+            at += len(own)
+        for (chunk, _, _, _), own in zip(many, hm, strict=True):
+            out.append((bucket, chunk, ASK_MANY, None, None, small.small_ints(df[at : at + len(own)])))
+            at += len(own)
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    answers = pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["bucket", "chunk", "kind", "h", "r", "t"])
+    kept = table.filter(pa.array([k == X.SKELETON for k in table.column("kind").to_pylist()], pa.bool_()))
+    return pa.concat_tables([kept.cast(answers.schema), answers])
+
+
 def shared_sets(docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, and tokens: the ids of n-grams that other documents hold too, ascending, if they are enough for a link."""
     small_batches(docs.sparkSession)
-    n_buckets = X.buckets(docs.sparkSession)
+    n_buckets = min(X.buckets(docs.sparkSession), 1 << 16)
 
     def ask(batches):
         chunks = X.Chunks()
         for batch in batches:
             for part, data, offsets in K.steps(batch, limit=X.CHUNK_BYTES):
+                chunk = chunks.new()
                 h, d, sizes = sets_of(data, offsets, n)
-                rows, same = X.asks(chunks.new(), h, d, n_buckets, 5, "<u2", b"")
+                first = np.ones(len(h), bool)
+                first[1:] = h[1:] != h[:-1]
+                runs = np.diff(np.append(np.flatnonzero(first), len(h)))
+                alone = np.repeat(runs == 1, runs)
+                rows: dict[str, list] = {c: [] for c in ("bucket", "kind", "h", "r", "t")}
+
+                def add(bucket, kind, hashes=None, refs=None, t=None):
+                    for name, value in zip(rows, (bucket, kind, hashes, refs, t), strict=True):
+                        rows[name].append(value)
+
+                one, one_doc, some, some_n = h[alone], d[alone].astype("<u2"), h[first & ~alone], runs[runs > 1]
+                cuts = np.searchsorted(X.bucket_of(one, n_buckets), np.arange(n_buckets + 1))
+                cuts_some = np.searchsorted(X.bucket_of(some, n_buckets), np.arange(n_buckets + 1))
+                for b in range(n_buckets):
+                    s, m = slice(cuts[b], cuts[b + 1]), slice(cuts_some[b], cuts_some[b + 1])
+                    if s.start < s.stop:
+                        add(b, X.ASK, X.pack(one[s], 5), one_doc[s].tobytes())
+                    if m.start < m.stop:
+                        add(b, ASK_MANY, X.pack(some[m], 5), small.small_ints(some_n[m]))
                 ids = part.column(0)
-                skeleton = save(
+                add(chunk % n_buckets, X.SKELETON, t=save(
                     ids=ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null=np.asarray(ids.is_null()), sizes=sizes,
-                    tokens=(X.bucket_of(h[same], n_buckets) << 40) | (h[same] & X.LOW40).astype(np.int64), docs=d[same].astype("<u2"),
+                    some=some, runs=some_n, docs=d[~alone].astype("<u2"), n_buckets=np.int64(n_buckets),
+                ))
+                k = len(rows["kind"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows["bucket"], pa.int32()), pa.array([chunk] * k, pa.int64()), pa.array(rows["kind"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in ("h", "r", "t")]],
+                    ["bucket", "chunk", "kind", "h", "r", "t"],
                 )
-                columns = rows.columns
-                columns[5] = pa.array([*[None] * (rows.num_rows - 1), skeleton], pa.binary())
-                yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
-
-    def build(skeleton, rows):
-        s = load(skeleton)
-        tokens = np.concatenate([s["tokens"], *[(b << 40) | X.unpack(h, 5).astype(np.int64) for b, h, _ in rows]])
-        of = np.concatenate([s["docs"].astype(np.int64), *[np.frombuffer(r, "<u2").astype(np.int64) for _, _, r in rows]])
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "h", "r", "t")), strict=True))
+        s = load(next(r[4] for r in rows if r[0] == X.SKELETON))
+        tokens, of = [], []
+        for kind, b, h, r, t in rows:
+            if kind == X.ANSWER:
+                tokens.append(place_of(small.ints(t), b, X.unpack(h, 5)))
+                of.append(np.frombuffer(r, "<u2").astype(np.int64))
+        told = sorted((b, t) for kind, b, _, _, t in rows if kind == ASK_MANY)
+        if told:
+            df = np.concatenate([small.ints(t) for _, t in told])
+            tokens.append(np.repeat(place_of(df, X.bucket_of(s["some"], int(s["n_buckets"])), s["some"] & X.LOW40), s["runs"]))
+            of.append(s["docs"].astype(np.int64))
+        tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+        of = np.concatenate(of) if of else np.zeros(0, np.int64)
         order = np.lexsort((tokens, of))
         tokens, cuts, sizes = tokens[order], np.searchsorted(of[order], np.arange(len(s["ids"]) + 1)), s["sizes"]
         enough = (np.diff(cuts) >= needed(sizes, percent)) & (sizes > 0) & ~s["null"]
@@ -102,7 +174,7 @@ def shared_sets(docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT) -> D
         ], names=["doc_id", "n_shingles", "tokens"])
 
     asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ask, X.SCHEMA)
-    return X.assemble(X.answer(asked, width=5, ref="<u2", with_hashes=True), build, SETS)
+    return asked.groupBy("bucket").applyInArrow(_frequencies, X.SCHEMA).groupBy("chunk").applyInArrow(build, SETS)
 
 
 class Classes:
@@ -335,8 +407,9 @@ def classes(sets: DataFrame, *, percent: int = PERCENT, block_tokens: int = BLOC
     # what is outside the family's main class meets every block
     main = split.groupBy("family", "label").count().groupBy("family").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("main"))
     apart = split.join(main, "family").where("label <> main")
-    chunk = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("n_blocks"))
-    probes = apart.select("family", "n_blocks", chunk.alias("chunk"), "doc_id", "n_shingles", "tokens", "label").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    chunks = apart.groupBy("family").agg(F.ceil(F.sum(n_tokens) / block_tokens).cast("int").alias("n_chunks"))
+    chunk = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("n_chunks"))
+    probes = apart.join(chunks, "family").select("family", "n_blocks", chunk.alias("chunk"), "doc_id", "n_shingles", "tokens", "label").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     probes = probes.withColumn("part", F.concat_ws("/", "family", "block", "chunk"))
     asked = probes.select("family", "block", "part").distinct()
     members = split.join(asked, ["family", "block"]).select("part", "doc_id", "n_shingles", "tokens", F.col("label").alias("known"))

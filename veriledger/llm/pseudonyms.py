@@ -6,7 +6,8 @@ The network adds a keyed round function of one part to the other, modulo the oth
 no cycle walking is needed. The permutation depends only on key, kind and domain: equal values get equal pseudonyms in all documents,
 whatever separators they are written with, and the key holder can undo them.
 
-Kinds, in the order in which an overlap is settled: email (letters and digits before the @), iban, card, ip, ssn, phone, date.
+Kinds, in the order in which an overlap is settled: secret (keys, tokens and passwords, each character within its class), email (letters and
+digits before the @), iban, card, ip, ssn, phone, date.
 Dates stay within DATES; ISO, day/month and month/day forms keep their form. Numbers that do not validate stay as they are.
 
 Defined results: null text stays null, empty stays empty, no value found leaves the text as it is; a value next to letters or digits
@@ -30,6 +31,7 @@ ROUNDS = 10
 DATES = (datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal())
 _EDGE, _END = r"(?<![\w.+-])", r"(?![\w])"
 PATTERNS = {
+    "secret": r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,}=*)",
     "email": r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)",
@@ -134,6 +136,9 @@ def _date(shape: str) -> tuple[datetime.date, str] | None:
 
 def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | None:
     """The text's pseudonym (or, back, the original), None if it does not validate."""
+    if kind == "secret":
+        head = re.match(r"AKIA|.*?[=:][\s\"']*", text, re.DOTALL)[0]
+        return head + _letters(f, "secret", text[len(head) :], back)
     if kind == "email":
         local, _, domain = text.partition("@")
         return _letters(f, "email/" + domain.lower(), local, back) + "@" + domain
@@ -196,7 +201,7 @@ def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | Non
 
 _MDY = [o - DATES[0] for o in range(*DATES) if datetime.date.fromordinal(o).day > 12]
 _MDY_PLACE = {o: i for i, o in enumerate(_MDY)}
-_SOME = re.compile(r"[0-9@]")
+_SOME = re.compile(r"[0-9@]|[=:]")
 
 
 def replace(f: Feistel, text: str, memo: dict | None = None) -> tuple[str, list[dict]]:
