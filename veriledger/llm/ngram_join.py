@@ -34,6 +34,7 @@ from veriledger.llm.substrings import load, save
 
 NGRAM, PERCENT = 5, 75
 BLOCK_TOKENS = 2_000_000
+SALTS = 16
 TOKEN_BYTES = 8
 #: Rows of n-grams that a chunk holds in several documents; single ones are X.ASK.
 ASK_MANY = 6
@@ -425,9 +426,10 @@ def link(docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT, block_token
     near = all_sets.where("tokens IS NOT NULL")
     # equal sets: only those that other documents share in full can have equals
     print_ = F.when(F.length("tokens") == TOKEN_BYTES * F.col("n_shingles"), F.sha2("tokens", 256)).otherwise(F.concat_ws("/", "doc_id", F.sha2("tokens", 256), "n_shingles"))
-    near = near.withColumn("print", print_)
-    first = near.groupBy("print").agg(F.min("doc_id").alias("first"))
-    copies = materialise(near.select("doc_id", "print").join(first, "print").select("doc_id", "first"))
+    # a set that very many documents have is met in SALTS places
+    near = near.withColumn("print", print_).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    first = near.groupBy("print").agg(F.min("doc_id").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = materialise(near.select("doc_id", "print", "salt").join(first, ["print", "salt"]).select("doc_id", "first"))
     heads = materialise(near.select("doc_id", "n_shingles", "tokens").join(copies.where("doc_id = first").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "tokens"]))
     roots = materialise(classes(heads, percent=percent, block_tokens=block_tokens))
     label = copies.join(roots.groupBy(F.col("doc_id").alias("head")).agg(F.min("root").alias("root")), F.col("first") == F.col("head"), "left")
