@@ -195,12 +195,12 @@ def large_ledger(spark: SparkSession, accounts: int, transfers_each: int = 10, *
     rows = ids.select(
         name(F.col("id")).alias("account_id"), F.lit("LEGITIMATE").alias("account_type"), F.concat(F.lit("Holder "), F.col("id").cast("string")).alias("holder_name"),
         F.array(F.concat(F.lit("DEV-"), F.floor(uniform("d") * accounts * devices_each).cast("string"))).alias("device_ids"),
-        F.timestampadd("DAY", -(1 + uniform("o") * 2000).cast("int"), base).alias("opened_at"), F.round(uniform("k"), 3).alias("kyc_risk_score"),
+        F.timestamp_add("DAY", -(1 + uniform("o") * 2000).cast("int"), base).alias("opened_at"), F.round(uniform("k"), 3).alias("kyc_risk_score"),
     )
     sent = ids.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(transfers_each))))
     salted = lambda tag: F.pmod(F.xxhash64("id", "n", F.lit(seed), F.lit(tag)), F.lit(1 << 40)) / float(1 << 40)
     moves = sent.select(
         name(F.col("id")).alias("src"), name(F.floor(salted("t") * accounts)).alias("dst"), F.round(500 + salted("a") * 90_000, 2).alias("amount"),
-        F.timestampadd("SECOND", (salted("s") * 86400 * 30).cast("int"), base).alias("executed_at"), F.when(salted("c") < 0.5, "UPI").otherwise("NEFT").alias("channel"),
+        F.timestamp_add("SECOND", (salted("s") * 86400 * 30).cast("int"), base).alias("executed_at"), F.when(salted("c") < 0.5, "UPI").otherwise("NEFT").alias("channel"),
     ).where("src <> dst")
     return Ledger(rows, last_write_wins(moves))
