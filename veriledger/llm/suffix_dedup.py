@@ -8,10 +8,10 @@ A string of ``length`` bytes is removed wherever it occurs if it starts at two o
 2. Each anchor's hash is asked for over the corpus (exchange.py): held once; always in the same context; or in different ones.
    Once: nothing repeats here. Same context: it is one string with several places, and all of its windows repeat. Equal contexts are
    sorted as one.
-3. Different contexts of an anchor are gathered, equal ones once, with the anchor as a single symbol of its own: a string of the given
-   length around the anchor is a string of ``window`` symbols. All contexts of a bucket are joined to a text, its suffixes are
-   sorted by linear grouping (gsaca.py), and strings that neighbours in the suffix array have in common repeat. Contexts whose best matches on
-   both sides together are too short leave before.
+3. Different contexts of an anchor are gathered, equal ones once, with the anchor as a single symbol of its own and bytes that stand or
+   fall together as one symbol. They are joined to a text, its suffixes are sorted by linear grouping (gsaca.py), and what neighbours
+   in the suffix array have in common, the anchor included, repeats. Contexts whose best matches on both sides together are too
+   short leave before.
 
 Defined results: null text is empty; texts shorter than length keep all bytes; strings are judged on the input; a repeated row
 counts as another occurrence; kept bytes may end within a character; an empty table gives none.
@@ -33,7 +33,7 @@ from veriledger.llm.substrings import load, save, with_row_key
 
 LENGTH, WINDOW = 200, 61
 #: Contexts that one suffix array holds; a group of more is sorted in one array of its own.
-MOST_CONTEXTS = 4000
+MOST_CONTEXTS = 8000
 SIDE = WINDOW - 1
 STEP = 2 << 20
 
@@ -238,16 +238,25 @@ def _best(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
+def _cuts(rows: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Sorted group * 64 + n for all n > 0 such that two rows of the group part after n bytes, or a document ends there."""
+    order = np.lexsort((np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), group))
+    r, g = rows[order], group[order]
+    shared = np.cumprod(r[1:] == r[:-1], axis=1).sum(1)
+    inside = g[1:] == g[:-1]
+    found = np.concatenate([g[1:][inside] * 64 + shared[inside], group[size < SIDE] * 64 + size[size < SIDE]])
+    return np.unique(found[found % 64 > 0])
+
+
 def repeated_windows(around: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> np.ndarray:
     """For distinct contexts, the offsets (bits) of windows that another context of the same group has too. group ascends."""
     bits = np.zeros(len(group), np.uint64)
     if len(group) < 2:
         return bits
-    keep = _best(around[:, :SIDE][:, ::-1], group) + _best(around[:, SIDE:], group) >= SIDE
-    chosen = np.flatnonzero(keep)
-    # those alone in their group now have no partner
-    alone = np.bincount(group[chosen], minlength=group.max() + 1)[group[chosen]] < 2 if len(chosen) else np.zeros(0, bool)
-    chosen = chosen[~alone]
+    before, after = np.ascontiguousarray(around[:, :SIDE][:, ::-1]), np.ascontiguousarray(around[:, SIDE:])
+    chosen = np.flatnonzero(_best(before, group) + _best(after, group) >= SIDE)
+    if len(chosen):  # those alone in their group now have no partner
+        chosen = chosen[np.bincount(group[chosen], minlength=group.max() + 1)[group[chosen]] > 1]
     begin = 0
     while begin < len(chosen):
         end = min(begin + MOST_CONTEXTS, len(chosen))
@@ -257,34 +266,70 @@ def repeated_windows(around: np.ndarray, left: np.ndarray, right: np.ndarray, gr
             if end == begin:
                 end = int(np.searchsorted(group[chosen], group[chosen[begin]], "right"))
         own = chosen[begin:end]
-        bits[own] = _sorted_windows(around[own], left[own], right[own], np.unique(group[own], return_inverse=True)[1])
+        bits[own] = _sorted_windows(before[own], after[own], left[own], right[own], np.unique(group[own], return_inverse=True)[1])
         begin = end
     return bits
 
 
-def _sorted_windows(around: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> np.ndarray:
-    n, width = len(group), 2 * SIDE + 2
-    text = np.empty((n, width), np.int64)
-    text[:, 0] = 1
-    text[:, 1 : SIDE + 1] = around[:, :SIDE] + 3
-    text[:, SIDE + 1] = 260 + group
-    text[:, SIDE + 2 :] = around[:, SIDE:] + 3
-    flat = text.ravel()
-    order = suffix_array(flat)
-    row, column = np.divmod(order, width)
-    offset = column - 1
-    # a window of WINDOW symbols from here has the anchor in it and no byte beyond the document
-    fine = (offset >= SIDE - left[row]) & (offset <= right[row]) & (offset >= 0) & (offset <= SIDE)
-    pair = np.flatnonzero(fine[1:] & fine[:-1] & (group[row[1:]] == group[row[:-1]]) & (offset[1:] == offset[:-1]))
-    windows = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)
-    equal = np.empty(len(pair), bool)
-    for a in range(0, len(pair), 100_000):
-        p = pair[a : a + 100_000]
-        equal[a : a + 100_000] = (windows[order[p]] == windows[order[p + 1]]).all(1)
-    pair = pair[equal]
+def _sorted_windows(before: np.ndarray, after: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Through the suffix array of all contexts, written from the outside in and out again with the anchor in between.
+
+    Bytes between two places at which rows of a group part stand or fall together, so they are one symbol: that of all
+    bytes from the anchor to the farther place. before: bytes left of the anchor, nearest first; after: bytes right of it.
+    """
+    n = len(group)
+    text, cut_at = [], []
+    lengths = []
+    for rows, size in ((before, left), (after, right)):
+        cuts = _cuts(rows, size, group)
+        low, high = np.searchsorted(cuts, group * 64), np.searchsorted(cuts, group * 64 + size, "right")
+        context = np.repeat(np.arange(n), high - low)
+        at = K.ranges(low, high)
+        value = cuts[at] % 64
+        prefix = K.prefix_hash(rows.ravel())
+        text.append(K.span_hash(prefix, context * SIDE, context * SIDE + value))
+        cut_at.append(value)
+        lengths.append(high - low)
+    n_left, n_right = lengths
+    width = n_left + n_right + 2
+    begin = np.concatenate(([0], np.cumsum(width)))
+    flat, bytes_at = np.zeros(begin[-1], np.uint64), np.zeros(begin[-1], np.int64)
+    anchor = begin[:-1] + n_left
+    # nearest symbols are next to the anchor on both sides
+    inner = np.arange(len(cut_at[0])) - np.repeat(np.concatenate(([0], np.cumsum(n_left)[:-1])), n_left)
+    place = np.repeat(anchor, n_left) - 1 - inner
+    flat[place], bytes_at[place] = K.mix(text[0] + K.U64(1)), cut_at[0]
+    outer = np.arange(len(cut_at[1])) - np.repeat(np.concatenate(([0], np.cumsum(n_right)[:-1])), n_right)
+    place = np.repeat(anchor, n_right) + 1 + outer
+    flat[place], bytes_at[place] = K.mix(text[1] + K.U64(2)), cut_at[1]
+    flat[anchor] = K.mix(group.astype(np.uint64) + K.U64(3 << 32))
+    symbols = np.unique(flat, return_inverse=True)[1]
+    order = suffix_array(symbols)
+    context = np.repeat(np.arange(n), width)
+    # suffixes that start left of the anchor or at it, beside a neighbour whose anchor is as near
+    to_anchor = anchor[context] - np.arange(len(flat))
+    a, b = order[:-1], order[1:]
+    fine = (to_anchor[a] >= 0) & (to_anchor[a] == to_anchor[b]) & (group[context[a]] == group[context[b]])
+    a, b = a[fine], b[fine]
+    common = np.zeros(len(a), np.int64)
+    most = np.minimum(to_anchor[a] + 1 + n_right[context[a]], to_anchor[b] + 1 + n_right[context[b]])
+    open_ = np.arange(len(a))
+    step = 0
+    while len(open_):
+        open_ = open_[most[open_] > step]
+        open_ = open_[symbols[a[open_] + step] == symbols[b[open_] + step]]
+        common[open_] = step = step + 1
+    beyond = common - to_anchor[a] - 1
+    a, b, beyond = a[beyond >= 0], b[beyond >= 0], beyond[beyond >= 0]
     bits = np.zeros(n, np.uint64)
-    for p in (pair, pair + 1):
-        np.bitwise_or.at(bits, row[p], np.uint64(1) << offset[p].astype(np.uint64))
+    for start in (a, b):
+        own = context[start]
+        l = np.where(to_anchor[start] > 0, bytes_at[start], 0)
+        r = np.where(beyond > 0, bytes_at[anchor[own] + beyond], 0)
+        low, high = SIDE - l, r
+        some = low <= high
+        mask = ((K.U64(1) << (high[some] + 1).astype(np.uint64)) - K.U64(1)) & ~((K.U64(1) << low[some].astype(np.uint64)) - K.U64(1))
+        np.bitwise_or.at(bits, own[some], mask)
     return bits
 
 
