@@ -136,7 +136,39 @@ def assess(docs: DataFrame, **options) -> DataFrame:
 
 def op8_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return assess(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    shown = [F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")]
+    return assess(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *shown)
 
 
 QUERIES = {"op8_distribution_divergence": op8_distribution_divergence}
+
+
+def _sql() -> str:
+    vocabulary = _named(())
+    quoted = ", ".join(f"'{w}'" for w in vocabulary)
+    languages = ", ".join(f"'{n}'" for n in COMMON_WORDS)
+    share = "(CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / (p + q)) ELSE 0 END)"
+    js = f"sqrt(greatest(0, sum(({share.format('p')} + {share.format('q')}) / 2)))"
+
+    def nearest(name, counts, total):
+        return f"""{name}_l AS (SELECT k, lang, {total} AS total, unnest(range(1, len({counts}) + 1)) AS i, unnest({counts}) AS c FROM f),
+{name}_q AS (SELECT lang, i, sum(c) / sum(total) AS q FROM {name}_l WHERE lang IN ({languages}) GROUP BY lang, i HAVING sum(total) > 0),
+{name}_d AS (SELECT k, min(d) AS d FROM (SELECT k, x.lang, {js} AS d FROM (SELECT {name}_l.k, {name}_q.lang, c / greatest(total, 1) AS p, q FROM {name}_l JOIN {name}_q USING (i)) x GROUP BY k, x.lang) GROUP BY k)"""
+
+    return rf"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT k, i, list_slice(w, i, i + 7) AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i) WHERE len(w) >= 8),
+rw AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY k, s) AS c FROM g) WHERE c > 1) GROUP BY k),
+ln AS (SELECT k, count(*) - count(DISTINCT l) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY k),
+e AS (SELECT d.k, doc_id, lang, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, length(regexp_replace(text, '[^{SYMBOLS}]+', '', 'g')) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words,
+  length(regexp_replace(text, '\PL+', '', 'g')) AS le, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS up, length(regexp_replace(text, '\P{{Nd}}+', '', 'g')) AS di,
+  list_transform([{quoted}], lambda v: len(list_filter(w, lambda x: lower(x) = v))) AS common FROM d LEFT JOIN rw USING (k) LEFT JOIN ln USING (k)),
+f AS (SELECT *, [le - up, up, di, n_symbols, greatest(word_chars - le - di - n_symbols, 0)] AS chars, list_append(common, n_words - list_sum(common)) AS every, list_sum(chars) AS n_chars FROM e),
+{nearest("ch", "chars", "n_chars")},
+{nearest("wo", "every", "n_words")},
+v AS (SELECT f.*, CASE WHEN n_chars >= {MIN_CHARS} THEN ch_d.d END AS cd, CASE WHEN n_words >= {MIN_WORDS} THEN wo_d.d END AS wd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM f LEFT JOIN ch_d USING (k) LEFT JOIN wo_d USING (k))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(cd, 0) > {MOST_CHAR_DISTANCE} OR coalesce(wd, 0) > {MOST_WORD_DISTANCE}) AS kept,
+  round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM v"""
+
+
+SQL = {"op8_distribution_divergence": _sql()}
