@@ -27,6 +27,8 @@ from veriledger.llm.tokenise import Tokeniser
 
 CAPACITY, END_ID = 2048, 0
 ROUNDS, MOST_PATTERNS, STEPS = 6, 8000, 150
+#: Bytes of text that are tokenised at once.
+STEP = 1 << 20
 
 
 def vocabulary() -> str:
@@ -48,7 +50,7 @@ def pieces_of(docs: DataFrame, *, path: str | None = None, capacity: int = CAPAC
         part = context.partitionId() if context else 0
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for rows, data, offsets in K.steps(batch):
+            for rows, data, offsets in K.steps(batch, limit=STEP):
                 found, first = tokeniser.encode(data, offsets)
                 n = len(offsets) - 1
                 ids = np.full(len(found) + n, END_ID, np.uint32)

@@ -19,7 +19,7 @@ from veriledger.llm import kernels as K
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: White space of Unicode.
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-MOST_KEPT = 400_000
+MOST_KEPT = 250_000
 
 
 def _classes() -> np.ndarray:
@@ -46,9 +46,8 @@ class Tokeniser:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -128,6 +127,9 @@ class Tokeniser:
         return ids, total[np.searchsorted(starts, offsets)]
 
     def _by_library(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        from tokenizers import Tokenizer
+
+        self.library = self.library or Tokenizer.from_file(self.path)
         parts, total = [], [0]
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             own = raw[a:b]
