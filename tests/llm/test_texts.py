@@ -273,3 +273,19 @@ def test_urls(spark):
         assert (got[i]["rule"], got[i]["verdict"]) == (rule, verdict), u
     assert got[1]["host"] == "example.net" and got[0]["path"] == "/en/x" and got[8]["host"] == ""
     assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_batches_are_bounded(spark):
+    from veriledger.llm import storage
+
+    storage.small_batches(spark)
+    assert int(spark.conf.get(storage.ROWS)) <= 2000 and int(spark.conf.get(storage.BYTES)) <= 16 << 20
+    long = spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 200000) AS text")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    assert max(r["n"] for r in long.mapInArrow(sizes, "n long").collect()) < 40 << 20

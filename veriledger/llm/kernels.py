@@ -121,6 +121,18 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of a matrix of bytes, some rows at once."""
+    n, width = rows.shape
+    out = np.empty(n, U64)
+    each = max(1, (1 << 19) // max(1, width))
+    for at in range(0, n, each):
+        part = np.ascontiguousarray(rows[at : at + each])
+        starts = np.arange(len(part)) * width
+        out[at : at + each] = span_hash(prefix_hash(part.ravel()), starts, starts + width)
+    return out
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hash(prefix_hash(data), starts, ends)
 

@@ -1,34 +1,20 @@
-"""Tables that cut lineage, in the folder that the cluster shares."""
+"""Written tables that cut lineage (as in the rest of the package), and bounds on what Arrow hands to Python at once."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from veriledger.storage import materialise, shared_dir
 
-DIR = "spark.checkpoint.dir"
+__all__ = ["materialise", "shared_dir", "small_batches"]
 
+ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (as in tests) one of our own."""
-    path = spark.conf.get(DIR, None) or spark.sparkContext.getConf().get(DIR)
-    if not path:
-        path = tempfile.mkdtemp(prefix="veriledger-")
-        spark.conf.set(DIR, path)
-    return path.rstrip("/")
 
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lost executors need no earlier stage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veriledger-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most so many rows, as documents can be long; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Arrow batches of at most so many rows and bytes, as documents can be long; smaller settings stay."""
+    if not 0 < int(spark.conf.get(ROWS)) <= rows:
+        spark.conf.set(ROWS, rows)
+    known = spark.conf.get(BYTES, None)
+    if known is None or not known.isdigit() or not 0 < int(known) <= size:
+        spark.conf.set(BYTES, size)

@@ -32,10 +32,10 @@ from veriledger.llm.storage import materialise, small_batches
 from veriledger.llm.substrings import load, save, with_row_key
 
 LENGTH, WINDOW = 200, 61
-#: Contexts that one suffix array holds; a group of more is sorted in one array of its own.
-MOST_CONTEXTS = 8000
+#: Contexts that one suffix array holds; a group of more is taken apart.
+MOST_CONTEXTS = 1500
 SIDE = WINDOW - 1
-STEP = 2 << 20
+STEP = 1 << 20
 
 
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -227,46 +227,78 @@ def _ask_contexts(n_buckets: int):
     return run
 
 
+def _shared(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by group and bytes, how many leading bytes each row shares with the next one, and whether that is of its group."""
+    order = np.lexsort((np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), group))
+    shared = np.empty(max(0, len(order) - 1), np.int64)
+    for at in range(0, len(shared), 100_000):
+        r = rows[order[at : at + 100_001]]
+        shared[at : at + 100_000] = np.cumprod(r[1:] == r[:-1], axis=1, dtype=np.uint8).sum(1)
+    return order, shared, group[order][1:] == group[order][:-1]
+
+
 def _best(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     """How many leading bytes each row has in common with another of its group at most."""
-    order = np.lexsort((np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), group))
-    r, g = rows[order], group[order]
-    same = np.cumprod(r[1:] == r[:-1], axis=1).sum(1) * (g[1:] == g[:-1])
+    order, shared, inside = _shared(rows, group)
+    shared = shared * inside
     out = np.zeros(len(rows), np.int64)
-    out[order[1:]] = same
-    out[order[:-1]] = np.maximum(out[order[:-1]], same)
+    out[order[1:]] = shared
+    out[order[:-1]] = np.maximum(out[order[:-1]], shared)
     return out
 
 
 def _cuts(rows: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Sorted group * 64 + n for all n > 0 such that two rows of the group part after n bytes, or a document ends there."""
-    order = np.lexsort((np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), group))
-    r, g = rows[order], group[order]
-    shared = np.cumprod(r[1:] == r[:-1], axis=1).sum(1)
-    inside = g[1:] == g[:-1]
-    found = np.concatenate([g[1:][inside] * 64 + shared[inside], group[size < SIDE] * 64 + size[size < SIDE]])
+    order, shared, inside = _shared(rows, group)
+    short = size < rows.shape[1]
+    found = np.concatenate([group[order][1:][inside] * 64 + shared[inside], group[short] * 64 + size[short]])
     return np.unique(found[found % 64 > 0])
 
 
 def repeated_windows(around: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> np.ndarray:
     """For distinct contexts, the offsets (bits) of windows that another context of the same group has too. group ascends."""
-    bits = np.zeros(len(group), np.uint64)
-    if len(group) < 2:
+    return _windows(np.ascontiguousarray(around[:, :SIDE][:, ::-1]), np.ascontiguousarray(around[:, SIDE:]), left, right, group)
+
+
+def _windows(before: np.ndarray, after: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Bit o: the o nearest bytes after, and all but o of those before, are the same in another row of the group.
+
+    A group of more than MOST_CONTEXTS rows is taken apart by what its windows have in common: those of the lower half of the
+    offsets share the nearest bytes before, those of the upper half the nearest bytes after.
+    """
+    n, side = before.shape
+    bits = np.zeros(n, np.uint64)
+    if n < 2:
+        return bits
+    if side == 0:
+        bits[np.bincount(group)[group] > 1] = 1
         return bits
-    before, after = np.ascontiguousarray(around[:, :SIDE][:, ::-1]), np.ascontiguousarray(around[:, SIDE:])
-    chosen = np.flatnonzero(_best(before, group) + _best(after, group) >= SIDE)
+    chosen = np.flatnonzero((_best(before, group) + _best(after, group) >= side) & (left + right >= side))
     if len(chosen):  # those alone in their group now have no partner
-        chosen = chosen[np.bincount(group[chosen], minlength=group.max() + 1)[group[chosen]] > 1]
+        size = np.bincount(group[chosen], minlength=group.max() + 1)[group[chosen]]
+        large, chosen = chosen[size > MOST_CONTEXTS], chosen[(size > 1) & (size <= MOST_CONTEXTS)]
+        if len(large):
+            half = (side - 1) // 2
+            for lower in (True, False):
+                common = side - half if lower else half + 1
+                own = large[(left if lower else right)[large] >= common]
+                near = K.row_hashes((before if lower else after)[own, :common])
+                key = np.unique(K.mix(near + group[own].astype(np.uint64) * K.U64(0x9E3779B97F4A7C15)), return_inverse=True)[1]
+                order = np.argsort(key, kind="stable")
+                own, key = own[order], key[order]
+                if lower:
+                    parts = before[own, common:], after[own, :half], left[own] - common, np.minimum(right[own], half)
+                else:
+                    rest = side - common
+                    parts = before[own, :rest], after[own, common:], np.minimum(left[own], rest), right[own] - common
+                bits[own] |= _windows(*parts, key) << np.uint64(0 if lower else common)
     begin = 0
     while begin < len(chosen):
         end = min(begin + MOST_CONTEXTS, len(chosen))
-        if end < len(chosen):  # whole groups only
-            while end > begin and group[chosen[end - 1]] == group[chosen[end]]:
-                end -= 1
-            if end == begin:
-                end = int(np.searchsorted(group[chosen], group[chosen[begin]], "right"))
+        while end < len(chosen) and group[chosen[end - 1]] == group[chosen[end]]:  # whole groups only
+            end -= 1
         own = chosen[begin:end]
-        bits[own] = _sorted_windows(before[own], after[own], left[own], right[own], np.unique(group[own], return_inverse=True)[1])
+        bits[own] |= _sorted_windows(before[own], after[own], left[own], right[own], np.unique(group[own], return_inverse=True)[1])
         begin = end
     return bits
 
@@ -277,9 +309,8 @@ def _sorted_windows(before: np.ndarray, after: np.ndarray, left: np.ndarray, rig
     Bytes between two places at which rows of a group part stand or fall together, so they are one symbol: that of all
     bytes from the anchor to the farther place. before: bytes left of the anchor, nearest first; after: bytes right of it.
     """
-    n = len(group)
-    text, cut_at = [], []
-    lengths = []
+    n, side = before.shape
+    text, cut_at, lengths = [], [], []
     for rows, size in ((before, left), (after, right)):
         cuts = _cuts(rows, size, group)
         low, high = np.searchsorted(cuts, group * 64), np.searchsorted(cuts, group * 64 + size, "right")
@@ -287,7 +318,7 @@ def _sorted_windows(before: np.ndarray, after: np.ndarray, left: np.ndarray, rig
         at = K.ranges(low, high)
         value = cuts[at] % 64
         prefix = K.prefix_hash(rows.ravel())
-        text.append(K.span_hash(prefix, context * SIDE, context * SIDE + value))
+        text.append(K.span_hash(prefix, context * side, context * side + value))
         cut_at.append(value)
         lengths.append(high - low)
     n_left, n_right = lengths
@@ -326,7 +357,7 @@ def _sorted_windows(before: np.ndarray, after: np.ndarray, left: np.ndarray, rig
         own = context[start]
         l = np.where(to_anchor[start] > 0, bytes_at[start], 0)
         r = np.where(beyond > 0, bytes_at[anchor[own] + beyond], 0)
-        low, high = SIDE - l, r
+        low, high = side - l, r
         some = low <= high
         mask = ((K.U64(1) << (high[some] + 1).astype(np.uint64)) - K.U64(1)) & ~((K.U64(1) << low[some].astype(np.uint64)) - K.U64(1))
         np.bitwise_or.at(bits, own[some], mask)
@@ -342,9 +373,7 @@ def _solve(table: pa.Table) -> pa.Table:
         g = np.concatenate(gs)
         notes = np.concatenate([np.frombuffer(r[4], np.uint8).reshape(-1, 3) for r in asked])
         around = np.concatenate([np.frombuffer(r[5], np.uint8).reshape(-1, 2 * SIDE) for r in asked])
-        whole = np.concatenate([g.view(np.uint8).reshape(-1, 8), notes[:, :2], around], 1).ravel()
-        ends = np.arange(1, len(g) + 1) * (10 + 2 * SIDE)
-        print_ = K.span_hash(K.prefix_hash(whole), ends - (10 + 2 * SIDE), ends)
+        print_ = K.row_hashes(np.concatenate([g.view(np.uint8).reshape(-1, 8), notes[:, :2], around], 1))
         _, first, where, n = np.unique(print_, return_index=True, return_inverse=True, return_counts=True)
         twice = n + np.bincount(where, notes[:, 2], len(first)) > 1
         order = np.argsort(g[first], kind="stable")
@@ -431,3 +460,17 @@ def op4_suffix_grouping_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_suffix_grouping_dedup": op4_suffix_grouping_dedup}
+SQL = {
+    "op4_suffix_grouping_dedup": """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT k, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM d, LATERAL (SELECT unnest(range(0, length(h) // 2 - 199)) AS i) WHERE length(h) // 2 >= 200),
+t AS (SELECT k, i FROM g WHERE m IN (SELECT m FROM g GROUP BY m HAVING count(*) > 1)),
+s AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 200 THEN 0 ELSE 1 END AS first FROM t),
+r AS (SELECT k, i, sum(first) OVER (PARTITION BY k ORDER BY i) AS run FROM s),
+x AS (SELECT k, run, min(i) AS b, max(i) + 200 AS e FROM r GROUP BY k, run),
+y AS (SELECT k, count(*) AS n, sum(e - b) AS gone, list(b ORDER BY b) AS bs, list(e ORDER BY b) AS es FROM x GROUP BY k),
+z AS (SELECT d.k, array_to_string(list_transform(range(1, n + 2), lambda j: substr(h, 2 * (CASE WHEN j = 1 THEN 0 ELSE es[j - 1] END) + 1,
+  2 * ((CASE WHEN j > n THEN length(h) // 2 ELSE bs[j] END) - (CASE WHEN j = 1 THEN 0 ELSE es[j - 1] END)))), '') AS kept FROM d JOIN y USING (k))
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN y USING (k) LEFT JOIN z USING (k)"""
+}
