@@ -65,16 +65,19 @@ def check_bounds(window_minutes: int, max_hops: int) -> None:
         raise SignalError("window and depth must be positive")
 
 
-def path_levels(transfers: DataFrame, *, window_minutes: int = WINDOW_MINUTES, max_hops: int = MAX_HOPS, starts: DataFrame | None = None) -> list[DataFrame]:
+def path_levels(transfers: DataFrame, *, window_minutes: int = WINDOW_MINUTES, max_hops: int = MAX_HOPS, starts: DataFrame | None = None, backward: bool = False) -> list[DataFrame]:
     """For each depth the chains (start, end, last_us, gap in seconds or null, visited, k).
 
     A chain and its next transfer meet on the account and on slots of time as long as the window, so a hub's transfers of other days
     are never compared. Each depth is written once, since the next and the sums both read it.
-    starts: (account_id) to follow only chains from these.
+    starts: (account_id) to follow only chains from these. backward: chains against the direction of transfers and time.
     """
     check_bounds(window_minutes, max_hops)
     window = window_minutes * 60 * 1_000_000
-    moves = materialise(transfers.where("src <> dst AND executed_at IS NOT NULL").select("src", "dst", micros(F.col("executed_at")).alias("us")))
+    us = micros(F.col("executed_at"))
+    ends = ("dst", "src") if backward else ("src", "dst")
+    moves = transfers.where("src <> dst AND executed_at IS NOT NULL").select(*ends, (-us if backward else us).alias("us")).toDF("src", "dst", "us")
+    moves = materialise(moves)
     level = moves if starts is None else moves.join(starts.select(F.col("account_id").alias("src")), "src", "left_semi")
     level = level.select(F.col("src").alias("start"), F.col("dst").alias("end"), F.col("us").alias("last_us"), F.lit(None).cast("double").alias("gap"), F.array("src", "dst").alias("visited"), F.lit(1).alias("k"))
     levels = [level]
@@ -116,24 +119,28 @@ def pivot_dwell(transfers: DataFrame) -> DataFrame:
     return met.groupBy("account_id").agg((F.min(F.col("us") - F.col("last_in")) / 1e6).alias("dwell_seconds"))
 
 
-def velocity(accounts: DataFrame, transfers: DataFrame, *, window_minutes: int = WINDOW_MINUTES, max_hops: int = MAX_HOPS) -> DataFrame:
+def velocity(accounts: DataFrame, transfers: DataFrame, *, window_minutes: int = WINDOW_MINUTES, max_hops: int = MAX_HOPS, only: DataFrame | None = None) -> DataFrame:
     """(account_id, forward_hops, backward_hops, max_multi_hop_velocity_hops, min_hop_interval_seconds)
 
     The two longest chains are added without a time check where they meet; a dwell beyond the window does not count.
+    only: (account_id) if just these accounts' rows matter; then chains are followed from them alone, both ways.
     """
-    found = paths(transfers, window_minutes=window_minutes, max_hops=max_hops)
+    bounds = {"window_minutes": window_minutes, "max_hops": max_hops}
+    found = paths(transfers, starts=only, **bounds)
+    back = longest(found, "end", "b", "bg") if only is None else longest(paths(transfers, starts=only, backward=True, **bounds), "start", "b", "bg")
     both = (
         accounts.select("account_id").join(longest(found, "start", "f", "fg"), "account_id", "left")
-        .join(longest(found, "end", "b", "bg"), "account_id", "left").join(pivot_dwell(transfers), "account_id", "left")
+        .join(back, "account_id", "left").join(pivot_dwell(transfers), "account_id", "left")
     )
     dwell = F.when(F.col("dwell_seconds") <= window_minutes * 60, F.col("dwell_seconds"))
     f, b = F.coalesce("f", F.lit(0)), F.coalesce("b", F.lit(0))
     return both.select("account_id", f.alias("forward_hops"), b.alias("backward_hops"), (f + b).alias("max_multi_hop_velocity_hops"), F.least("fg", "bg", dwell).alias("min_hop_interval_seconds"))
 
 
-def signals(ledger, *, window_minutes: int = WINDOW_MINUTES, max_hops: int = MAX_HOPS) -> DataFrame:
-    """One row for each account: the four signals of its neighbourhood."""
+def signals(ledger, *, window_minutes: int = WINDOW_MINUTES, max_hops: int = MAX_HOPS, only: DataFrame | None = None) -> DataFrame:
+    """One row for each account (or each of only): the four signals of its neighbourhood."""
     check_bounds(window_minutes, max_hops)
     accounts, transfers = ledger.accounts.select("account_id"), ledger.transfers
-    moved = velocity(accounts, transfers, window_minutes=window_minutes, max_hops=max_hops).drop("forward_hops", "backward_hops")
-    return clustering(accounts, transfers).join(shared_devices(accounts, ledger.account_devices), "account_id").join(moved, "account_id")
+    moved = velocity(accounts, transfers, window_minutes=window_minutes, max_hops=max_hops, only=only).drop("forward_hops", "backward_hops")
+    measured = clustering(accounts, transfers).join(shared_devices(accounts, ledger.account_devices), "account_id").join(moved, "account_id")
+    return measured if only is None else measured.join(only, "account_id", "left_semi")

@@ -77,12 +77,13 @@ def verdicts(ledger, thresholds: Thresholds | None = None, *, window_minutes: in
     return decide(S.signals(ledger, window_minutes=window_minutes, max_hops=max_hops), thresholds, rule=rule, texts=texts)
 
 
-def verdict_of(ledger, account_id, thresholds: Thresholds | None = None, **options) -> DataFrame:
-    """The verdict of one account: the same row as in verdicts()."""
-    one = ledger.accounts.where(F.col("account_id") == F.lit(account_id))
+def verdict_of(ledger, account_id, thresholds: Thresholds | None = None, *, window_minutes: int = S.WINDOW_MINUTES, max_hops: int = S.MAX_HOPS, rule=device_gate, texts: bool = False) -> DataFrame:
+    """The verdict of one account: the same row as in verdicts(), from chains of that account alone."""
+    one = ledger.accounts.where(F.col("account_id") == F.lit(account_id)).select("account_id")
     if one.isEmpty():
         raise SignalError(f"no account {account_id}")
-    return verdicts(ledger, thresholds, **options).where(F.col("account_id") == F.lit(account_id))
+    measured = S.signals(ledger, window_minutes=window_minutes, max_hops=max_hops, only=one).where(F.col("account_id") == F.lit(account_id))
+    return decide(measured, thresholds, rule=rule, texts=texts)
 
 
 def sweep(measured: DataFrame, many: dict[str, Thresholds]) -> DataFrame:
