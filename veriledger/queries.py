@@ -352,7 +352,7 @@ def hub_attack_golden(spark, sf_dir):
     return _verdict_rows(verdicts.verdicts(ledgers.hub_ledger(spark)))
 
 
-@query("SELECT 3 AS tp, 0 AS fp, 16 AS tn, 0 AS fn, 19 AS total, 1.0 AS \"precision\", 1.0 AS recall, 1.0 AS f1, 1.0 AS accuracy, 0.0 AS max_clustering_error, 0.0 AS max_device_error, true AS has_zero_degradation")
+@query("SELECT 3 AS tp, 0 AS fp, 16 AS tn, 0 AS fn, 19 AS total, 1.0::DOUBLE AS \"precision\", 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, 1.0::DOUBLE AS accuracy, 0.0::DOUBLE AS max_clustering_error, 0.0::DOUBLE AS max_device_error, true AS has_zero_degradation")
 def ring_topology_report(spark, sf_dir):
     ring = ledgers.ring_ledger(spark)
     return evaluation.topology_report(materialise(verdicts.verdicts(ring)), ring)[0]
