@@ -117,7 +117,8 @@ def windows_repeated(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
                 found = K.window_hashes(K.word_hashes(data, starts, ends), width)
                 yield ask_places(chunks, n, 8, found[at] if len(at) else np.zeros(0, K.U64), at, firsts, part.column(2).to_numpy(zero_copy_only=False))
 
-    candidates = docs.hint("shuffle_hash").join(marked, "rk").select("doc_id", "text", "rk", "places")
+    # merged, so that rows come in the order of rk and a task that runs again numbers its chunks as before
+    candidates = docs.join(marked.hint("merge"), "rk").select("doc_id", "text", "rk", "places")
     return repeated_places(candidates.mapInArrow(windows, X.SCHEMA), 8)
 
 

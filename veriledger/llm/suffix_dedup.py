@@ -417,7 +417,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     judged = materialise(judged.groupBy("rk").agg(F.max("sure").alias("sure"), F.max("open").alias("open")))
     waiting = judged.where("open IS NOT NULL").select("rk", "open")
     # each copy of a row is an occurrence of its own, as in the tables
-    texts = keyed.hint("shuffle_hash").join(waiting, "rk").select("text", "rk", "open")
+    # merged, so that rows come in the order of rk and a task that runs again numbers its chunks as before
+    texts = keyed.join(waiting.hint("merge"), "rk").select("text", "rk", "open")
     contexts = texts.mapInArrow(_ask_contexts(n), X.SCHEMA)
     found = contexts.groupBy("bucket").applyInArrow(_solve, X.SCHEMA).groupBy("chunk").applyInArrow(_found, "rk long, found binary")
     none = F.lit(None).cast("binary")
