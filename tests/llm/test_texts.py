@@ -84,6 +84,23 @@ def test_trie_join_equals_all_pairs():
         assert ngram_join.trie_join(np.array(sizes), [np.array(s) for s in sets], 60) == [find(i) for i in range(len(sets))]
 
 
+def test_families_do_not_depend_on_batches(spark):
+    import numpy as np
+
+    sizes = {1: 100, 2: 120, 3: 150, 4: 190, 5: 140, 6: 300, 7: 90, 8: 60}
+    blob = ngram_join.X.pack(np.array([7], np.int64), ngram_join.TOKEN_BYTES)
+
+    def found(*parts):
+        made = [(i, d, sizes[d], blob * int(ngram_join.needed(sizes[d], 75))) for i, p in enumerate(parts) for d in p]
+        frame = spark.createDataFrame(made, "part int, doc_id long, n_shingles long, tokens binary").repartitionByRange(len(parts), "part")
+        return {r["id"]: r["component"] for r in ngram_join.families(frame).collect()}
+
+    # 140 meets 120 and 150 of a chain from 100 to 190; 300 is out of reach of all, 60 too
+    want = {d: 1 for d in (1, 2, 3, 4, 5, 7)}
+    for parts in (((1, 2, 3, 4), (5,), (6, 7, 8)), (tuple(sizes),), tuple((d,) for d in sizes)):
+        assert found(*parts) == want, parts
+
+
 def test_null_ids_and_empty_tables(spark, docs, folder, tmp_path):
     one = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in ngram_join.link(one).collect()) == [(-1, -1), (-1, -1), (1, 1)]

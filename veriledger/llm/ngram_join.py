@@ -290,12 +290,18 @@ def _insert(root: Node, own: np.ndarray, x: int, size: int, classes: Classes) ->
         node = child
 
 
-def _chains(tok: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: int):
-    """Entries in the order of token and size, and which have the next as a possible partner."""
-    order = np.lexsort((doc, size, tok))
-    tok, doc, size = tok[order], doc[order], size[order]
-    near = (tok[1:] == tok[:-1]) & (100 * size[:-1] >= percent * size[1:])
-    return tok, doc, size, near
+def _chains(tok: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int):
+    """Spans of sizes in the order of token and size, and which have the next as a possible partner, directly or through those before."""
+    order = np.lexsort((doc, high, low, tok))
+    tok, doc, low, high = tok[order], doc[order], low[order], high[order]
+    if not len(tok):
+        return tok, doc, low, high, np.zeros(0, bool)
+    # the largest size of the token so far
+    nth = np.concatenate(([0], np.cumsum(tok[1:] != tok[:-1])))
+    step = int(high.max()) + 1
+    most = np.maximum.accumulate(nth * step + high) - nth * step
+    near = (tok[1:] == tok[:-1]) & (100 * most[:-1] >= percent * low[1:])
+    return tok, doc, low, most, near
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[list[int], list[int]]:
@@ -327,27 +333,26 @@ def families(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                 size.append(np.full(min(k, len(ids)), n))
             if not tok:
                 continue
-            tok, doc, size, near = _chains(np.concatenate(tok), np.concatenate(doc), np.concatenate(size), percent)
+            size = np.concatenate(size)
+            tok, doc, low, high, near = _chains(np.concatenate(tok), np.concatenate(doc), size, size, percent)
             u, v = _forest(doc[:-1][near], doc[1:][near])
-            # of each chain the ends go on: what lies between hangs together already
-            ends = np.ones(len(tok), bool)
-            ends[1:-1] = ~(near[:-1] & near[1:])
-            e = int(ends.sum())
+            # each chain goes on as one span: any size between its ends is near one of its members
+            begin, end = np.append(True, ~near), np.append(~near, True)
+            tie = np.array(u, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([tok[ends], np.array(u, np.int64)]), pa.int64()), pa.array(np.concatenate([doc[ends], np.array(u, np.int64)]), pa.int64()), pa.array([*size[ends].tolist(), *[None] * len(u)], pa.int64()), pa.array([*[None] * e, *v], pa.int64())],
-                ["tok", "doc", "size", "peer"],
+                [pa.array(np.concatenate([tok[begin], tie]), pa.int64()), pa.array(np.concatenate([doc[begin], tie]), pa.int64()), pa.array([*low[begin].tolist(), *[None] * len(u)], pa.int64()), pa.array([*high[end].tolist(), *v], pa.int64())],
+                ["tok", "doc", "low", "high"],
             )
 
     def edges(batches):
-        table = pa.Table.from_batches(list(batches), schema=pa.schema([(c, pa.int64()) for c in ("tok", "doc", "size", "peer")]))
-        entry = table.filter(table.column("peer").is_null())
-        tie = table.filter(table.column("peer").is_valid())
-        tok, doc, size = (entry.column(i).to_numpy() for i in range(3))
-        _, doc, _, near = _chains(tok, doc, size, percent)
+        table = pa.Table.from_batches(list(batches), schema=pa.schema([(c, pa.int64()) for c in ("tok", "doc", "low", "high")]))
+        span = table.filter(table.column("low").is_valid())
+        tie = table.filter(table.column("low").is_null())  # doc and high are two documents of one family
+        _, doc, _, _, near = _chains(*(span.column(i).to_numpy() for i in range(4)), percent)
         u, v = _forest(np.concatenate([doc[:-1][near], tie.column(1).to_numpy()]), np.concatenate([doc[1:][near], tie.column(3).to_numpy()]))
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    entries = sets.select("doc_id", "n_shingles", "tokens").mapInArrow(prefixes, "tok long, doc long, size long, peer long")
+    entries = sets.select("doc_id", "n_shingles", "tokens").mapInArrow(prefixes, "tok long, doc long, low long, high long")
     return components(entries.repartition(n_parts, "tok").mapInArrow(edges, "u long, v long"))
 
 
