@@ -180,6 +180,39 @@ def test_filter_keeps_counts_within_a_factor_of_two():
     assert (model.counts(keys + np.uint64(1), np.zeros(3000, np.int64)) == 0).mean() > 0.8
 
 
+def test_no_pair_stays_out_of_the_filter(spark, folder, rows):
+    import collections
+
+    import numpy as np
+
+    words, pairs = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n) for n in (200, 5000))
+    word_counts, pair_counts = np.full(200, 40), np.where(np.arange(5000) < 4000, 1, 7)
+    # far more pairs than 4096 bits have room for
+    crowded = log_bloom.Filter([log_bloom.fill(words, word_counts, pairs, pair_counts, 4096).tobytes()], 4096, 0, 0)
+    assert all((crowded.data[at >> 3] >> (at & 7) & 1).all() for at in log_bloom.places(pairs, 1, 4096))
+    bits = log_bloom.bits_for(word_counts, pair_counts)
+    roomy = log_bloom.Filter([log_bloom.fill(words, word_counts, pairs, pair_counts, bits).tobytes()], bits, 0, 0)
+    back = roomy.counts(pairs, np.zeros(5000, np.int64))
+    assert (back >= pair_counts / 2).all() and (back <= 2 * pair_counts).mean() > 0.9
+    assert (roomy.counts(pairs + np.uint64(1), np.zeros(5000, np.int64)) == 0).mean() > 0.9
+    # whole scores, by counts within a factor of two
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    of = {d: [*brute.lower_words(t), "\0"] for d, t in rows}
+    single, double = collections.Counter(), collections.Counter()
+    for d, t in rows:
+        if not held(d):
+            w = [*brute.lower_words(t), "\0"]
+            single.update(w)
+            double.update(zip(["\0", *w], w))
+    level = lambda c: 0 if not c else 1 if c == 1 else 1.5 * 2 ** (math.frexp(c)[1] - 1)
+    total = sum(single.values()) + len(single) + 1
+    for r in log_bloom.op6_log_frequency_bloom(spark, folder).collect():
+        w = of[r["doc_id"]]
+        if sum(d == r["doc_id"] for d, _ in rows) == 1:
+            want = sum(math.log10((min(level(double[b, a]), level(single[b])) + 2000 * (level(single[a]) + 1) / total) / (level(single[b]) + 2000)) for b, a in zip(["\0", *w], w))
+            assert r["score"] == pytest.approx(want, rel=0.05), r["doc_id"]
+
+
 def test_packing(spark, rows, docs):
     import numpy as np
     from tokenizers import Tokenizer

@@ -2,14 +2,14 @@
 
 Counts of words and of word pairs over all training rows are quantised to powers of two: a count c has level 1 + floor(log2 c), and
 the n-gram is put into a Bloom filter once for each level up to its own. Asking level after level until one is not there
-gives the count back within a factor of two, with one-sided errors. The filter is cut into ranges of the n-gram hash, so the
-tasks that count fill their own range; it is ``filter_bits`` long whatever the corpus (2^28 bits: 32 MB), and so can be broadcast.
-Where a range has no room for all n-grams at PROBES bits an insertion, pairs with the smallest counts stay out first: the model is
-then smoothed by words alone there. Words always go in.
+gives the count back within a factor of two, with one-sided errors. The filter is cut into ranges of the n-gram hash. Each range is
+as long as its counted insertions need at PROBES bits an insertion (all together at least FILTER_BITS), so every word and every pair goes in whatever the corpus. A range
+is filled and asked in the task that counts it: chunks of text send their n-grams to the ranges and get levels back, so no
+filter is broadcast or collected.
 
 The probability of a word w after v is (c(v w) + MU * p(w)) / (c(v) + MU), with p(w) = (c(w) + 1) / (N + V + 1), all counts from the filter.
 
-Exact word counts for the base score come from the same counting, answered to the rows that asked as in exchange.py.
+Exact word counts for the base score come from the same counting, answered with the levels as in exchange.py.
 
 Defined results: null text is empty: one end token. Words are told apart by 64-bit hashes. Repeated rows count again as
 training text and get equal results. With no training rows all counts are 0. An empty table gives none.
@@ -17,6 +17,7 @@ training text and get equal results. With no training rows all counts are 0. An
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -33,7 +34,7 @@ from veriledger.llm.substrings import load, save
 
 FILTER_BITS, PROBES, MU = 1 << 28, 6, 2000.0
 END = np.uint64(0x5BD1E995C2B2AE3D)
-PAIRS, FILTER, COUNTS = 3, 4, 5
+PAIRS, SUMS = 3, 4
 SCHEMA = X.SCHEMA
 
 
@@ -79,18 +80,15 @@ def places(keys: np.ndarray, level: int, bits: int):
         yield ((a + np.uint64(i) * b) % np.uint64(bits)).astype(np.int64)
 
 
+def bits_for(word_counts: np.ndarray, pair_counts: np.ndarray, least: int = 64) -> int:
+    """The length of a range with room for all of its insertions."""
+    insertions = int(levels_of(word_counts).sum()) + int(levels_of(pair_counts).sum())
+    return max(least, math.ceil(insertions * PROBES / 0.69))
+
+
 def fill(words: np.ndarray, word_counts: np.ndarray, pair_keys: np.ndarray, pair_counts: np.ndarray, bits: int) -> np.ndarray:
     """One range of the filter."""
-    room = int(0.69 * bits / PROBES)
     word_levels, pair_levels = levels_of(word_counts), levels_of(pair_counts)
-    left = room - int(word_levels.sum())
-    if pair_levels.sum() > left:
-        order = np.argsort(-pair_counts, kind="stable")
-        fits = np.cumsum(pair_levels[order]) <= left
-        # all pairs of a count or none
-        least = pair_counts[order][fits.sum()] if not fits.all() else 0
-        chosen = pair_counts > least
-        pair_keys, pair_levels = pair_keys[chosen], pair_levels[chosen]
     out = np.zeros(bits, bool)
     for keys, levels in ((words, word_levels), (pair_keys, pair_levels)):
         for level in range(1, int(levels.max(initial=0)) + 1):
@@ -109,6 +107,9 @@ class Filter:
 
     def counts(self, keys: np.ndarray, ranges: np.ndarray) -> np.ndarray:
         """The quantised counts of distinct keys."""
+        return count_of(self.levels(keys, ranges))
+
+    def levels(self, keys: np.ndarray, ranges: np.ndarray) -> np.ndarray:
         levels = np.zeros(len(keys), np.int64)
         open_, base, level = np.arange(len(keys)), ranges.astype(np.int64) * self.width, 0
         while len(open_):
@@ -119,7 +120,7 @@ class Filter:
                 there = (self.data[base[open_] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
                 open_, a, b = open_[there], a[there], b[there]
             levels[open_] = level
-        return count_of(levels)
+        return levels
 
 
 def _pair_key(hashes: np.ndarray) -> np.ndarray:
@@ -136,25 +137,22 @@ def _ask(n_buckets: int):
                 t, first = tokens(data, offsets)
                 n_docs = len(offsets) - 1
                 doc = np.repeat(np.arange(n_docs), np.diff(first))
-                held = np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool)
+                held = np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
                 training = ~held[doc]
                 words, where = np.unique(t, return_inverse=True)
                 counts = np.bincount(where[training], minlength=len(words))
                 # frequent words get small numbers
-                total = np.bincount(where, minlength=len(words))
+                order = np.argsort(-np.bincount(where, minlength=len(words)), kind="stable")
                 rank = np.empty(len(words), np.int64)
-                rank[np.argsort(-total, kind="stable")] = np.arange(len(words))
-                used, tf = np.unique(doc * len(words) + rank[where], return_counts=True)
-                used_doc, used_word = used // max(1, len(words)), used % max(1, len(words))
-                gaps = np.diff(used_word, prepend=0)
-                starts = np.searchsorted(used_doc, np.arange(n_docs))
-                gaps[starts] = used_word[starts]
+                rank[order] = np.arange(len(words))
+                number, ids = rank[where], part.column(0)
                 skeleton = save(
-                    rk=part.column(2).to_numpy(zero_copy_only=False), n=np.diff(first), each=np.bincount(used_doc, minlength=n_docs), gaps=np.minimum(gaps, 65535).astype(np.uint16), wide=gaps[gaps >= 65535],
-                    tf=np.frombuffer(zlib.compress(np.minimum(tf, 255).astype(np.uint8).tobytes(), 1), np.uint8), tf_wide=tf[tf >= 255], rank=rank.astype(np.int32),
+                    ids=K.long_of(ids).fill_null(0).to_numpy(zero_copy_only=False), null=np.asarray(ids.is_null()), held=held, n=np.diff(first), words=words[order],
+                    numbers=np.frombuffer(zlib.compress(np.minimum(number, 65535).astype("<u2").tobytes(), 1), np.uint8), wide=number[number >= 65535],
                 )
                 p, _ = pairs(t, first)
-                pair, pair_counts = np.unique(p[training], return_counts=True)
+                pair, pair_where = np.unique(p, return_inverse=True)
+                pair_counts = np.bincount(pair_where[training], minlength=len(pair))
                 rows: dict[str, list] = {c: [] for c in ("bucket", "kind", "h", "r", "t")}
                 for kind, keys, n, width in ((X.ASK, words, counts, 8), (PAIRS, pair, pair_counts, 4)):
                     cuts = np.searchsorted(X.bucket_of(keys, n_buckets), np.arange(n_buckets + 1))
@@ -181,23 +179,33 @@ def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return distinct, np.bincount(where, np.concatenate(counts), len(distinct)).astype(np.int64), where
 
 
-def _count(bits: int):
+def _count(least: int):
     def one(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "h", "r")), strict=True))
-        asked = [r for r in rows if r[2] == X.ASK]
-        keys = [X.unpack(r[3], 8) for r in asked]
+        asked, paired = ([r for r in rows if r[2] == kind] for kind in (X.ASK, PAIRS))
+        keys, pair_keys = [X.unpack(r[3], 8) for r in asked], [_pair_key(X.unpack(r[3], 4)) for r in paired]
         words, counts, where = _sums(keys, [ints(r[4]) for r in asked])
-        paired = [r for r in rows if r[2] == PAIRS]
-        pair, pair_counts, _ = _sums([_pair_key(X.unpack(r[3], 4)) for r in paired], [ints(r[4]) for r in paired])
+        pair, pair_counts, pair_where = _sums(pair_keys, [ints(r[4]) for r in paired])
         out: list[tuple] = []
         if asked or paired:
-            known = counts > 0
+            known, known_pair = counts > 0, pair_counts > 0
+            bits = bits_for(counts[known], pair_counts[known_pair], least)
+            own = Filter([fill(words[known], counts[known], pair[known_pair], pair_counts[known_pair], bits).tobytes()], bits, int(counts.sum()), int(known.sum()))
+            levels, pair_levels = (own.levels(k, np.zeros(len(k), np.int64)).astype(np.uint8) for k in (words, pair))
             bucket = rows[0][0]
-            data = fill(words[known], counts[known], pair, pair_counts, bits).tobytes()
-            out.append((bucket, -1, FILTER, save(n=counts.sum(), v=known.sum()), data, None))
-        cuts = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-        for i, r in enumerate(asked):
-            out.append((r[0], r[1], X.ANSWER, None, small_ints(counts[where[cuts[i] : cuts[i + 1]]]), None))
+            out.append((bucket, -1, SUMS, None, save(n=np.int64(own.n), v=np.int64(own.v)), None))
+            # for each chunk the levels of its words and of its pairs, and the exact counts of its words
+            told = {r[1]: [b"", b"", b""] for r in [*asked, *paired]}
+            at = 0
+            for r, k in zip(asked, keys, strict=True):
+                mine = where[at : at + len(k)]
+                told[r[1]][0], told[r[1]][2] = levels[mine].tobytes(), small_ints(counts[mine])
+                at += len(k)
+            at = 0
+            for r, k in zip(paired, pair_keys, strict=True):
+                told[r[1]][1] = pair_levels[pair_where[at : at + len(k)]].tobytes()
+                at += len(k)
+            out += [(bucket, chunk, X.ANSWER, a + b, c or small_ints(counts[:0]), None) for chunk, (a, b, c) in told.items()]
         answers = pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "kind", "h", "r", "t"])
         kept = table.filter(pa.array([r[2] == X.SKELETON for r in rows], pa.bool_()))
         return pa.concat_tables([kept.cast(answers.schema), answers])
@@ -205,87 +213,54 @@ def _count(bits: int):
     return one
 
 
-BASE = "rk long, n_known long, log_counts double"
-
-
-def _base(skeleton: bytes, rows: list) -> pa.Table:
-    s = load(skeleton)
-    by_word = np.concatenate([ints(r) for _, _, r in sorted(rows)]) if rows else np.zeros(0, np.int64)
-    counts = np.empty(len(by_word), np.int64)
-    counts[s["rank"]] = by_word
-    gaps = s["gaps"].astype(np.int64)
-    gaps[gaps == 65535] = s["wide"]
-    tf = np.frombuffer(zlib.decompress(s["tf"].tobytes()), np.uint8).astype(np.int64)
-    tf[tf == 255] = s["tf_wide"]
-    each, n_docs = s["each"], len(s["rk"])
-    doc = np.repeat(np.arange(n_docs), each)
-    total = np.cumsum(gaps)
-    starts = np.concatenate(([0], np.cumsum(each)))[:-1]
-    word = total - np.repeat(total[starts] - gaps[starts], each)
-    c = counts[word]
-    return pa.table([
-        pa.array(s["rk"], pa.int64()), pa.array(np.bincount(doc, tf * (c > 0), n_docs).astype(np.int64), pa.int64()), pa.array(np.bincount(doc, tf * np.log10(c + 1.0), n_docs), pa.float64()),
-    ], names=["rk", "n_known", "log_counts"])
-
-
-def train(keyed: DataFrame, *, filter_bits: int = FILTER_BITS) -> tuple[Filter, DataFrame]:
-    """The filter of the rows that are not held_out, and for each row key (of all rows) n_known and the sum of log10(count + 1).
-
-    keyed: text, held_out, rk.
-    """
-    spark = keyed.sparkSession
-    n_buckets = X.buckets(spark)
-    bits = max(64, filter_bits // n_buckets)
-    asked = keyed.select("text", "held_out", "rk").mapInArrow(_ask(n_buckets), SCHEMA)
-    answered = materialise(asked.groupBy("bucket").applyInArrow(_count(bits), SCHEMA))
-    ranges: list = [None] * n_buckets
-    n = v = 0
-    for r in answered.where(F.col("kind") == FILTER).select("bucket", "h", "r").toLocalIterator():
-        stats = load(bytes(r[1]))
-        ranges[r[0]], n, v = bytes(r[2]), n + int(stats["n"]), v + int(stats["v"])
-    base = X.assemble(answered.where(F.col("kind").isin(X.SKELETON, X.ANSWER)), _base, BASE)
-    return Filter(ranges, bits, n, v), base.dropDuplicates(["rk"])
-
-
-def text_scores(model: Filter, data: np.ndarray, offsets: np.ndarray, mu: float = MU) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and log10 probability of each text."""
-    t, first = tokens(data, offsets)
-    words, where = np.unique(t, return_inverse=True)
-    ends = np.searchsorted(words, END)
-    c_words = model.counts(words, X.bucket_of(words, model.n_ranges))
-    p_words = (c_words + 1) / (model.n + model.v + 1)
-    p, before = pairs(t, first)
-    pair, pair_where = np.unique(p, return_inverse=True)
-    c_pair = model.counts(_pair_key(pair), X.bucket_of(pair, model.n_ranges))[pair_where]
-    c_before = c_words[np.where(before == END, ends, np.concatenate(([ends], where[:-1]))) if len(t) else where]
-    p_each = (np.minimum(c_pair, c_before) + mu * p_words[where]) / (c_before + mu)
-    return np.diff(first), np.add.reduceat(np.log10(p_each), first[:-1]) if len(first) > 1 else np.zeros(0)
-
-
-def score(keyed: DataFrame, model: Filter) -> DataFrame:
-    """doc_id, held_out, rk, n_tokens and score of every row."""
-    sent = keyed.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            for part, data, offsets in K.steps(batch):
-                n, s = text_scores(sent.value, data, offsets)
-                yield pa.RecordBatch.from_arrays([K.long_of(part.column(0)), part.column(2), part.column(3), pa.array(n, pa.int64()), pa.array(s, pa.float64())], ["doc_id", "held_out", "rk", "n_tokens", "score"])
-
-    return keyed.select("doc_id", "text", "held_out", "rk").mapInArrow(run, "doc_id long, held_out boolean, rk long, n_tokens long, score double")
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scored(n: int, v: int, mu: float = MU):
+    """Both scores of a chunk's documents; n tokens and v words were counted."""
+
+    def build(skeleton: bytes, rows: list) -> pa.Table:
+        s = load(skeleton)
+        rows = sorted(rows)
+        by_word = [ints(r) for _, _, r in rows]
+        word_levels = [np.frombuffer(h, np.uint8)[: len(c)] for (_, h, _), c in zip(rows, by_word, strict=True)]
+        pair_levels = np.concatenate([np.frombuffer(h, np.uint8)[len(c) :] for (_, h, _), c in zip(rows, by_word, strict=True)])
+        words, first = s["words"], np.concatenate(([0], np.cumsum(s["n"])))
+        counts, c_words = np.empty(len(words), np.int64), np.empty(len(words))
+        order = np.argsort(words)
+        counts[order], c_words[order] = np.concatenate(by_word), count_of(np.concatenate(word_levels).astype(np.int64))
+        number = np.frombuffer(zlib.decompress(s["numbers"].tobytes()), "<u2").astype(np.int64)
+        number[number == 65535] = s["wide"]
+        n_docs = len(s["ids"])
+        doc = np.repeat(np.arange(n_docs), s["n"])
+        p, before = pairs(words[number], first)
+        pair, at, where = np.unique(p, return_index=True, return_inverse=True)
+        c_before = np.where(before[at] == END, c_words[number[first[1] - 1]], c_words[number[at - 1]])
+        p_word = (c_words[number[at]] + 1) / (n + v + 1)
+        p_pair = np.log10((np.minimum(count_of(pair_levels.astype(np.int64)), c_before) + mu * p_word) / (c_before + mu))
+        base = np.log10((counts + 1.0) / (n + v + 1.0))[number]
+        return pa.table([
+            pa.array(s["ids"], pa.int64(), mask=s["null"]), pa.array(s["held"], pa.bool_()), pa.array(s["n"], pa.int64()), pa.array(np.bincount(doc, counts[number] > 0, n_docs).astype(np.int64), pa.int64()),
+            pa.array(np.full(n_docs, n), pa.int64()), pa.array(np.bincount(doc, base, n_docs), pa.float64()), pa.array(np.bincount(doc, p_pair[where], n_docs), pa.float64()),
+        ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return build
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """Tokens and scores of every row of docs (doc_id, text, held_out) by the counts of the rows that are not held_out."""
+    n_buckets = X.buckets(docs.sparkSession)
+    asked = docs.select("doc_id", "text", "held_out").mapInArrow(_ask(n_buckets), SCHEMA)
+    answered = materialise(asked.groupBy("bucket").applyInArrow(_count(max(64, FILTER_BITS // n_buckets)), SCHEMA))
+    sums = [load(bytes(r[0])) for r in answered.where(F.col("kind") == SUMS).select("r").toLocalIterator()]
+    n, v = (sum(int(x[c]) for x in sums) for c in ("n", "v"))
+    return X.assemble(answered.where(F.col("kind").isin(X.SKELETON, X.ANSWER)), _scored(n, v), SCORES)
 
 
 def op6_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    keyed = docs.select("doc_id", "text", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), F.xxhash64(F.struct("doc_id", "text")).alias("rk"))
-    model, base = train(keyed)
-    scored = score(keyed, model).join(base, "rk")
-    total = float(np.log10(model.n + model.v + 1.0))
-    return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("log_counts") - F.col("n_tokens") * F.lit(total)).alias("base_score"), "score",
-    )
+    return score(docs.select("doc_id", "text", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out")))
 
 
 QUERIES = {"op6_log_frequency_bloom": op6_log_frequency_bloom}
