@@ -279,6 +279,28 @@ def test_pseudonyms(spark, docs):
     assert got[1]["text"] == f"a {got[2]['text']} b" and got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == "plain"
 
 
+def test_pseudonyms_of_dates_are_no_shift():
+    import datetime
+
+    f = pseudonyms.Feistel(b"k")
+    for size in (1, 2, 3, 10, 26, 100):
+        assert sorted(f.walk("t", i, size) for i in range(size)) == list(range(size))
+        assert all(f.walk("t", f.walk("t", i, size), size, back=True) == i for i in range(size))
+    days = [datetime.date(2001, 1, 1) + datetime.timedelta(i) for i in range(365)]
+    new = [datetime.date.fromisoformat(pseudonyms.pseudonym(f, "date", d.isoformat())) for d in days]
+    shift = {(b - a).days for a, b in zip(days, new, strict=True)}
+    assert len(shift) > 300 and len(set(new)) == 365
+    for d, n in zip(days, new, strict=True):
+        for form in ("{0.day:02d}.{0.month:02d}.{0.year}", "{0.month:02d}/{0.day:02d}/{0.year}" if d.day > 12 else "{0.day:02d}/{0.month:02d}/{0.year}"):
+            text = form.format(d)
+            assert pseudonyms.pseudonym(f, "date", text) == form.format(n)
+            assert pseudonyms.pseudonym(f, "date", form.format(n), back=True) == text
+    for symbols in ("abcdefghijklmnopqrstuvwxyz", "0123456789"):
+        to = [pseudonyms.pseudonym(f, "email", f"{c}@example.com")[0] for c in symbols]
+        assert sorted(to) == sorted(symbols)
+        assert len({(symbols.index(t) - i) % len(symbols) for i, t in enumerate(to)}) > 2
+
+
 def test_divergence(spark, rows, docs):
     import collections
 

@@ -2,13 +2,15 @@
 
 Values are found by pattern, validated (Luhn for cards, mod 97 for IBANs, octets, calendar dates ...), turned into a number in the exact
 domain of their format, permuted there and written back in the same format, so a card stays a valid card and a date a valid date.
-The network adds a keyed round function of one part to the other, modulo the other's size; that is a bijection for any two sizes, so
-no cycle walking is needed. The permutation depends only on key, kind and domain: equal values get equal pseudonyms in all documents,
+The network adds a keyed round function of one part to the other, modulo the other's size; that is a bijection for any two sizes. Domains
+without two real parts (dates, single letters or digits) are permuted in the next larger product of two nearly equal sizes, again and
+again until the result is inside. The permutation depends only on key, kind and domain: equal values get equal pseudonyms in all documents,
 whatever separators they are written with, and the key holder can undo them.
 
 Kinds, in the order in which an overlap is settled: secret (keys, tokens and passwords, each character within its class), email (letters and
 digits before the @), iban, card, ip, ssn, phone, date.
-Dates stay within DATES; ISO, day/month and month/day forms keep their form. Numbers that do not validate stay as they are.
+Dates stay within DATES; ISO, day/month and month/day forms keep their form. Days up to the 12th and later days are permuted apart, so
+a month/day form stays one, and a date has the same pseudonym in every form; whether the day is past the 12th stays visible. Numbers that do not validate stay as they are.
 
 Defined results: null text stays null, empty stays empty, no value found leaves the text as it is; a value next to letters or digits
 is not one; repeated rows get equal results.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 
 import pyarrow as pa
@@ -73,8 +76,20 @@ class Feistel:
                 right = (right - self._f(tag, i, left, b)) % b
         return left * b + right
 
+    def walk(self, tag: str, value: int, size: int, back: bool = False) -> int:
+        """A bijection of [0, size) with two real parts: permuted in a * b >= size until the result is inside."""
+        a = math.isqrt(size - 1) + 1
+        b = -(-size // a)
+        tag = f"{tag}/{size}"
+        while True:
+            value = (self.undo if back else self.permute)(tag, value, a, b)
+            if value < size:
+                return value
+
     def digits(self, tag: str, values: list[int], radices: list[int], back: bool = False) -> list[int]:
         """Permutes the mixed-radix numbers of these radices."""
+        if len(radices) == 1:
+            return [self.walk(tag, values[0], radices[0], back)]
         half = len(radices) // 2
         a = b = 1
         for r in radices[:half]:
@@ -179,17 +194,9 @@ def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | Non
     if not found or not DATES[0] <= found[0].toordinal() < DATES[1]:
         return None
     day, order = found
-    # forms that could be read in two ways keep a day that only their own reading allows
-    ordinal = day.toordinal() - DATES[0]
-    size = DATES[1] - DATES[0]
-    if order == "mdy":
-        days = _MDY
-        place = days.index(ordinal) if len(days) < 2 else _MDY_PLACE[ordinal]
-        ordinal = days[f.digits("date/mdy", [0, place], [1, len(days)], back)[1]]
-    elif order == "dmy" and "/" in text:
-        ordinal = f.digits("date", [0, ordinal], [1, size], back)[1]
-    else:
-        ordinal = f.digits("date", [0, ordinal], [1, size], back)[1]
+    late = day.day > 12
+    days, places = (_LATE, _LATE_PLACE) if late else (_EARLY, _EARLY_PLACE)
+    ordinal = days[f.walk("date/late" if late else "date/early", places[day.toordinal() - DATES[0]], len(days), back)]
     new_day = datetime.date.fromordinal(ordinal + DATES[0])
     if order == "ymd":
         return new_day.isoformat()
@@ -199,8 +206,8 @@ def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | Non
     return f"{first:02d}{mark}{second:02d}{mark}{new_day.year}" if wide else f"{first}{mark}{second}{mark}{new_day.year}"
 
 
-_MDY = [o - DATES[0] for o in range(*DATES) if datetime.date.fromordinal(o).day > 12]
-_MDY_PLACE = {o: i for i, o in enumerate(_MDY)}
+_LATE, _EARLY = ([o - DATES[0] for o in range(*DATES) if (datetime.date.fromordinal(o).day > 12) == late] for late in (True, False))
+_LATE_PLACE, _EARLY_PLACE = ({o: i for i, o in enumerate(days)} for days in (_LATE, _EARLY))
 _SOME = re.compile(r"[0-9@]|[=:]")
 
 
