@@ -324,6 +324,26 @@ def test_divergence(spark, rows, docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_limits_learnt_from_good_texts(spark):
+    import random
+
+    rnd = random.Random(3)
+    content = [f"{a}{b}" for a in ("stone", "river", "garden", "window", "market", "letter") for b in ("", "s", "ed", "er")]
+    prose = lambda n: " ".join(rnd.choice(content if rnd.random() < 0.6 else divergence.COMMON_WORDS["en"]) for _ in range(n))
+    rows = [(i, prose(100 + i % 200), "en") for i in range(200)]
+    rows.append((300, " ".join(rnd.choice(content) for _ in range(200)), "en"))
+    rows.append((301, " ".join(w + "#$" * (i % 2) for i, w in enumerate(prose(200).split())), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    by = {r["doc_id"]: r for r in divergence.assess(docs, good=docs.where("doc_id < 300")).collect()}
+    assert by[301]["n_symbols"] < 0.25 * by[301]["word_chars"] and not by[300]["base_failed"] and not by[301]["base_failed"]
+    assert not by[300]["kept"] and not by[301]["kept"]
+    assert sum(by[i]["kept"] for i in range(200)) >= 180
+    # the fixed limits pass both
+    fixed = {r["doc_id"]: r["kept"] for r in divergence.assess(docs).collect()}
+    assert fixed[300] and fixed[301]
+    assert divergence.limits(divergence.assess(docs.limit(0))) == {b: (divergence.MOST_CHAR_DISTANCE, divergence.MOST_WORD_DISTANCE) for b in divergence.BANDS}
+
+
 def test_cascade_is_exact(spark):
     keys = [f"host{i}.example" for i in range(4000)]
     universe = spark.createDataFrame([(k,) for k in keys], "key string")

@@ -4,6 +4,9 @@ Each document's histogram of character classes, and its histogram of common word
 Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). A document is kept if it passes the base rules and some
 language is near in both. Texts too short for a histogram to say much are not judged by it (``min_chars``, ``min_words``).
 
+How far is too far differs with length, so limits can be learnt (``limits``): for each band of lengths a high quantile of the distances of
+rows that are known to be good text. Without these the two fixed limits judge, as in the registered query and its SQL.
+
 References are sums over all rows of a language with null-free text and lang; languages without a word list or without rows
 have no reference. One row of sums for each listed language reaches the driver.
 
@@ -29,6 +32,9 @@ SYMBOLS = r"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "symbol", "other")
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.35, 0.6
 MIN_CHARS, MIN_WORDS = 200, 40
+#: Least words of the bands of lengths for which limits are learnt.
+BANDS = (0, 40, 80, 160, 320, 1000)
+QUANTILE = 0.99
 WINDOW = 8
 _SPACE = " \t\n\x0b\f\r"
 
@@ -109,7 +115,22 @@ def distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def judge(featured: DataFrame, reference: dict, *, most_char_distance: float = MOST_CHAR_DISTANCE, most_word_distance: float = MOST_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+def limits(judged: DataFrame, *, quantile: float = QUANTILE) -> dict[int, tuple[float, float]]:
+    """For each band the most char_distance and word_distance, learnt from rows of judge() that are good text.
+
+    A band without such rows takes the limits of the next shorter one, as distances fall with length; the first ones are the fixed limits.
+    """
+    band = F.greatest(*[F.when(F.col("n_words") >= b, b).otherwise(0) for b in BANDS])
+    cut = [F.percentile(c, F.lit(quantile)).alias(c) for c in ("char_distance", "word_distance")]
+    found = {r["band"]: r for r in judged.groupBy(band.alias("band")).agg(*cut).collect()}
+    out, last = {}, (MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE)
+    for b in BANDS:
+        own = (found[b]["char_distance"], found[b]["word_distance"]) if b in found else (None, None)
+        out[b] = last = tuple(x if x is not None else y for x, y in zip(own, last, strict=True))
+    return out
+
+
+def judge(featured: DataFrame, reference: dict, *, learnt: dict[int, tuple[float, float]] | None = None, most_char_distance: float = MOST_CHAR_DISTANCE, most_word_distance: float = MOST_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """featured with char_distance and word_distance (to the nearest language; null if not judged), base_failed and kept."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -124,14 +145,21 @@ def judge(featured: DataFrame, reference: dict, *, most_char_distance: float = M
         return F.when(judged, found[0] if len(found) == 1 else F.least(*found)) if found else F.lit(None).cast("double")
 
     out = shares.withColumn("char_distance", nearest("_chars", 0, F.col("_n") >= min_chars)).withColumn("word_distance", nearest("_words", 1, F.col("n_words") >= min_words))
-    far = (F.coalesce("char_distance", F.lit(0.0)) > most_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > most_word_distance)
+    most_char, most_word = F.lit(most_char_distance), F.lit(most_word_distance)
+    for band, (char, word) in sorted((learnt or {}).items()):
+        most_char, most_word = (F.when(F.col("n_words") >= band, x).otherwise(y) for x, y in ((char, most_char), (word, most_word)))
+    far = (F.coalesce("char_distance", F.lit(0.0)) > most_char) | (F.coalesce("word_distance", F.lit(0.0)) > most_word)
     return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("_n", "_chars", "_words")
 
 
-def assess(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, features, distances, base_failed and kept of every row."""
+def assess(docs: DataFrame, *, good: DataFrame | None = None, quantile: float = QUANTILE, **options) -> DataFrame:
+    """doc_id, features, distances, base_failed and kept of every row; good: doc_id of good texts, to learn limits from."""
     featured = materialise(features(docs.select("doc_id", "text", "lang")))
-    return judge(featured, references(featured), **options)
+    reference = references(featured)
+    if good is not None:
+        own = judge(featured.join(good.select("doc_id"), "doc_id", "left_semi"), reference, **options)
+        options["learnt"] = limits(own, quantile=quantile)
+    return judge(featured, reference, **options)
 
 
 def op8_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
