@@ -367,6 +367,16 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_long_lists_are_joined(spark, monkeypatch):
+    urls = ["http://a.example.net/en/x?q", "https://EXAMPLE.NET/de/", "http://www.example.com/de/1#f", "http://notexample.com/de/1", "http://x.org/fr/1", "http://www.cheap-pills.example.com/en/4", "http://cheap-pills.example.net/", "nothing", None, "", "http://"]
+    pages = spark.createDataFrame([(i % 13, urls[i % len(urls)]) for i in range(5 * len(urls))] + [(None, urls[0])] * 2, "page_id long, url string")
+    order = lambda frame: sorted(map(str, frame.collect()))
+    want = order(url_filter.judge(pages))
+    monkeypatch.setattr(url_filter, "MOST_LISTED", 3)
+    assert order(url_filter.judge(pages)) == want and len(want) == pages.count()
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
 def test_batches_are_bounded(spark):
     from veriledger.llm import storage
 

@@ -6,7 +6,7 @@ judged by the first level that does not hold it. The universe is all keys that t
 is exact, and a url is judged by probes alone, without a join.
 
 The list is a parameter of at most ``MOST_LISTED`` keys and the levels shrink by half, so the broadcast filters have a bound
-that depends on the list and only through a logarithm on the universe. A longer list goes another way: an exact join.
+that depends on the list and only through a logarithm on the universe. judge() takes a longer list another way: an exact join.
 
 Defined results: a null url, or one without ://, has empty host and path, fits no rule and is allowed; repeated urls get equal
 results; an empty table gives none. Of rules that fit, the longest by characters wins; of equals the one with the longer host.
@@ -80,7 +80,7 @@ def build(listed: Iterable[str], universe: DataFrame, n_universe: int) -> Cascad
     """universe: one column of distinct keys. Keys listed that no url asks for do no harm."""
     keys = sorted(set(listed))
     if len(keys) > MOST_LISTED:
-        raise ValueError(f"a cascade takes at most {MOST_LISTED} listed keys, not {len(keys)}; use listed_by_join()")
+        raise ValueError(f"a cascade takes at most {MOST_LISTED} listed keys, not {len(keys)}; judge() joins longer lists")
     spark = universe.sparkSession
     inside = key_hashes(pa.array(keys, pa.string()))
     first = Bloom(inside, math.sqrt(0.5) * len(keys) / max(1, n_universe), 0)
@@ -101,12 +101,6 @@ def build(listed: Iterable[str], universe: DataFrame, n_universe: int) -> Cascad
     return Cascade(levels)
 
 
-def listed_by_join(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """The way for lists beyond the bound: urls (with parts()) whose host or a parent of it is in listed (one column), by a join."""
-    asked = urls.withColumn("_key", F.explode(suffixes(F.col("host"))))
-    return asked.join(listed.toDF("_key").distinct(), "_key", "left_semi").drop("_key").dropDuplicates()
-
-
 def host_of(url: Column) -> Column:
     rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -131,15 +125,32 @@ def asked_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.concat(own, F.flatten(F.transform(own, lambda d: F.transform(starts, lambda p: F.concat(d, p))))))
 
 
+def judged_by_join(urls: DataFrame, block: Iterable[str], allow: Iterable[str]) -> DataFrame:
+    """The way for lists beyond the bound: judge() for urls (page_id, host, path, keys) by a join with the listed keys. Repeated rows stay."""
+    spark = urls.sparkSession
+    # a key that is both is blocked, as the cascades have it
+    rows = [(k, "block") for k in set(block)] + [(k, "allow") for k in set(allow) - set(block)]
+    listed = spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["key", "verdict"]))
+    # one row for each host and path, so repeated urls meet the list once
+    asked = urls.select("host", "path", F.explode("keys").alias("key")).distinct()
+    hits = asked.join(listed, "key").withColumn("ruled", F.instr("key", "/") > 0)
+    best = hits.groupBy("host", "path").agg(F.max(F.when(F.col("ruled"), F.struct(F.length("key").alias("n"), F.instr("key", "/").alias("at"), "key", "verdict"))).alias("best"))
+    done = urls.join(best.withColumn("hit", F.lit(True)), ["host", "path"], "left")
+    verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("hit"), "block").otherwise("allow"))
+    return done.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
+
+
 def judge(pages: DataFrame, *, rules=RULES, listed_hosts=LISTED_HOSTS) -> DataFrame:
     """page_id, host, path, rule, verdict."""
     lengths = sorted({len(p) for _, p, _ in rules})
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("keys", asked_keys(F.col("host"), F.col("path"), lengths))
+    listed, allowed = {*[h + p for h, p, v in rules if v == "block"], *listed_hosts}, {h + p for h, p, v in rules if v == "allow"}
+    if max(len(listed), len(allowed)) > MOST_LISTED:
+        return judged_by_join(urls, listed, allowed)
     universe = materialise(urls.select(F.explode("keys").alias("key")).distinct())
     n = universe.count()
-    block = build([*[h + p for h, p, v in rules if v == "block"], *listed_hosts], universe, n)
-    allow = build([h + p for h, p, v in rules if v == "allow"], universe, n)
+    block, allow = build(listed, universe, n), build(allowed, universe, n)
     sent = pages.sparkSession.sparkContext.broadcast((block, allow))
 
     def run(batches):
