@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 DIR = "spark.checkpoint.dir"
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (as in tests) one of our own."""
+    """spark.checkpoint.dir of the session. Where it is unset, one of our own in local mode (as in tests); on a cluster that is an error."""
     path = spark.conf.get(DIR, None) or spark.sparkContext.getConf().get(DIR)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"{DIR} is not set: tables between steps need a folder that all executors share")
         path = tempfile.mkdtemp(prefix="veriledger-")
         spark.conf.set(DIR, path)
     return path.rstrip("/")
@@ -24,4 +30,40 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veriledger-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._veriledger_path = path
+    for paths in _open[-1:]:
+        paths.append(path)
+    return written
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*written: DataFrame) -> None:
+    """Removes tables of materialise() that nothing reads any more."""
+    for df in written:
+        if path := getattr(df, "_veriledger_path", None):
+            _remove(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Removes at its end all tables that were written inside, but those appended to the list that it gives.
+
+    What an operator returns reads such tables, so it has to be written or collected inside.
+    """
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        paths = _open.pop()
+        stay = {getattr(df, "_veriledger_path", None) for df in kept}
+        for paths_outside in _open[-1:]:
+            paths_outside += [p for p in paths if p in stay]
+        for path in paths:
+            if path not in stay:
+                _remove(spark, path)
