@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriledger.llm import kernels as K
+from veriledger.llm.workers import lean
 
 SPAN, KGRAM = 10, 5
 BLOCK_BYTES = 16 << 20
@@ -196,7 +197,7 @@ def _against(source: DataFrame, sent, keep) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "hit_spans", "item_ids", "_digest", *[f.name for f in carried]])
 
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(lean(run), schema)
     return out
 
 

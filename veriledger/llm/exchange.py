@@ -9,7 +9,8 @@ Rows of (hash, place) would make a shuffle of tens of bytes per entry, so entrie
 2. grouped by bucket, hashes are sorted and the references of repeated ones go back, grouped by chunk;
 3. grouped by chunk, the skeleton turns references into results.
 
-Buckets follow ``spark.sql.shuffle.partitions``; a chunk has about ``CHUNK_BYTES`` of text. Chunk ids come from the
+Buckets follow ``spark.sql.shuffle.partitions``; a chunk has about ``CHUNK_BYTES`` of text. Rows name their bucket by a key that Spark's own
+hash puts into the bucket's partition, so each partition gets as many buckets as any other. Chunk ids come from the
 partition and ordinal, so a task that is run again gives the same ids.
 """
 
@@ -20,15 +21,41 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 4 << 20
+from veriledger.llm.workers import lean
+
+CHUNK_BYTES = 2 << 20
+BUCKETS_EACH = 2
 ASK, SKELETON, ANSWER = 0, 1, 2
 SCHEMA = "bucket int, chunk long, kind int, h binary, r binary, t binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("h", pa.binary()), ("r", pa.binary()), ("t", pa.binary())])
 LOW40 = np.uint64((1 << 40) - 1)
 
 
-def buckets(spark: SparkSession) -> int:
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _partition_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where hash partitioning into n parts puts 32-bit integers: Murmur3 with the seed 42."""
+    k = keys.astype(np.uint32) * np.uint32(0xCC9E2D51)
+    k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+    h = np.uint32(42) ^ k
+    h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(by)
+    return (h ^ h >> np.uint32(16)).astype(np.int32).astype(np.int64) % n
+
+
+def bucket_keys(spark: SparkSession) -> np.ndarray:
+    """Each bucket's key, ascending: BUCKETS_EACH for each shuffle partition."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = 64 * n
+    while True:
+        keys = np.arange(size, dtype=np.int32)
+        part = _partition_of(keys, n)
+        order = np.argsort(part, kind="stable")
+        nth = np.arange(size) - np.searchsorted(part[order], part[order])
+        chosen = order[nth < BUCKETS_EACH]
+        if len(chosen) == n * BUCKETS_EACH:
+            return np.sort(keys[chosen])
+        size *= 2
 
 
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -65,7 +92,7 @@ class Chunks:
         return self.base | (self.next - 1)
 
 
-def asks(chunk: int, hashes: np.ndarray, refs: np.ndarray, n_buckets: int, width: int, ref: str, skeleton: bytes) -> tuple[pa.RecordBatch, np.ndarray]:
+def asks(chunk: int, hashes: np.ndarray, refs: np.ndarray, keys: np.ndarray, width: int, ref: str, skeleton: bytes) -> tuple[pa.RecordBatch, np.ndarray]:
     """The rows of one chunk, and which entries (in the order of hashes) are repeated inside it.
 
     hashes need to be sorted. skeleton gets these entries' marks through its maker, so it is added by finish().
@@ -81,14 +108,14 @@ def asks(chunk: int, hashes: np.ndarray, refs: np.ndarray, n_buckets: int, width
         sent = refs.astype(ref)
         sent[same] = none_of(ref)
         hashes, sent = hashes[first], sent[first]
-    of = bucket_of(hashes, n_buckets)
-    cuts = np.searchsorted(of, np.arange(n_buckets + 1))
-    rows = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
+    of = bucket_of(hashes, len(keys))
+    cuts = np.searchsorted(of, np.arange(len(keys) + 1))
+    rows = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
     h = [pack(hashes[cuts[b] : cuts[b + 1]], width) for b in rows]
     r = [sent[cuts[b] : cuts[b + 1]].tobytes() for b in rows]
     k = len(rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array([*rows, chunk % n_buckets], pa.int32()), pa.array([chunk] * (k + 1), pa.int64()), pa.array([ASK] * k + [SKELETON], pa.int32()), pa.array([*h, None], pa.binary()), pa.array([*r, None], pa.binary()), pa.array([None] * k + [skeleton], pa.binary())],
+        [pa.array([*keys[rows].tolist(), int(keys[chunk % len(keys)])], pa.int32()), pa.array([chunk] * (k + 1), pa.int64()), pa.array([ASK] * k + [SKELETON], pa.int32()), pa.array([*h, None], pa.binary()), pa.array([*r, None], pa.binary()), pa.array([None] * k + [skeleton], pa.binary())],
         schema=_ARROW,
     ), same
 
@@ -126,7 +153,7 @@ def answer(asked: DataFrame, *, width: int, ref: str, with_hashes: bool = False)
             ], schema=_ARROW))
         return pa.concat_tables([t.cast(_ARROW) for t in out])
 
-    return asked.groupBy("bucket").applyInArrow(one, SCHEMA)
+    return asked.groupBy("bucket").applyInArrow(lean(one), SCHEMA)
 
 
 def assemble(answered: DataFrame, build, schema: str) -> DataFrame:
@@ -138,4 +165,4 @@ def assemble(answered: DataFrame, build, schema: str) -> DataFrame:
         rows = [(b, h, r) for k, b, h, r in zip(kinds, _column(table, "bucket"), _column(table, "h"), _column(table, "r"), strict=True) if k == ANSWER]
         return build(skeleton, rows)
 
-    return answered.groupBy("chunk").applyInArrow(one, schema)
+    return answered.groupBy("chunk").applyInArrow(lean(one), schema)

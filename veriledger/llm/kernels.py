@@ -17,6 +17,10 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 2 << 20
+#: Bytes and words that hashes are taken of at once, so that what is held beside the text does not grow with it.
+BLOCK_BYTES, BLOCK_WORDS = 1 << 18, 1 << 16
+#: Powers that are kept from one step to the next.
+MOST_POWERS = 1 << 22
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -42,7 +46,7 @@ _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 class Powers:
-    """Powers of an odd number and of its inverse modulo 2^64, grown when needed."""
+    """Powers of an odd number and of its inverse modulo 2^64, grown when needed. Those for a very long text are not kept."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -55,6 +59,8 @@ class Powers:
                 a = np.full(max(n, 1 << 16), b, U64)
                 a[0] = 1
                 grown.append(np.multiply.accumulate(a))
+            if n > MOST_POWERS:
+                return grown[0], grown[1]
             self.up, self.down = grown
         return self.up[:n], self.down[:n]
 
@@ -134,7 +140,15 @@ def row_hashes(rows: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(data), starts, ends)
+    """Hashes of words (ascending, apart), a block of them at once."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, low + BLOCK_BYTES, "right")))
+        out[i:j] = span_hash(prefix_hash(data[low : ends[j - 1]]), starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -142,11 +156,16 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
-    up, down = _WORDS.to(len(hashes))
-    total = np.empty(len(hashes) + 1, U64)
-    total[0] = 0
-    np.cumsum(hashes * up, out=total[1:])
-    return mix((total[width:] - total[:-width]) * down[:n] + U64(width))
+    out = np.empty(n, U64)
+    for at in range(0, n, BLOCK_WORDS):
+        own = hashes[at : at + BLOCK_WORDS + width - 1]
+        up, down = _WORDS.to(len(own))
+        total = np.empty(len(own) + 1, U64)
+        total[0] = 0
+        np.cumsum(own * up, out=total[1:])
+        m = len(own) - width + 1
+        out[at : at + m] = mix((total[width:] - total[:-width]) * down[:m] + U64(width))
+    return out
 
 
 def window_starts(firsts: np.ndarray, width: int) -> np.ndarray:

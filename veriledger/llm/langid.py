@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from veriledger.llm import kernels as K
 from veriledger.llm.storage import small_batches
+from veriledger.llm.workers import lean
 
 PROFILE_SIZE = 400
 _LETTER: np.ndarray | None = None
@@ -121,7 +122,7 @@ def _summed(names: dict[str, list]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 def learn(labelled: DataFrame, *, size: int = PROFILE_SIZE) -> Profiles:
     """Profiles from all rows with text and lang."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
-    counted = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(lean(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counted.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size)
     return Profiles([(r[0], r[1], r[2]) for r in top.select("lang", "gram", "rank").collect()], size)
@@ -143,7 +144,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, keep: tuple[str, ...] | Non
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def fold(column: str, parts: int) -> F.Column:

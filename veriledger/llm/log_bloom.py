@@ -31,10 +31,13 @@ from veriledger.llm.langid import fold
 from veriledger.llm.small_ints import ints, small_ints
 from veriledger.llm.storage import materialise, small_batches
 from veriledger.llm.substrings import load, save
+from veriledger.llm.workers import lean
 
 FILTER_BITS, PROBES, MU = 1 << 28, 6, 2000.0
 END = np.uint64(0x5BD1E995C2B2AE3D)
 PAIRS, SUMS = 3, 4
+#: Longer chunks than elsewhere: a word goes out once for each chunk.
+CHUNK_BYTES = 4 << 20
 SCHEMA = X.SCHEMA
 
 
@@ -128,11 +131,13 @@ def _pair_key(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(0xFFFFFFFF)) | np.uint64(1) << np.uint64(40)
 
 
-def _ask(n_buckets: int):
+def _ask(bucket_keys: np.ndarray):
+    n_buckets = len(bucket_keys)
+
     def run(batches):
         chunks = X.Chunks()
         for batch in batches:
-            for part, data, offsets in K.steps(batch, limit=X.CHUNK_BYTES):
+            for part, data, offsets in K.steps(batch, limit=CHUNK_BYTES):
                 chunk = chunks.new()
                 t, first = tokens(data, offsets)
                 n_docs = len(offsets) - 1
@@ -159,9 +164,9 @@ def _ask(n_buckets: int):
                     for b in range(n_buckets):
                         if cuts[b] < cuts[b + 1]:
                             s = slice(cuts[b], cuts[b + 1])
-                            for name, value in (("bucket", b), ("kind", kind), ("h", X.pack(keys[s], width)), ("r", small_ints(n[s])), ("t", None)):
+                            for name, value in (("bucket", int(bucket_keys[b])), ("kind", kind), ("h", X.pack(keys[s], width)), ("r", small_ints(n[s])), ("t", None)):
                                 rows[name].append(value)
-                for name, value in (("bucket", chunk % n_buckets), ("kind", X.SKELETON), ("h", None), ("r", None), ("t", skeleton)):
+                for name, value in (("bucket", int(bucket_keys[chunk % n_buckets])), ("kind", X.SKELETON), ("h", None), ("r", None), ("t", skeleton)):
                     rows[name].append(value)
                 k = len(rows["kind"])
                 yield pa.RecordBatch.from_arrays(
@@ -249,9 +254,9 @@ def _scored(n: int, v: int, mu: float = MU):
 
 def score(docs: DataFrame) -> DataFrame:
     """Tokens and scores of every row of docs (doc_id, text, held_out) by the counts of the rows that are not held_out."""
-    n_buckets = X.buckets(docs.sparkSession)
-    asked = docs.select("doc_id", "text", "held_out").mapInArrow(_ask(n_buckets), SCHEMA)
-    answered = materialise(asked.groupBy("bucket").applyInArrow(_count(max(64, FILTER_BITS // n_buckets)), SCHEMA))
+    keys = X.bucket_keys(docs.sparkSession)
+    asked = docs.select("doc_id", "text", "held_out").mapInArrow(lean(_ask(keys)), SCHEMA)
+    answered = materialise(asked.groupBy("bucket").applyInArrow(lean(_count(max(64, FILTER_BITS // len(keys)))), SCHEMA))
     sums = [load(bytes(r[0])) for r in answered.where(F.col("kind") == SUMS).select("r").toLocalIterator()]
     n, v = (sum(int(x[c]) for x in sums) for c in ("n", "v"))
     return X.assemble(answered.where(F.col("kind").isin(X.SKELETON, X.ANSWER)), _scored(n, v), SCORES)

@@ -29,8 +29,9 @@ from veriledger.llm import exchange as X
 from veriledger.llm import kernels as K
 from veriledger.llm import small_ints as small
 from veriledger.llm.components import components
-from veriledger.llm.storage import materialise, small_batches
+from veriledger.llm.storage import discard, materialise, small_batches
 from veriledger.llm.substrings import load, save
+from veriledger.llm.workers import lean
 
 NGRAM, PERCENT = 5, 75
 BLOCK_TOKENS = 2_000_000
@@ -76,7 +77,7 @@ SETS = "doc_id long, n_shingles long, tokens binary"
 def place_of(df: np.ndarray, bucket: np.ndarray | int, low: np.ndarray) -> np.ndarray:
     """An n-gram's id, which is its place in the global order: frequency (in steps of a fourth root of two), bucket, hash."""
     level = np.minimum(63, (4 * np.log2(np.maximum(df, 1))).astype(np.int64))
-    return level << 57 | np.int64(bucket) << 40 | low.astype(np.int64)
+    return level << 57 | (np.asarray(bucket, np.int64) & 0x1FFFF) << 40 | low.astype(np.int64)
 
 
 def _blobs(table: pa.Table, kind: int) -> list[tuple]:
@@ -113,7 +114,8 @@ def _frequencies(table: pa.Table) -> pa.Table:
 def shared_sets(docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, and tokens: the ids of n-grams that other documents hold too, ascending, if they are enough for a link."""
     small_batches(docs.sparkSession)
-    n_buckets = min(X.buckets(docs.sparkSession), 1 << 16)
+    keys = X.bucket_keys(docs.sparkSession)
+    n_buckets = len(keys)
 
     def ask(batches):
         chunks = X.Chunks()
@@ -137,13 +139,13 @@ def shared_sets(docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT) -> D
                 for b in range(n_buckets):
                     s, m = slice(cuts[b], cuts[b + 1]), slice(cuts_some[b], cuts_some[b + 1])
                     if s.start < s.stop:
-                        add(b, X.ASK, X.pack(one[s], 5), one_doc[s].tobytes())
+                        add(int(keys[b]), X.ASK, X.pack(one[s], 5), one_doc[s].tobytes())
                     if m.start < m.stop:
-                        add(b, ASK_MANY, X.pack(some[m], 5), small.small_ints(some_n[m]))
+                        add(int(keys[b]), ASK_MANY, X.pack(some[m], 5), small.small_ints(some_n[m]))
                 ids = part.column(0)
-                add(chunk % n_buckets, X.SKELETON, t=save(
+                add(int(keys[chunk % n_buckets]), X.SKELETON, t=save(
                     ids=ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null=np.asarray(ids.is_null()), sizes=sizes,
-                    some=some, runs=some_n, docs=d[~alone].astype("<u2"), n_buckets=np.int64(n_buckets),
+                    some=some, runs=some_n, docs=d[~alone].astype("<u2"),
                 ))
                 k = len(rows["kind"])
                 yield pa.RecordBatch.from_arrays(
@@ -157,12 +159,12 @@ def shared_sets(docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT) -> D
         tokens, of = [], []
         for kind, b, h, r, t in rows:
             if kind == X.ANSWER:
-                tokens.append(place_of(small.ints(t), b, X.unpack(h, 5)))
+                tokens.append(place_of(small.ints(t), np.searchsorted(keys, b), X.unpack(h, 5)))
                 of.append(np.frombuffer(r, "<u2").astype(np.int64))
         told = sorted((b, t) for kind, b, _, _, t in rows if kind == ASK_MANY)
         if told:
             df = np.concatenate([small.ints(t) for _, t in told])
-            tokens.append(np.repeat(place_of(df, X.bucket_of(s["some"], int(s["n_buckets"])), s["some"] & X.LOW40), s["runs"]))
+            tokens.append(np.repeat(place_of(df, X.bucket_of(s["some"], n_buckets), s["some"] & X.LOW40), s["runs"]))
             of.append(s["docs"].astype(np.int64))
         tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
         of = np.concatenate(of) if of else np.zeros(0, np.int64)
@@ -174,8 +176,8 @@ def shared_sets(docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT) -> D
             pa.array([X.pack(tokens[cuts[i] : cuts[i + 1]], TOKEN_BYTES) if enough[i] else None for i in range(len(sizes))], pa.binary()),
         ], names=["doc_id", "n_shingles", "tokens"])
 
-    asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ask, X.SCHEMA)
-    return asked.groupBy("bucket").applyInArrow(_frequencies, X.SCHEMA).groupBy("chunk").applyInArrow(build, SETS)
+    asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(ask), X.SCHEMA)
+    return asked.groupBy("bucket").applyInArrow(lean(_frequencies), X.SCHEMA).groupBy("chunk").applyInArrow(lean(build), SETS)
 
 
 class Classes:
@@ -352,8 +354,8 @@ def families(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         u, v = _forest(np.concatenate([doc[:-1][near], tie.column(1).to_numpy()]), np.concatenate([doc[1:][near], tie.column(3).to_numpy()]))
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    entries = sets.select("doc_id", "n_shingles", "tokens").mapInArrow(prefixes, "tok long, doc long, low long, high long")
-    return components(entries.repartition(n_parts, "tok").mapInArrow(edges, "u long, v long"))
+    entries = sets.select("doc_id", "n_shingles", "tokens").mapInArrow(lean(prefixes), "tok long, doc long, low long, high long")
+    return components(entries.repartition(n_parts, "tok").mapInArrow(lean(edges), "u long, v long"))
 
 
 def _grouped(batches, key: int):
@@ -381,7 +383,7 @@ def _join_groups(rows: DataFrame, percent: int) -> DataFrame:
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = rows.select("part", "doc_id", "n_shingles", "tokens", "known").repartition(n, "part").sortWithinPartitions("part")
-    return ready.mapInArrow(run, "part string, doc_id long, root long")
+    return ready.mapInArrow(lean(run), "part string, doc_id long, root long")
 
 
 def classes(sets: DataFrame, *, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -389,6 +391,7 @@ def classes(sets: DataFrame, *, percent: int = PERCENT, block_tokens: int = BLOC
     family = materialise(families(sets, percent))
     rows = sets.join(family, F.col("doc_id") == F.col("id")).select("doc_id", "n_shingles", "tokens", F.col("component").alias("family"))
     rows = materialise(rows)
+    discard(family)
     none = F.lit(None).cast("long").alias("known")
     n_tokens = F.length("tokens") / TOKEN_BYTES
     total = rows.groupBy("family").agg(F.ceil(F.sum(n_tokens) / block_tokens).cast("int").alias("n_blocks"))
@@ -437,9 +440,12 @@ def link(docs: DataFrame, *, n: int = NGRAM, percent: int = PERCENT, block_token
     copies = materialise(near.select("doc_id", "print", "salt").join(first, ["print", "salt"]).select("doc_id", "first"))
     heads = materialise(near.select("doc_id", "n_shingles", "tokens").join(copies.where("doc_id = first").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "tokens"]))
     roots = materialise(classes(heads, percent=percent, block_tokens=block_tokens))
+    discard(heads)
     label = copies.join(roots.groupBy(F.col("doc_id").alias("head")).agg(F.min("root").alias("root")), F.col("first") == F.col("head"), "left")
     label = label.select("doc_id", F.coalesce("root", "first").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = all_sets.select("doc_id", "n_shingles").join(label, "doc_id", "left")
+    sizes = materialise(all_sets.select("doc_id", "n_shingles"))
+    discard(all_sets)
+    out = sizes.join(label, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from veriledger.llm import kernels as K
 from veriledger.llm.storage import materialise, small_batches
 from veriledger.llm.tokenise import Tokeniser
+from veriledger.llm.workers import lean
 
 CAPACITY, END_ID = 2048, 0
 ROUNDS, MOST_PATTERNS, STEPS = 6, 8000, 150
 #: Bytes of text that are tokenised at once.
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 def vocabulary() -> str:
@@ -78,7 +79,7 @@ def pieces_of(docs: DataFrame, *, path: str | None = None, capacity: int = CAPAC
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *["token_ids"] * with_ids])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), schema)
 
 
 def patterns(left: np.ndarray, capacity: int, most: int) -> np.ndarray:
@@ -225,8 +226,16 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
         histogram[length] = n
     sent = spark.sparkContext.broadcast(Places(plan(histogram, capacity), capacity))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    ranked = pieces.join(before, ["part", "length"]).withColumn("_rank", F.col("rank") + F.col("_before")).drop("_before", "part", "rank")
+    before = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+
+    def dense(table: pa.Table) -> pa.Table:
+        by_length = np.zeros(capacity + 1, np.int64)
+        by_length[table.column("length").to_numpy()] = table.column("before").to_numpy()
+        return pa.table([table.column("part")[:1], pa.array([by_length], pa.list_(pa.int64()))], names=["part", "_before"])
+
+    # one row a task: how many pieces of each length the tasks before it have
+    offsets = materialise(before.groupBy("part").applyInArrow(lean(dense), "part long, _before array<long>"))
+    ranked = pieces.join(offsets, "part").withColumn("_rank", F.col("rank") + F.get("_before", F.col("length").cast("int"))).drop("_before", "part", "rank")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "_rank") + ", sequence_id long, offset long"
     names = [c for c in ranked.columns if c != "_rank"]
 
@@ -236,7 +245,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = sent.value.of(get("length").to_numpy(), get("_rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*map(get, names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(lean(run), schema)
 
 
 def pack_documents(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriledger.llm.storage import small_batches
+from veriledger.llm.workers import lean
 
 KEY = b"change-me: keyed pseudonyms"
 ROUNDS = 10
@@ -261,7 +262,7 @@ def pseudonymise(docs: DataFrame, *, key: bytes = KEY) -> DataFrame:
             own[at] = pa.array([t for t, _ in new], pa.string())
             yield pa.RecordBatch.from_arrays([*own, pa.array([x for _, x in new], kind)], [*batch.schema.names, "pii_found"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from veriledger.llm import exchange as X
 from veriledger.llm import kernels as K
 from veriledger.llm.storage import materialise, small_batches
+from veriledger.llm.workers import lean
 
 WIDTH = 35
 #: Difference covers of about the square root of their period.
@@ -56,11 +57,11 @@ def _places(skeleton: bytes, rows: list) -> pa.Table:
     return pa.table([pa.array(s["rk"][some], pa.int64()), pa.array([(refs[cuts[d] : cuts[d + 1]] - s["firsts"][d]).astype("<u4").tobytes() for d in some], pa.binary())], names=["rk", "places"])
 
 
-def ask_places(chunks: X.Chunks, n_buckets: int, width: int, hashes: np.ndarray, places: np.ndarray, firsts: np.ndarray, rk: np.ndarray) -> pa.RecordBatch:
+def ask_places(chunks: X.Chunks, keys: np.ndarray, width: int, hashes: np.ndarray, places: np.ndarray, firsts: np.ndarray, rk: np.ndarray) -> pa.RecordBatch:
     """One chunk's question which of its places (positions over the chunk) have hashes that occur elsewhere."""
     order = np.argsort(hashes, kind="stable")
     hashes, places = hashes[order], places[order]
-    batch, same = X.asks(chunks.new(), hashes, places, n_buckets, width, "<u4", b"")
+    batch, same = X.asks(chunks.new(), hashes, places, keys, width, "<u4", b"")
     skeleton = save(local=places[same].astype("<u4"), firsts=firsts, rk=rk)
     columns = batch.columns
     columns[5] = pa.array([*[None] * (batch.num_rows - 1), skeleton], pa.binary())
@@ -84,7 +85,7 @@ def windows_repeated(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     anchor = width - period + 1
     at_cover = np.zeros(period, bool)
     at_cover[list(cover)] = True
-    n = X.buckets(docs.sparkSession)
+    keys = X.bucket_keys(docs.sparkSession)
 
     def anchors(batches):
         chunks = X.Chunks()
@@ -98,9 +99,9 @@ def windows_repeated(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
                 inside = at - np.repeat(low, np.maximum(high - low, 0))
                 at = at[at_cover[inside % period]]
                 found = K.window_hashes(hashes, anchor)
-                yield ask_places(chunks, n, 5, found[at] if len(at) else np.zeros(0, K.U64), at, firsts, part.column(1).to_numpy(zero_copy_only=False))
+                yield ask_places(chunks, keys, 5, found[at] if len(at) else np.zeros(0, K.U64), at, firsts, part.column(1).to_numpy(zero_copy_only=False))
 
-    marked = repeated_places(docs.select("text", "rk").mapInArrow(anchors, X.SCHEMA), 5)
+    marked = repeated_places(docs.select("text", "rk").mapInArrow(lean(anchors), X.SCHEMA), 5)
 
     def windows(batches):
         chunks = X.Chunks()
@@ -115,11 +116,11 @@ def windows_repeated(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
                 at = K.window_starts(firsts, width)
                 at = at[near[at]]
                 found = K.window_hashes(K.word_hashes(data, starts, ends), width)
-                yield ask_places(chunks, n, 8, found[at] if len(at) else np.zeros(0, K.U64), at, firsts, part.column(2).to_numpy(zero_copy_only=False))
+                yield ask_places(chunks, keys, 8, found[at] if len(at) else np.zeros(0, K.U64), at, firsts, part.column(2).to_numpy(zero_copy_only=False))
 
     # merged, so that rows come in the order of rk and a task that runs again numbers its chunks as before
     candidates = docs.join(marked.hint("merge"), "rk").select("doc_id", "text", "rk", "places")
-    return repeated_places(candidates.mapInArrow(windows, X.SCHEMA), 8)
+    return repeated_places(candidates.mapInArrow(lean(windows), X.SCHEMA), 8)
 
 
 def remove_repeats(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
@@ -149,7 +150,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
                     ["doc_id", "n_words", "removed", "kept_text"],
                 )
 
-    return keyed.join(places.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", "places").mapInArrow(keep, schema)
+    return keyed.join(places.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", "places").mapInArrow(lean(keep), schema)
 
 
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, keep: np.ndarray) -> pa.Array:

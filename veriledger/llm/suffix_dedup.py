@@ -30,6 +30,7 @@ from veriledger.llm.gsaca import suffix_array
 from veriledger.llm.small_ints import ints, small_ints
 from veriledger.llm.storage import materialise, small_batches
 from veriledger.llm.substrings import load, save, with_row_key
+from veriledger.llm.workers import lean
 
 LENGTH, WINDOW = 200, 61
 #: Contexts that one suffix array holds; a group of more is taken apart.
@@ -93,7 +94,9 @@ def _rows(table: pa.Table) -> list[tuple]:
     return list(zip(*(table.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "h", "r", "t")), strict=True))
 
 
-def _ask_anchors(n_buckets: int):
+def _ask_anchors(keys: np.ndarray):
+    n_buckets = len(keys)
+
     def run(batches):
         chunks = X.Chunks()
         for batch in batches:
@@ -121,14 +124,14 @@ def _ask_anchors(n_buckets: int):
                 for b in range(n_buckets):
                     s = order[cuts[b] : cuts[b + 1]]
                     if len(s):
-                        out.append((b, chunk, X.ASK, X.pack(g[s], 5), X.pack(sent[s], 5) + (n[s] > 1).astype(np.uint8).tobytes(), None))
+                        out.append((int(keys[b]), chunk, X.ASK, X.pack(g[s], 5), X.pack(sent[s], 5) + (n[s] > 1).astype(np.uint8).tobytes(), None))
                 again = np.ones(len(places), bool)
                 again[first] = False
                 skeleton = save(
                     rk=part.column(1).to_numpy(zero_copy_only=False), offsets=offsets, gaps=np.frombuffer(small_ints(np.diff(places, prepend=0)), np.uint8),
-                    bucket=bucket.astype(np.uint8 if n_buckets <= 256 else np.uint32), again=np.packbits(again), refs=own[again].astype(np.int32), mixed=np.packbits(mixed),
+                    bucket=bucket.astype(np.uint8 if n_buckets <= 256 else np.uint32), keys=keys, again=np.packbits(again), refs=own[again].astype(np.int32), mixed=np.packbits(mixed),
                 )
-                yield _batch([*out, (chunk % n_buckets, chunk, X.SKELETON, None, None, skeleton)])
+                yield _batch([*out, (int(keys[chunk % n_buckets]), chunk, X.SKELETON, None, None, skeleton)])
 
     return run
 
@@ -162,7 +165,7 @@ def _places(table: pa.Table) -> pa.Table:
     said = np.zeros(len(s["bucket"]), np.uint8)
     for b, _, kind, _, answer, _ in rows:
         if kind == X.ANSWER:
-            said[s["bucket"] == b] = np.frombuffer(answer, np.uint8)
+            said[s["bucket"] == np.searchsorted(s["keys"], b)] = np.frombuffer(answer, np.uint8)
     places = np.cumsum(ints(s["gaps"].tobytes()))
     again = np.unpackbits(s["again"], count=len(places)).astype(bool)
     own = np.zeros(len(places), np.int64)
@@ -185,7 +188,8 @@ def _places(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(rk, pa.int64()), pa.array(sure, pa.binary()), pa.array(open_, pa.binary())], names=["rk", "sure", "open"])
 
 
-def _ask_contexts(n_buckets: int):
+def _ask_contexts(keys: np.ndarray):
+    n_buckets = len(keys)
     gram = LENGTH - WINDOW + 1
 
     def run(batches):
@@ -220,9 +224,9 @@ def _ask_contexts(n_buckets: int):
                 for b in range(n_buckets):
                     s = slice(cuts[b], cuts[b + 1])
                     if s.start < s.stop:
-                        out.append((b, chunk, X.ASK, X.pack(g[s], 8), notes[s].tobytes(), around[s].tobytes()))
+                        out.append((int(keys[b]), chunk, X.ASK, X.pack(g[s], 8), notes[s].tobytes(), around[s].tobytes()))
                 skeleton = save(rk=part.column(1).to_numpy(zero_copy_only=False), doc=doc.astype(np.int32), places=(places - offsets[doc]).astype("<u4"), own=number[where].astype(np.int32))
-                yield _batch([*out, (chunk % n_buckets, chunk, X.SKELETON, None, None, skeleton)])
+                yield _batch([*out, (int(keys[chunk % n_buckets]), chunk, X.SKELETON, None, None, skeleton)])
 
     return run
 
@@ -411,16 +415,16 @@ def _found(table: pa.Table) -> pa.Table:
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(rk, sure, found): byte spans to remove, for each distinct rk that has some; keyed from with_row_key()."""
-    n = X.buckets(keyed.sparkSession)
-    asked = keyed.select("text", "rk").mapInArrow(_ask_anchors(n), X.SCHEMA)
-    judged = asked.groupBy("bucket").applyInArrow(_judge, X.SCHEMA).groupBy("chunk").applyInArrow(_places, JUDGED)
+    keys = X.bucket_keys(keyed.sparkSession)
+    asked = keyed.select("text", "rk").mapInArrow(lean(_ask_anchors(keys)), X.SCHEMA)
+    judged = asked.groupBy("bucket").applyInArrow(lean(_judge), X.SCHEMA).groupBy("chunk").applyInArrow(lean(_places), JUDGED)
     judged = materialise(judged.groupBy("rk").agg(F.max("sure").alias("sure"), F.max("open").alias("open")))
     waiting = judged.where("open IS NOT NULL").select("rk", "open")
     # each copy of a row is an occurrence of its own, as in the tables
     # merged, so that rows come in the order of rk and a task that runs again numbers its chunks as before
     texts = keyed.join(waiting.hint("merge"), "rk").select("text", "rk", "open")
-    contexts = texts.mapInArrow(_ask_contexts(n), X.SCHEMA)
-    found = contexts.groupBy("bucket").applyInArrow(_solve, X.SCHEMA).groupBy("chunk").applyInArrow(_found, "rk long, found binary")
+    contexts = texts.mapInArrow(lean(_ask_contexts(keys)), X.SCHEMA)
+    found = contexts.groupBy("bucket").applyInArrow(lean(_solve), X.SCHEMA).groupBy("chunk").applyInArrow(lean(_found), "rk long, found binary")
     none = F.lit(None).cast("binary")
     both = judged.select("rk", "sure", none.alias("found")).union(found.select("rk", none.alias("sure"), "found"))
     return both.groupBy("rk").agg(F.max("sure").alias("sure"), F.max("found").alias("found")).where("sure IS NOT NULL OR found IS NOT NULL")
@@ -451,7 +455,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([K.long_of(part.column(0)), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, runs), kept], ["doc_id", "n_bytes", "removed", "kept"])
 
     joined = keyed.join(spans.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", "sure", "found")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, removed array<struct<begin:long,end:long>>, kept binary")
+    return joined.mapInArrow(lean(cut), "doc_id long, n_bytes long, removed array<struct<begin:long,end:long>>, kept binary")
 
 
 def op4_suffix_grouping_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

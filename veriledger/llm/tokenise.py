@@ -7,6 +7,7 @@ special token's string in them go through the library itself. The ids equal the
 
 from __future__ import annotations
 
+import functools
 import json
 import sys
 import unicodedata
@@ -19,12 +20,15 @@ from veriledger.llm import kernels as K
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: White space of Unicode.
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-MOST_KEPT = 250_000
+MOST_KEPT = 100_000
+#: Beyond it there are no letters, numbers or white space.
+LAST_ASSIGNED = 0x33479
 
 
+@functools.cache
 def _classes() -> np.ndarray:
     out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    for c in range(sys.maxunicode + 1):
+    for c in range(LAST_ASSIGNED + 1):
         kind = unicodedata.category(chr(c))[0]
         if kind == "L":
             out[c] = LETTER
@@ -81,8 +85,8 @@ class Tokeniser:
         quote = quote[(kind[quote + 1] == LETTER) & ~new[quote + 1]]
         if len(quote):
             one = np.isin(points[quote + 1], [ord(c) for c in "stmd"])
-            padded = np.append(points, 0)
-            both = padded[quote + 1] * 65536 + padded[quote + 2]
+            second = np.where(quote + 2 < n, points[np.minimum(quote + 2, n - 1)], 0).astype(np.int64)
+            both = points[quote + 1].astype(np.int64) * 65536 + second
             same_text = np.append(new, True)[quote + 2] == False  # noqa: E712
             two = np.isin(both, [ord(a) * 65536 + ord(b) for a, b in ("re", "ve", "ll")]) & same_text
             for q, width in ((quote[one], 1), (quote[two], 2)):
@@ -99,14 +103,15 @@ class Tokeniser:
         raw = data.tobytes()
         if any(s in raw for s in self.special):
             return self._by_library(raw, offsets)
-        points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+        points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
         if not len(points):
             return np.zeros(0, np.int64), np.zeros(n_texts + 1, np.int64)
-        size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-        byte_at = np.concatenate(([0], np.cumsum(size)))
+        size = 1 + (points >= 0x80).astype(np.uint8) + (points >= 0x800) + (points >= 0x10000)
+        byte_at = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(size, out=byte_at[1:])
         starts = byte_at[self.starts(points, np.searchsorted(byte_at, offsets[:-1]))]
         ends = np.append(starts[1:], len(data))
-        hashes = K.span_hash(K.prefix_hash(data), starts, ends)
+        hashes = K.word_hashes(data, starts, ends)
         distinct, sample, where = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.place) + len(distinct) > MOST_KEPT:
             self.place.clear()

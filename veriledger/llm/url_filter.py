@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from veriledger.llm import kernels as K
 from veriledger.llm.storage import materialise
+from veriledger.llm.workers import lean
 
 MOST_LISTED = 2_000_000
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -92,7 +93,7 @@ def build(listed: Iterable[str], universe: DataFrame, n_universe: int) -> Cascad
             taken = batch.filter(pa.array(level.holds(key_hashes(batch.column(0)))))
             yield taken.filter(pa.array([k not in own for k in taken.column(0).to_pylist()], pa.bool_()))
 
-    outside = key_hashes(pa.array([r[0] for r in universe.toDF("key").mapInArrow(mistakes, "key string").toLocalIterator()], pa.string()))
+    outside = key_hashes(pa.array([r[0] for r in universe.toDF("key").mapInArrow(lean(mistakes), "key string").toLocalIterator()], pa.string()))
     levels, held, wrong = [first], inside, outside
     while len(wrong):
         level = Bloom(wrong, 0.5, len(levels))
@@ -169,7 +170,7 @@ def judge(pages: DataFrame, *, rules=RULES, listed_hosts=LISTED_HOSTS) -> DataFr
                 verdict.append(ruled[3] if ruled else "block" if hit else "allow")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
-    return urls.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    return urls.mapInArrow(lean(run), "page_id long, host string, path string, rule string, verdict string")
 
 
 def op9_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
