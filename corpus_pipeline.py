@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriledger.llm import decontaminate, langid, ngram_join, packing, pseudonyms
-from veriledger.llm.storage import materialise
+from veriledger.llm.storage import discard, materialise, scope
 
 #: A text that is this far from every language's profile is not taken for a text in one of them.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -64,5 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with scope(spark) as kept:
+            kept.append(materialise(stage(spark, docs, sf_dir)))
+        discard(docs)
+        docs = kept[0]
     return docs
