@@ -64,13 +64,15 @@ def test_search(spark, folder):
 
 
 def test_nearest_ties_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
     rows = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(12)], "row_id long, vector array<double>").repartition(3)
     queries = spark.createDataFrame([(q, [float(q % 3), 1.0]) for q in range(5)], "query_id long, vector array<double>")
-    got = {}
-    for r in retrieval.nearest(queries, rows, 2, digits=9).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["row_id"]))
-    assert {q: sorted(v) for q, v in got.items()} == {q: [(1, q % 3), (2, q % 3 + 3)] for q in range(5)}
+    for options in ({}, {"most_sent": 0, "large_block": 3}):
+        got = {}
+        for r in retrieval.nearest(queries, rows, 2, digits=9, **options).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["row_id"]))
+        assert {q: sorted(v) for q, v in got.items()} == {q: [(1, q % 3), (2, q % 3 + 3)] for q in range(5)}
+        assert retrieval.nearest(queries, rows.limit(0), 2, **options).count() == 0 and retrieval.nearest(queries.limit(0), rows, 2, **options).count() == 0
 
 
 def test_grounding_is_for_flagged_accounts(spark, folder):

@@ -8,7 +8,8 @@ import os
 
 import pytest
 
-from veriledger.queries import QUERIES, SQL
+from veriledger import dossier_queries, queries  # noqa: F401  they enter their queries
+from veriledger.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")

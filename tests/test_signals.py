@@ -144,6 +144,6 @@ def test_findings_and_scorecard(spark, tmp_path):
     reports.write_findings(finding, str(tmp_path / "findings"))
     assert spark.read.json(str(tmp_path / "findings")).count() == 1
     summary = reports.fuzz_summary(reports.fuzz_cases(spark)).collect()[0]
-    assert (summary["cases"], summary["known_gaps"], summary["gap_ids"]) == (6, 0, [])
+    assert (summary["cases"], summary["known_gaps"], summary["gap_ids"]) == (9, 0, [])
     ring = L.ring_ledger(spark)
     assert '"tp": 3' in reports.scorecard(evaluation.topology_report(V.verdicts(ring), ring)[0])

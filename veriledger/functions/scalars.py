@@ -25,24 +25,10 @@ def seconds_between(earlier: Column, later: Column) -> Column:
     return (later - earlier) / F.lit(1e6)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def unit(a: Column) -> Column:
-    """The vector at length 1; a zero vector stays."""
-    norm = F.sqrt(dot(a, a))
-    return F.when(norm > 0, F.transform(a, lambda x: x.cast("double") / norm)).otherwise(F.transform(a, lambda x: x.cast("double")))
-
-
 def ratio(n: Column, d: Column, otherwise: float) -> Column:
     return F.when(d > 0, n / d).otherwise(F.lit(otherwise))
 
 
-def zero_padded(c: Column, width: int) -> Column:
-    return F.lpad(c.cast("string"), width, "0")
-
-
 def fixed(c: Column, digits: int) -> Column:
     """The double with so many digits, ties as Python and SQL engines with exact binary values round them."""
 

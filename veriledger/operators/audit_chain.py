@@ -1,7 +1,8 @@
 """An append-only audit log whose entries carry the hash of the one before.
 
 Hashing forward is sequential by its nature: each entry needs the previous hash. So payloads are made in parallel, and one ordered task folds
-over them, streaming. Checking is parallel: each entry names its predecessor's hash, so links and hashes are checked apart.
+over them, streaming. Checking is parallel: each entry names its predecessor's hash, so links and hashes are checked apart. Where one chain is too
+long for one task, keep a log for each segment (a day, a region): each has its own head, and append() and verify() work on each alone.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriledger.errors import AuditError
 from veriledger.functions.scalars import canonical_json
+from veriledger.storage import materialise
 
 GENESIS = "GENESIS"
 WARNING_KEY = "SYSTEM_AUDIT_WARNING"
@@ -141,8 +143,6 @@ def append(records: DataFrame, path: str, *, order: list[str], created_at: str)
     """Chains records after the log's head, writes their lines, and returns them."""
     spark = records.sparkSession
     chained = chain(records, order=order, created_at=created_at, head=head_of(spark, path))
-    from veriledger.storage import materialise
-
     chained = materialise(chained)
     chained.select("line").coalesce(1).write.mode("append").text(path)
     return chained
@@ -163,7 +163,3 @@ def verify(spark: SparkSession, path: str) -> bool:
         raise AuditError(f"entry {bad[0]['sequence_number']}: the {'chain is broken' if bad[0]['kind'] == 'link' else 'content was changed'}")
     return True
 
-
-def with_previous(rows: DataFrame, order: str, column: str = "entry_hash", genesis: str = GENESIS) -> DataFrame:
-    """rows with the value of the row before in this order; a window for logs that carry no sequence numbers."""
-    return rows.withColumn("_before", F.coalesce(F.lag(column).over(Window.orderBy(order)), F.lit(genesis)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veriledger.errors import GroundingEvaluationError, TopologyEvaluationError
 from veriledger.functions.scalars import ratio
+from veriledger.sources.corpus import read_corpus
 
 TOLERANCE = 1e-9
 
@@ -104,6 +105,11 @@ def evaluate_grounding(grounded: DataFrame, corpus: DataFrame) -> DataFrame:
     return grounding_report(grounding_details(cited, corpus), corpus)
 
 
+def evaluate_grounding_of(grounded: DataFrame, folder: str) -> DataFrame:
+    """evaluate_grounding() against the provision files as they are now, read again and apart from any index."""
+    return evaluate_grounding(grounded, read_corpus(grounded.sparkSession, folder).provisions)
+
+
 def classify_outcomes(cases: DataFrame, defined: tuple[str, ...]) -> DataFrame:
     """cases (case_id, exception_type, expected_outcome) with outcome (typed_error, untyped_error, no_error) and is_known_gap."""
     outcome = F.when(F.col("exception_type").isNull(), "no_error").when(F.col("exception_type").isin(*defined), "typed_error").otherwise("untyped_error")

@@ -15,23 +15,31 @@ from veriledger.storage import materialise
 
 TOP_K = 3
 DIMENSIONS = 256
-#: Query vectors that one pass over the rows compares at once.
-QUERY_BLOCK = 4096
+#: Rows (or queries) that one comparison holds, and numbers of a side that is broadcast whole.
+BLOCK, MOST_SENT = 1024, 8_000_000
+#: Rows of either side in a block, where both sides are too large to be sent.
+LARGE_BLOCK = 50_000
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def hashing_embedder(dimensions: int = DIMENSIONS) -> Callable[[Column], Column]:
-    """Hashed word counts at unit length: an embedder that needs no model. A model's goes in its place as another function of text."""
+    """Hashed word counts at unit length: an embedder that needs no model. A model's goes in its place as another function of text.
 
-    @F.pandas_udf("array<float>")
+    A word's place and sign come from its MD5. Words: digits, letters A-Z in lower case, and all beyond ASCII.
+    """
+
+    @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
+        import hashlib
         import re
-        import zlib
+
+        fold, word = str.maketrans(_UPPER, _LOWER), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
         def one(text):
-            v = np.zeros(dimensions, np.float32)
-            for w in re.findall(r"\w+", (text or "").lower()):
-                h = zlib.crc32(w.encode())
-                v[h % dimensions] += 1 if h >> 31 else -1
+            v = np.zeros(dimensions)
+            for w in word.findall((text or "").translate(fold)):
+                h = hashlib.md5(w.encode()).hexdigest()
+                v[int(h[:8], 16) % dimensions] += 1 if h[8] < "8" else -1
             n = np.linalg.norm(v)
             return (v / n if n else v).tolist()
 
@@ -46,54 +54,77 @@ def index(corpus: Corpus, embed: Callable[[Column], Column] | None = None) -> Da
     return materialise(corpus.provisions.withColumn("vector", embed(embedding_text(F.col("title"), F.col("text"), F.col("keywords")))))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = TOP_K, *, digits: int | None = None) -> DataFrame:
+def _unit(vectors) -> np.ndarray:
+    matrix = np.array([np.asarray(v, np.float64) for v in vectors])
+    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norm > 0, norm, 1)
+
+
+def _best(q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k best of rows for each of q, best first, ties to the smaller id. A block of both at once."""
+    all_s, all_i = [], []
+    for a in range(0, len(q), BLOCK):
+        own = q[a : a + BLOCK]
+        kept_s, kept_i = np.zeros((len(own), 0)), np.zeros((len(own), 0), np.int64)
+        for b in range(0, len(ids), BLOCK):
+            s = own @ rows[b : b + BLOCK].T
+            s = np.round(s, digits) + 0.0 if digits is not None else s
+            s = np.concatenate([kept_s, s], 1)
+            i = np.concatenate([kept_i, np.broadcast_to(ids[b : b + BLOCK], (len(own), len(ids[b : b + BLOCK])))], 1)
+            order = np.lexsort((i, -s), axis=1)[:, :k]
+            kept_s, kept_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        all_s.append(kept_s)
+        all_i.append(kept_i)
+    return np.concatenate(all_s), np.concatenate(all_i)
+
+
+def _rows_of(query_ids, scores: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    n = scores.shape[1]
+    return pd.DataFrame({"query_id": np.repeat(np.asarray(query_ids), n), "row_id": ids.ravel(), "score": scores.ravel()})
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int = TOP_K, *, digits: int | None = None, most_sent: int = MOST_SENT, large_block: int = LARGE_BLOCK) -> DataFrame:
     """(query_id, row_id, score, rank): for each query the k rows with the highest cosine, ties to the smaller row_id.
 
-    queries: query_id, vector; rows: row_id, vector. Queries travel in blocks of bounded size; each task keeps its own best k for each
-    query, so what is shuffled is k rows for each query and task, never all pairs. digits: scores are rounded before they are ranked.
+    queries: query_id (of any type), vector; rows: row_id (long), vector. Rows of up to most_sent numbers (a rule corpus) are counted, then sent to all tasks, and
+    queries stay where they are. Otherwise both sides are cut into blocks of bounded size, each block of queries meets each block of rows, and k rows a
+    query and block are merged. digits: scores are rounded before they are ranked.
     """
     if k <= 0:
         raise IndexError_("top_k must be positive")
     spark = rows.sparkSession
-    out = None
-    block: list = []
-
-    def against(block_rows):
-        ids = np.array([r[0] for r in block_rows], np.int64)
-        matrix = np.array([r[1] for r in block_rows], np.float64)
-        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        sent = spark.sparkContext.broadcast((ids, matrix / np.where(norm > 0, norm, 1)))
-
-        def best(batches):
-            own, q = sent.value
-            kept_s = np.full((len(own), 0), -np.inf)
-            kept_i = np.zeros((len(own), 0), np.int64)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                s = q @ (v / np.where(n > 0, n, 1)).T
-                s = np.round(s, digits) + 0.0 if digits is not None else s
-                s = np.concatenate([kept_s, s], 1)
-                i = np.concatenate([kept_i, np.broadcast_to(pdf["row_id"].to_numpy(np.int64), (len(own), len(pdf)))], 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                kept_s, kept_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n_kept = kept_s.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(own, n_kept), "row_id": kept_i.ravel(), "score": kept_s.ravel()})
-
-        return rows.select("row_id", "vector").mapInPandas(best, "query_id long, row_id long, score double")
-
-    for r in queries.select("query_id", "vector").toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == QUERY_BLOCK:
-            part, block = against(block), []
-            out = part if out is None else out.unionByName(part)
-    if block or out is None:
-        part = against(block) if block else spark.createDataFrame([], "query_id long, row_id long, score double")
-        out = part if out is None else out.unionByName(part)
+    queries, rows = queries.select("query_id", "vector"), rows.select(F.col("row_id").cast("long").alias("row_id"), "vector")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, row_id long, score double"
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("numbers")).collect()[0]
+    if not size["n"]:
+        return spark.createDataFrame([], schema + ", rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if size["numbers"] <= most_sent:
+        held = rows.orderBy("row_id").collect()
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), _unit([r[1] for r in held])))
+
+        def against(batches):
+            ids, matrix = sent.value
+            for pdf in batches:
+                for a in range(0, len(pdf), BLOCK):
+                    part = pdf.iloc[a : a + BLOCK]
+                    scores, found = _best(_unit(part["vector"]), ids, matrix, k, digits)
+                    yield _rows_of(part["query_id"], scores, found).assign(rank=np.tile(np.arange(1, scores.shape[1] + 1, dtype=np.int32), len(part)))
+
+        return queries.mapInPandas(against, schema + ", rank int")
+    n_rows, n_queries = (max(1, -(-n // large_block)) for n in (size["n"], queries.count()))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("qb", block("query_id", n_queries)).withColumn("rb", spread(n_rows))
+    right = rows.withColumn("rb", block("row_id", n_rows)).withColumn("qb", spread(n_queries))
+
+    def both(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"query_id": [], "row_id": [], "score": []})
+        return _rows_of(q["query_id"], *_best(_unit(q["vector"]), r["row_id"].to_numpy(np.int64), _unit(r["vector"]), k, digits))
+
+    met = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(both, schema)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(indexed: DataFrame, text: str, *, top_k: int = TOP_K, embed: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -110,7 +141,7 @@ def query_text(account: Column, reasons: Column) -> Column:
     return F.concat(F.lit("Account "), account.cast("string"), F.lit(" flagged for suspicious money laundering typology. Structural signals observed: "), F.concat_ws("; ", reasons), F.lit("."))
 
 
-def ground(decided: DataFrame, corpus: Corpus, indexed: DataFrame, *, top_k: int = TOP_K, embed: Callable[[Column], Column] | None = None, strict: bool = False) -> DataFrame:
+def ground(decided: DataFrame, corpus: Corpus, indexed: DataFrame, *, top_k: int = TOP_K, embed: Callable[[Column], Column] | None = None, strict: bool = False, digits: int | None = None) -> DataFrame:
     """(account_id, query_text, provisions by rank, corpus_is_verified_real_text) for FLAGGED accounts only.
 
     decided: account_id, verdict, triggered_reasons. strict: a SAFE account is an error, raised before the index is used.
@@ -119,9 +150,9 @@ def ground(decided: DataFrame, corpus: Corpus, indexed: DataFrame, *, top_k: int
         raise RetrievalError("grounding is for flagged accounts only")
     text = query_text(F.col("account_id"), F.col("triggered_reasons"))
     asked = decided.where("verdict = 'FLAGGED'").select("account_id", text.alias("query_text"))
-    asked = materialise(asked.withColumn("query_id", F.xxhash64("account_id")).withColumn("vector", (embed or hashing_embedder())(F.col("query_text"))))
-    found = nearest(asked, indexed.select(F.col("ordinal").alias("row_id"), "vector"), top_k)
+    asked = materialise(asked.withColumn("query_id", F.col("account_id")).withColumn("vector", (embed or hashing_embedder())(F.col("query_text"))))
+    found = nearest(asked, indexed.select(F.col("ordinal").alias("row_id"), "vector"), top_k, digits=digits)
     named = found.join(indexed.drop("vector"), F.col("row_id") == F.col("ordinal"))
     item = F.struct("rank", "citation_id", "title", "text", F.col("score").alias("similarity_score"), "source_file")
     lists = named.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("provisions"))
-    return asked.join(lists, "query_id").select("account_id", "query_text", "provisions", F.lit(corpus.verified).alias("corpus_is_verified_real_text"))
+    return asked.select("account_id", "query_text", "query_id").join(lists, "query_id").select("account_id", "query_text", "provisions", F.lit(corpus.verified).alias("corpus_is_verified_real_text"))

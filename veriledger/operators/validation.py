@@ -55,6 +55,14 @@ def require_valid(rows: DataFrame, reasons: Column, what: str) -> DataFrame:
     return rows
 
 
+def require_accounts(accounts: DataFrame) -> DataFrame:
+    """accounts; one that breaks a rule of its own is a LedgerError here, as part of building a ledger. A broken transfer stays a RecordError."""
+    try:
+        return require_valid(accounts, account_reasons(), "account")
+    except RecordError as broken:
+        raise LedgerError(str(broken)) from broken
+
+
 def violations(accounts: DataFrame, transfers: DataFrame) -> DataFrame:
     """(check, subject) for each break of a ledger's structure."""
     ends = transfers.select(F.explode(F.array("src", "dst")).alias("account_id")).distinct()

@@ -72,9 +72,9 @@ def decide(measured: DataFrame, thresholds: Thresholds | None = None, *, rule=de
     return out.withColumn("triggered_reasons", written)
 
 
-def verdicts(ledger, thresholds: Thresholds | None = None, *, window_minutes: int = S.WINDOW_MINUTES, max_hops: int = S.MAX_HOPS, rule=device_gate, texts: bool = False) -> DataFrame:
-    """Signals and verdict of every account."""
-    return decide(S.signals(ledger, window_minutes=window_minutes, max_hops=max_hops), thresholds, rule=rule, texts=texts)
+def verdicts(ledger, thresholds: Thresholds | None = None, *, window_minutes: int = S.WINDOW_MINUTES, max_hops: int = S.MAX_HOPS, rule=device_gate, texts: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """Signals and verdict of every account, or of those in only (account_id)."""
+    return decide(S.signals(ledger, window_minutes=window_minutes, max_hops=max_hops, only=only), thresholds, rule=rule, texts=texts)
 
 
 def verdict_of(ledger, account_id, thresholds: Thresholds | None = None, *, window_minutes: int = S.WINDOW_MINUTES, max_hops: int = S.MAX_HOPS, rule=device_gate, texts: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veriledger.operators import audit_chain, retrieval
 from veriledger.operators.verdicts import Thresholds, verdict_of, verdicts
 from veriledger.sources.corpus import Corpus
+from veriledger.storage import materialise
 
 METRICS = ("account_id", "local_clustering_coefficient", "shared_device_account_count", "max_multi_hop_velocity_hops", "min_hop_interval_seconds")
 
@@ -32,13 +33,11 @@ def as_json(recorded: DataFrame) -> DataFrame:
     return recorded.select("account_id", F.when(F.col(audit_chain.WARNING_KEY).isNull(), quiet).otherwise(whole).alias("record_json"))
 
 
-def dossiers(ledger, corpus: Corpus, *, indexed: DataFrame | None = None, thresholds: Thresholds | None = None, top_k: int = retrieval.TOP_K, account_id=None, embed=None) -> DataFrame:
+def dossiers(ledger, corpus: Corpus, *, indexed: DataFrame | None = None, thresholds: Thresholds | None = None, top_k: int = retrieval.TOP_K, account_id=None, embed=None, digits: int | None = None) -> DataFrame:
     """Records of all accounts, or of one. Only flagged accounts reach the search."""
     decided = verdicts(ledger, thresholds, texts=True) if account_id is None else verdict_of(ledger, account_id, thresholds, texts=True)
-    from veriledger.storage import materialise
-
     decided = materialise(decided)
-    found = retrieval.ground(decided, corpus, indexed if indexed is not None else retrieval.index(corpus, embed), top_k=top_k, embed=embed)
+    found = retrieval.ground(decided, corpus, indexed if indexed is not None else retrieval.index(corpus, embed), top_k=top_k, embed=embed, digits=digits)
     return records(decided, found)
 
 

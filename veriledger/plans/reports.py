@@ -46,7 +46,8 @@ def fuzz_cases(spark: SparkSession) -> DataFrame:
     cases = {
         "negative_transaction_amount": lambda: transfer("a", "b", -500.0, base, "IMPS"), "naive_timezone_timestamp": lambda: transfer("a", "b", 1.0, base, "IMPS", naive=True),
         "self_loop_transaction": lambda: transfer("a", "a", 1.0, base, "IMPS"), "nan_kyc_risk_score": lambda: person(kyc_risk_score=float("nan")), "empty_string_device_id": lambda: person(device_ids=[""]),
-        "unknown_account": lambda: verdict_of(ledgers.hub_ledger(spark), "nobody", Thresholds()),
+        "unknown_account": lambda: verdict_of(ledgers.hub_ledger(spark), "nobody", Thresholds()), "threshold_out_of_range": lambda: Thresholds(min_clustering_coefficient=1.5),
+        "account_breaks_ledger": lambda: ledgers.checked_ledger(spark, [(*account[:5], 1.5)], []), "transfer_to_unknown_account": lambda: ledgers.checked_ledger(spark, [account], [("A", "nobody", 1.0, base, "IMPS")]),
     }
     rows = []
     for name, attempt in cases.items():

@@ -11,24 +11,11 @@ from pyspark.sql import functions as F
 
 from veriledger.functions.scalars import micros
 from veriledger.operators import audit_chain, evaluation, retrieval, signals, validation, verdicts
+from veriledger.registry import query
 from veriledger.sources import corpus as corpora
 from veriledger.sources import ledger as ledgers
 from veriledger.storage import materialise
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -212,11 +199,24 @@ _NEAREST = """SELECT query_id, row_id, score, rank FROM (
   FROM q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) r) WHERE rank <= 3"""
 
 
-@query(f"WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0) {_NEAREST}")
-def nearest_vectors_top3(spark, sf_dir):
+_EVERY_20TH = f"WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0) {_NEAREST}"
+
+
+def _every_20th(spark, sf_dir, **options):
     e = _table(spark, sf_dir, "embeddings")
     queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return retrieval.nearest(queries, e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector")), 3, digits=6)
+    return retrieval.nearest(queries, e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector")), 3, digits=6, **options)
+
+
+@query(_EVERY_20TH)
+def nearest_vectors_top3(spark, sf_dir):
+    return _every_20th(spark, sf_dir)
+
+
+@query(_EVERY_20TH)
+def nearest_vectors_in_blocks(spark, sf_dir):
+    """The way for sides that are both too large to be sent."""
+    return _every_20th(spark, sf_dir, most_sent=0, large_block=500)
 
 
 @query(f"""{_ALL}, {_SIGNS}, q AS (SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS v FROM s JOIN embeddings e ON e.vec_id = s.account_id WHERE dev AND (clu OR hop OR spd)) {_NEAREST}""")
@@ -308,20 +308,6 @@ def audit_chain_verify(spark, sf_dir):
     return audit_chain.broken_links(changed, F.sha2(F.concat("previous_entry_hash", F.lit("|"), F.col("payload")), 256))
 
 
-_CASES = [
-    ("negative_transaction_amount", "RecordError", "typed_error"), ("naive_timezone_timestamp", "RecordError", "typed_error"), ("self_loop_transaction", "RecordError", "typed_error"),
-    ("nan_kyc_risk_score", "RecordError", "typed_error"), ("empty_string_device_id", "RecordError", "typed_error"), ("node_without_account", "SignalError", "typed_error"),
-    ("raw_key_error", "KeyError", "typed_error"), ("silently_accepted", None, "typed_error"),
-]
-_CASE_SQL = ", ".join("('{}', {}, '{}')".format(a, "NULL" if b is None else f"'{b}'", c) for a, b, c in _CASES)
-
-
-@query(f"""SELECT *, outcome <> expected_outcome AS is_known_gap FROM (SELECT *, CASE WHEN exception_type IS NULL THEN 'no_error' WHEN exception_type IN ('RecordError', 'SignalError') THEN 'typed_error' ELSE 'untyped_error' END AS outcome
-FROM (VALUES {_CASE_SQL}) AS x(case_id, exception_type, expected_outcome))""")
-def fuzz_outcomes(spark, sf_dir):
-    return evaluation.classify_outcomes(spark.createDataFrame(_CASES, "case_id string, exception_type string, expected_outcome string"), ("RecordError", "SignalError"))
-
-
 #: Expected signals of the seeded ring: account, shared devices, hops, interval, verdict.
 RING = [
     *[(f"ACC-PLACE-{i:03d}", 0, h, g, "SAFE") for i, (h, g) in enumerate([(1, None), (2, 6840.0), (2, 3780.0), (2, 3300.0)])],

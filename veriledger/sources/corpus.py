@@ -60,11 +60,20 @@ def read_corpus(spark: SparkSession, folder: str) -> Corpus:
 
 
 def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """The same provisions through the distributed JSON reader, for folders too large to parse in one place; malformed files fail."""
-    schema = "verified_real_text boolean, provisions array<struct<citation_id:string,title:string,text:string,keywords:array<string>>>"
-    files = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").json(folder)
-    named = files.select("verified_real_text", F.col("_metadata.file_name").alias("source_file"), F.posexplode("provisions").alias("position", "p"))
-    return named.select("p.citation_id", "p.title", "p.text", F.coalesce("p.keywords", F.array().cast("array<string>")).alias("keywords"), "source_file", "position", "verified_real_text")
+    """Provisions through a distributed scan, for folders too large to parse in one place: the columns of SCHEMA but ordinal, and position, file_verified and missing.
+
+    missing: required keys that the provision lacks; a key with a null value is there. A file that is not an object with an array of provisions fails the scan.
+    """
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    parsed = F.from_json("value", "verified_real_text string, provisions array<string>", {"mode": "FAILFAST"})
+    named = files.select(parsed.alias("f"), F.col("_metadata.file_name").alias("source_file"))
+    listed = named.select("source_file", F.coalesce(~F.lower("f.verified_real_text").isin("false", "0", "", "null"), F.lit(False)).alias("file_verified"), F.posexplode("f.provisions").alias("position", "p"))
+    own = F.from_json("p", "citation_id string, title string, text string, keywords array<string>")
+    keys = F.coalesce(F.json_object_keys("p"), F.array().cast("array<string>"))
+    missing = F.array_except(F.array(*[F.lit(k) for k in _REQUIRED]), keys)
+    return listed.select(own.alias("o"), "source_file", "position", "file_verified", missing.alias("missing")).select(
+        "o.citation_id", "o.title", "o.text", F.coalesce("o.keywords", F.array().cast("array<string>")).alias("keywords"), "source_file", "position", "file_verified", "missing"
+    )
 
 
 def embedding_text(title, text, keywords):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriledger.errors import LedgerError
+from veriledger.operators import validation
 
 ACCOUNT_TYPES = ("PLACEMENT", "LAYERING", "INTEGRATION", "LEGITIMATE")
 ACCOUNTS = T.StructType([
@@ -104,6 +105,15 @@ def ledger(spark: SparkSession, accounts: list[tuple], transfers: list[tuple]) -
     return Ledger(spark.createDataFrame(accounts, ACCOUNTS), last_write_wins(rows, "_n").drop("_n"))
 
 
+def checked_ledger(spark: SparkSession, accounts: list[tuple], transfers: list[tuple]) -> Ledger:
+    """ledger() of rows that are valid and form one: broken accounts and a broken structure are LedgerErrors, broken transfers RecordErrors."""
+    made = ledger(spark, accounts, transfers)
+    validation.require_accounts(made.accounts)
+    validation.require_valid(made.transfers, validation.transfer_reasons(), "transfer")
+    validation.require_ledger(made.accounts, made.transfers)
+    return made
+
+
 def ring_rows(*, placement: int = 4, layering: int = 3, integration: int = 2, legitimate: int = 10, seed: int = 42) -> tuple[list[tuple], list[tuple]]:
     """A placement, layering, integration ring beside legitimate accounts, the same for the same seed."""
     if min(placement, layering, integration) < 1:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from veriledger.operators.signals import MAX_HOPS
 from veriledger.operators.verdicts import Thresholds, verdicts
 from veriledger.plans.dossier import METRICS, as_json
 from veriledger.sources.ledger import Ledger, last_write_wins
+from veriledger.storage import materialise
 
 
 def touched(transfers: DataFrame, new: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
@@ -41,8 +40,8 @@ def score_stream(stream: DataFrame, accounts: DataFrame, ledger_path: str, log_p
         known = spark.read.parquet(ledger_path)
         transfers = last_write_wins(known.select("src", "dst", "amount", "executed_at", "channel", "batch"), "batch").drop("batch")
         ledger = Ledger(accounts, transfers)
-        changed = touched(transfers, known.where(F.col("batch") == number))
-        decided = verdicts(ledger, thresholds, texts=True).join(changed, "account_id", "left_semi")
+        changed = materialise(touched(transfers, known.where(F.col("batch") == number)))
+        decided = verdicts(ledger, thresholds, texts=True, only=changed)
         none = F.lit(None)
         recorded = decided.select(
             "account_id", "verdict", "triggered_reasons", F.struct(*[F.col(m) for m in METRICS]).alias("metrics"), none.cast("array<string>").alias("regulatory_provisions"),
@@ -55,6 +54,3 @@ def score_stream(stream: DataFrame, accounts: DataFrame, ledger_path: str, log_p
 
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-
-def now() -> str:
-    return dt.datetime.now(dt.timezone.utc).isoformat()
