@@ -168,49 +168,80 @@ def test_language_model(spark, rows, docs, folder):
         assert r[6] < 0
 
 
-def test_filter_keeps_counts_within_a_factor_of_two():
+def _filter(words, word_counts, pairs, pair_counts, bits):
     import numpy as np
 
-    keys = np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.arange(1, 3001) % 900 + 1
-    bits = 1 << 19
-    model = log_bloom.Filter([log_bloom.fill(keys, counts, keys[:0], counts[:0], bits).tobytes()], bits, int(counts.sum()), 3000)
-    back = model.counts(keys, np.zeros(3000, np.int64))
-    assert (back >= counts / 2).all() and (back <= counts * 2).mean() > 0.9
-    assert (model.counts(keys + np.uint64(1), np.zeros(3000, np.int64)) == 0).mean() > 0.8
+    most = int(log_bloom.levels_of(np.concatenate([word_counts, pair_counts])).max(initial=0))
+    return log_bloom.Filter(log_bloom.fill(words, word_counts, pairs, pair_counts, bits), bits, most)
 
 
-def test_no_pair_stays_out_of_the_filter(spark, folder, rows):
-    import collections
+def test_levels():
+    import numpy as np
+
+    counts = np.arange(1, 100_000)
+    levels = log_bloom.levels_of(counts)
+    assert levels[:6].tolist() == [1, 2, 3, 4, 5, 6] and (np.diff(levels) >= 0).all() and log_bloom.levels_of(np.array([0, 1 << 62])).tolist() == [0, len(log_bloom.LEAST)]
+    least = log_bloom.LEAST[levels - 1]
+    assert (least <= counts).all() and (counts < np.maximum(1.26 * least, least + 1)).all()
+    assert len(log_bloom.LEAST) < 256
+    # what levels stand for adds up to the counts
+    assert log_bloom.means_of(log_bloom.sums_of(levels, counts))[levels].sum() == pytest.approx(counts.sum())
+
 
+def test_filter_gives_levels_back():
     import numpy as np
 
-    words, pairs = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n) for n in (200, 5000))
-    word_counts, pair_counts = np.full(200, 40), np.where(np.arange(5000) < 4000, 1, 7)
-    # far more pairs than 4096 bits have room for
-    crowded = log_bloom.Filter([log_bloom.fill(words, word_counts, pairs, pair_counts, 4096).tobytes()], 4096, 0, 0)
-    assert all((crowded.data[at >> 3] >> (at & 7) & 1).all() for at in log_bloom.places(pairs, 1, 4096))
+    words, pairs = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n) for n in (3000, 5000))
+    word_counts, pair_counts = np.arange(3000) % 900 + 1, np.where(np.arange(5000) < 4000, 1, 7)
     bits = log_bloom.bits_for(word_counts, pair_counts)
-    roomy = log_bloom.Filter([log_bloom.fill(words, word_counts, pairs, pair_counts, bits).tobytes()], bits, 0, 0)
-    back = roomy.counts(pairs, np.zeros(5000, np.int64))
-    assert (back >= pair_counts / 2).all() and (back <= 2 * pair_counts).mean() > 0.9
-    assert (roomy.counts(pairs + np.uint64(1), np.zeros(5000, np.int64)) == 0).mean() > 0.9
-    # whole scores, by counts within a factor of two
+    model = _filter(words, word_counts, pairs, pair_counts, bits)
+    for keys, counts in ((words, word_counts), (pairs, pair_counts)):
+        levels = model.levels(keys)
+        assert (levels >= log_bloom.levels_of(counts)).all() and (levels == log_bloom.levels_of(counts)).mean() > 0.95
+    assert (model.levels(pairs + np.uint64(1)) == 0).mean() > 0.95
+    # far more than 4096 bits have room for: nothing stays out, and asking ends
+    crowded = _filter(words, word_counts, pairs, pair_counts, 4096)
+    assert (crowded.levels(pairs) == log_bloom.levels_of(word_counts).max()).all()
+    assert _filter(words[:0], word_counts[:0], pairs[:0], pair_counts[:0], 64).levels(words).sum() == 0
+
+
+def _model(rows, mu=log_bloom.MU):
+    """Scores by exact levels, and the probability of a word after another (None for an unknown word), in plain Python."""
+    import collections
+
+    import numpy as np
+
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
-    of = {d: [*brute.lower_words(t), "\0"] for d, t in rows}
     single, double = collections.Counter(), collections.Counter()
     for d, t in rows:
         if not held(d):
             w = [*brute.lower_words(t), "\0"]
             single.update(w)
             double.update(zip(["\0", *w], w))
-    level = lambda c: 0 if not c else 1 if c == 1 else 1.5 * 2 ** (math.frexp(c)[1] - 1)
+
+    def quantised(counts):
+        by = collections.defaultdict(list)
+        for c in counts.values():
+            by[int(np.searchsorted(log_bloom.LEAST, c, "right"))].append(c)
+        return {k: sum(by[x]) / len(by[x]) for k, c in counts.items() for x in [int(np.searchsorted(log_bloom.LEAST, c, "right"))]}
+
+    one, two = quantised(single), quantised(double)
     total = sum(single.values()) + len(single) + 1
+    p1 = lambda w: (one.get(w, 0) + 1) / total
+    p = lambda w, v: (min(two.get((v, w), 0), single[v]) + mu * p1(w)) / (single[v] + mu)
+    return single, p1, p
+
+
+def test_scores_are_probabilities(spark, folder, rows):
+    single, p1, p = _model(rows)
+    assert sum(map(p1, single)) + p1(None) == pytest.approx(1, abs=1e-9)
+    for v in single:
+        assert sum(p(w, v) for w in single) + p(None, v) == pytest.approx(1, abs=0.02), v
+    of = {d: [*brute.lower_words(t), "\0"] for d, t in rows}
     for r in log_bloom.op6_log_frequency_bloom(spark, folder).collect():
         w = of[r["doc_id"]]
         if sum(d == r["doc_id"] for d, _ in rows) == 1:
-            want = sum(math.log10((min(level(double[b, a]), level(single[b])) + 2000 * (level(single[a]) + 1) / total) / (level(single[b]) + 2000)) for b, a in zip(["\0", *w], w))
-            assert r["score"] == pytest.approx(want, rel=0.05), r["doc_id"]
+            assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for b, a in zip(["\0", *w], w)), rel=0.02), r["doc_id"]
 
 
 def test_packing(spark, rows, docs):
