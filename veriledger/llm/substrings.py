@@ -45,7 +45,9 @@ def load(blob: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
-PLACES = "rk long, places binary"
+#: What tells rows apart: rows with an equal key have equal texts.
+KEY = ["did", "rk"]
+PLACES = "did long, rk long, places binary"
 
 
 def _places(skeleton: bytes, rows: list) -> pa.Table:
@@ -54,33 +56,37 @@ def _places(skeleton: bytes, rows: list) -> pa.Table:
     refs = np.unique(np.concatenate([s["local"], *[np.frombuffer(r, "<u4") for _, _, r in rows]]).astype(np.int64))
     cuts = np.searchsorted(refs, s["firsts"])
     some = np.flatnonzero(cuts[1:] > cuts[:-1])
-    return pa.table([pa.array(s["rk"][some], pa.int64()), pa.array([(refs[cuts[d] : cuts[d + 1]] - s["firsts"][d]).astype("<u4").tobytes() for d in some], pa.binary())], names=["rk", "places"])
+    return pa.table([pa.array(s["did"][some], pa.int64()), pa.array(s["rk"][some], pa.int64()), pa.array([(refs[cuts[d] : cuts[d + 1]] - s["firsts"][d]).astype("<u4").tobytes() for d in some], pa.binary())], names=[*KEY, "places"])
 
 
-def ask_places(chunks: X.Chunks, keys: np.ndarray, width: int, hashes: np.ndarray, places: np.ndarray, firsts: np.ndarray, rk: np.ndarray) -> pa.RecordBatch:
+def ask_places(chunks: X.Chunks, keys: np.ndarray, width: int, hashes: np.ndarray, places: np.ndarray, firsts: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
     """One chunk's question which of its places (positions over the chunk) have hashes that occur elsewhere."""
     order = np.argsort(hashes, kind="stable")
     hashes, places = hashes[order], places[order]
     batch, same = X.asks(chunks.new(), hashes, places, keys, width, "<u4", b"")
-    skeleton = save(local=places[same].astype("<u4"), firsts=firsts, rk=rk)
+    skeleton = save(local=places[same].astype("<u4"), firsts=firsts, **row_keys(part))
     columns = batch.columns
     columns[5] = pa.array([*[None] * (batch.num_rows - 1), skeleton], pa.binary())
     return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
 
 def repeated_places(asked: DataFrame, width: int) -> DataFrame:
-    """(rk, places): one row for each distinct rk; rows with an equal rk are equal and so are their places."""
+    """(did, rk, places): one row for each key; rows with an equal key have equal texts and so equal places."""
     found = X.assemble(X.answer(asked, width=width, ref="<u4"), _places, PLACES)
-    return found.groupBy("rk").agg(F.max("places").alias("places"))
+    return found.groupBy(*KEY).agg(F.max("places").alias("places"))
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a digest of both: rows with an equal digest are repeats of one row and get equal results."""
-    return docs.select("doc_id", "text", F.xxhash64(F.struct("doc_id", "text")).alias("rk"))
+    """doc_id, text, and as a key doc_id without nulls (did) and a digest of the text (rk): results depend on the text alone, so rows with an equal key share theirs."""
+    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rk"))
+
+
+def row_keys(part: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {c: part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in KEY}
 
 
 def windows_repeated(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
-    """(rk, places): starts of the windows of width words that occur more than once; docs from with_row_key()."""
+    """(did, rk, places): starts of the windows of width words that occur more than once; docs from with_row_key()."""
     period, cover = cover_for(width)
     anchor = width - period + 1
     at_cover = np.zeros(period, bool)
@@ -99,9 +105,9 @@ def windows_repeated(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
                 inside = at - np.repeat(low, np.maximum(high - low, 0))
                 at = at[at_cover[inside % period]]
                 found = K.window_hashes(hashes, anchor)
-                yield ask_places(chunks, keys, 5, found[at] if len(at) else np.zeros(0, K.U64), at, firsts, part.column(1).to_numpy(zero_copy_only=False))
+                yield ask_places(chunks, keys, 5, found[at] if len(at) else np.zeros(0, K.U64), at, firsts, part)
 
-    marked = repeated_places(docs.select("text", "rk").mapInArrow(lean(anchors), X.SCHEMA), 5)
+    marked = repeated_places(docs.select("text", *KEY).mapInArrow(lean(anchors), X.SCHEMA), 5)
 
     def windows(batches):
         chunks = X.Chunks()
@@ -116,10 +122,10 @@ def windows_repeated(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
                 at = K.window_starts(firsts, width)
                 at = at[near[at]]
                 found = K.window_hashes(K.word_hashes(data, starts, ends), width)
-                yield ask_places(chunks, keys, 8, found[at] if len(at) else np.zeros(0, K.U64), at, firsts, part.column(2).to_numpy(zero_copy_only=False))
+                yield ask_places(chunks, keys, 8, found[at] if len(at) else np.zeros(0, K.U64), at, firsts, part)
 
-    # merged, so that rows come in the order of rk and a task that runs again numbers its chunks as before
-    candidates = docs.join(marked.hint("merge"), "rk").select("doc_id", "text", "rk", "places")
+    # merged, so that rows come in the order of their key and a task that runs again numbers its chunks as before
+    candidates = docs.join(marked.hint("merge"), KEY).select("text", *KEY, "places")
     return repeated_places(candidates.mapInArrow(lean(windows), X.SCHEMA), 8)
 
 
@@ -150,7 +156,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
                     ["doc_id", "n_words", "removed", "kept_text"],
                 )
 
-    return keyed.join(places.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", "places").mapInArrow(lean(keep), schema)
+    return keyed.join(places.hint("shuffle_hash"), KEY, "left").select("doc_id", "text", "places").mapInArrow(lean(keep), schema)
 
 
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, keep: np.ndarray) -> pa.Array:

@@ -5,12 +5,10 @@ A string of ``length`` bytes is removed wherever it occurs if it starts at two o
 1. Anchors: of every run of ``window`` consecutive grams of ``length - window + 1`` bytes, the one with the smallest hash (rightmost of
    equals). Two equal strings of the given length have the same anchor at the same place, and the bytes around an anchor that can belong to
    such a string are its context: up to window - 1 on either side.
-2. Each anchor's hash is asked for over the corpus (exchange.py): held once; always in the same context; or in different ones.
-   Once: nothing repeats here. Same context: it is one string with several places, and all of its windows repeat. Equal contexts are
-   sorted as one.
-3. Different contexts of an anchor are gathered, equal ones once, with the anchor as a single symbol of its own and bytes that stand or
-   fall together as one symbol. They are joined to a text, its suffixes are sorted by linear grouping (gsaca.py), and what neighbours
-   in the suffix array have in common, the anchor included, repeats. Contexts whose best matches on both sides together are too
+2. Each anchor's hash is asked for over the corpus (exchange.py). Held once: nothing repeats here.
+3. The contexts of all other anchors are gathered, with the anchor as a single symbol of its own and bytes that stand or
+   fall together as one symbol. Of equal contexts of an anchor two stand for all. They are joined to a text, its suffixes are sorted by linear grouping
+   (gsaca.py), and what neighbours in the suffix array have in common, the anchor included, repeats. Contexts whose best matches on both sides together are too
    short leave before.
 
 Defined results: null text is empty; texts shorter than length keep all bytes; strings are judged on the input; a repeated row
@@ -29,7 +27,7 @@ from veriledger.llm import kernels as K
 from veriledger.llm.gsaca import suffix_array
 from veriledger.llm.small_ints import ints, small_ints
 from veriledger.llm.storage import materialise, small_batches
-from veriledger.llm.substrings import load, save, with_row_key
+from veriledger.llm.substrings import KEY, load, row_keys, save, with_row_key
 from veriledger.llm.workers import lean
 
 LENGTH, WINDOW = 200, 61
@@ -104,9 +102,6 @@ def _ask_anchors(keys: np.ndarray):
                 chunk = chunks.new()
                 prefix = K.prefix_hash(data)
                 places, g = anchors(prefix, offsets)
-                doc = np.searchsorted(offsets, places, "right") - 1
-                left, right = sides(places, offsets[doc], offsets[doc + 1])
-                context = K.mix(K.span_hash(prefix, places - left, places + (LENGTH - WINDOW + 1) + right) + left.astype(K.U64)) & X.LOW40 | K.U64(1)
                 distinct, first, where, n = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
                 # numbered by where they come first
                 by_place = np.argsort(first, kind="stable")
@@ -114,22 +109,19 @@ def _ask_anchors(keys: np.ndarray):
                 number[by_place] = np.arange(len(distinct))
                 own = number[where]
                 g, first, n = distinct[by_place], first[by_place], n[by_place]
-                lead = context[first]
-                mixed = np.bincount(own, context != lead[own], len(g)) > 0
                 bucket = X.bucket_of(g, n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                sent = np.where(mixed, K.U64(0), lead)
                 out = []
                 for b in range(n_buckets):
                     s = order[cuts[b] : cuts[b + 1]]
                     if len(s):
-                        out.append((int(keys[b]), chunk, X.ASK, X.pack(g[s], 5), X.pack(sent[s], 5) + (n[s] > 1).astype(np.uint8).tobytes(), None))
+                        out.append((int(keys[b]), chunk, X.ASK, X.pack(g[s], 5), (n[s] > 1).astype(np.uint8).tobytes(), None))
                 again = np.ones(len(places), bool)
                 again[first] = False
                 skeleton = save(
-                    rk=part.column(1).to_numpy(zero_copy_only=False), offsets=offsets, gaps=np.frombuffer(small_ints(np.diff(places, prepend=0)), np.uint8),
-                    bucket=bucket.astype(np.uint8 if n_buckets <= 256 else np.uint32), keys=keys, again=np.packbits(again), refs=own[again].astype(np.int32), mixed=np.packbits(mixed),
+                    **row_keys(part), offsets=offsets, gaps=np.frombuffer(small_ints(np.diff(places, prepend=0)), np.uint8),
+                    bucket=bucket.astype(np.uint8 if n_buckets <= 256 else np.uint32), keys=keys, again=np.packbits(again), refs=own[again].astype(np.int32),
                 )
                 yield _batch([*out, (int(keys[chunk % n_buckets]), chunk, X.SKELETON, None, None, skeleton)])
 
@@ -137,55 +129,42 @@ def _ask_anchors(keys: np.ndarray):
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """0: the anchor is held once, 1: in one context only, 2: in several."""
+    """Which anchors are held more than once."""
     rows = _rows(table)
     asked = [r for r in rows if r[2] == X.ASK]
     out = [r for r in rows if r[2] == X.SKELETON]
     if asked:
         gs = [X.unpack(r[3], 5) for r in asked]
-        cs = [X.unpack(r[4][: 5 * len(g)], 5) for r, g in zip(asked, gs, strict=True)]
-        many = [np.frombuffer(r[4], np.uint8, offset=5 * len(g)) for r, g in zip(asked, gs, strict=True)]
-        g, c, m = np.concatenate(gs), np.concatenate(cs), np.concatenate(many)
-        distinct, first, where, n = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
-        repeats = n + np.bincount(where, m, len(distinct)) > 1
-        mixed = np.bincount(where, (c == 0) | (c != c[first][where]), len(distinct)) > 0
-        said = np.where(mixed, 2, repeats).astype(np.uint8)[where]
+        distinct, where, n = np.unique(np.concatenate(gs), return_inverse=True, return_counts=True)
+        many = np.concatenate([np.frombuffer(r[4], np.uint8) for r in asked])
+        said = (n + np.bincount(where, many, len(distinct)) > 1).astype(np.uint8)[where]
         cuts = np.concatenate(([0], np.cumsum([len(x) for x in gs])))
         out += [(r[0], r[1], X.ANSWER, None, said[cuts[i] : cuts[i + 1]].tobytes(), None) for i, r in enumerate(asked)]
     return _table(out)
 
 
-JUDGED = "rk long, sure binary, open binary"
+OPEN = "did long, rk long, open binary"
 
 
 def _places(table: pa.Table) -> pa.Table:
-    """Of each document with repeated anchors: spans that repeat for sure, and anchors whose contexts are open."""
+    """Of each document its repeated anchors, if it has some."""
     rows = _rows(table)
     s = load(next(r[5] for r in rows if r[2] == X.SKELETON))
-    said = np.zeros(len(s["bucket"]), np.uint8)
+    said = np.zeros(len(s["bucket"]), bool)
     for b, _, kind, _, answer, _ in rows:
         if kind == X.ANSWER:
-            said[s["bucket"] == np.searchsorted(s["keys"], b)] = np.frombuffer(answer, np.uint8)
+            said[s["bucket"] == np.searchsorted(s["keys"], b)] = np.frombuffer(answer, np.uint8) > 0
     places = np.cumsum(ints(s["gaps"].tobytes()))
     again = np.unpackbits(s["again"], count=len(places)).astype(bool)
     own = np.zeros(len(places), np.int64)
     own[~again] = np.arange(len(said))
     own[again] = s["refs"]
-    state = said[own] if len(own) else np.zeros(0, np.uint8)
+    places = places[said[own]] if len(own) else places
     offsets = s["offsets"]
-    doc = np.searchsorted(offsets, places, "right") - 1
-    left, right = sides(places, offsets[doc], offsets[doc + 1])
-    cuts = np.searchsorted(doc, np.arange(len(offsets)))
-    rk, sure, open_ = [], [], []
-    for d in np.unique(doc[state > 0]).tolist():
-        a, b = cuts[d], cuts[d + 1]
-        p, st = places[a:b] - offsets[d], state[a:b]
-        one = st == 1
-        spans = spans_of((p - left[a:b])[one], (p + (LENGTH - WINDOW + 1) + right[a:b])[one])
-        rk.append(int(s["rk"][d]))
-        sure.append(spans.astype("<u4").tobytes() if len(spans) else None)
-        open_.append(p[st == 2].astype("<u4").tobytes() if (st == 2).any() else None)
-    return pa.table([pa.array(rk, pa.int64()), pa.array(sure, pa.binary()), pa.array(open_, pa.binary())], names=["rk", "sure", "open"])
+    cuts = np.searchsorted(places, offsets)
+    some = np.flatnonzero(cuts[1:] > cuts[:-1])
+    blobs = [(places[cuts[d] : cuts[d + 1]] - offsets[d]).astype("<u4").tobytes() for d in some.tolist()]
+    return pa.table([pa.array(s["did"][some], pa.int64()), pa.array(s["rk"][some], pa.int64()), pa.array(blobs, pa.binary())], names=[*KEY, "open"])
 
 
 def _ask_contexts(keys: np.ndarray):
@@ -198,7 +177,7 @@ def _ask_contexts(keys: np.ndarray):
             for part, data, offsets in K.steps(batch, limit=STEP):
                 chunk = chunks.new()
                 prefix = K.prefix_hash(data)
-                blobs = part.column(2).to_pylist()
+                blobs = part.column(part.schema.get_field_index("open")).to_pylist()
                 own = [np.frombuffer(b, "<u4").astype(np.int64) + offsets[d] for d, b in enumerate(blobs)]
                 places = np.concatenate(own)
                 doc = np.repeat(np.arange(len(own)), [len(x) for x in own])
@@ -225,7 +204,7 @@ def _ask_contexts(keys: np.ndarray):
                     s = slice(cuts[b], cuts[b + 1])
                     if s.start < s.stop:
                         out.append((int(keys[b]), chunk, X.ASK, X.pack(g[s], 8), notes[s].tobytes(), around[s].tobytes()))
-                skeleton = save(rk=part.column(1).to_numpy(zero_copy_only=False), doc=doc.astype(np.int32), places=(places - offsets[doc]).astype("<u4"), own=number[where].astype(np.int32))
+                skeleton = save(**row_keys(part), doc=doc.astype(np.int32), places=(places - offsets[doc]).astype("<u4"), own=number[where].astype(np.int32))
                 yield _batch([*out, (int(keys[chunk % n_buckets]), chunk, X.SKELETON, None, None, skeleton)])
 
     return run
@@ -260,7 +239,7 @@ def _cuts(rows: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(around: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For distinct contexts, the offsets (bits) of windows that another context of the same group has too. group ascends."""
+    """For contexts, the offsets (bits) of windows that another one of the same group has too. group ascends."""
     return _windows(np.ascontiguousarray(around[:, :SIDE][:, ::-1]), np.ascontiguousarray(around[:, SIDE:]), left, right, group)
 
 
@@ -380,15 +359,13 @@ def _solve(table: pa.Table) -> pa.Table:
         print_ = K.row_hashes(np.concatenate([g.view(np.uint8).reshape(-1, 8), notes[:, :2], around], 1))
         _, first, where, n = np.unique(print_, return_index=True, return_inverse=True, return_counts=True)
         twice = n + np.bincount(where, notes[:, 2], len(first)) > 1
-        order = np.argsort(g[first], kind="stable")
-        group = np.unique(g[first[order]], return_inverse=True)[1]
-        left, right = notes[first, 0].astype(np.int64), notes[first, 1].astype(np.int64)
-        bits = np.empty(len(first), np.uint64)
-        bits[order] = repeated_windows(around[first[order]], left[order], right[order], group)
-        # an equal context elsewhere repeats all windows inside the document
-        low, high = SIDE - left, right
-        all_ = ((np.uint64(1) << (high + 1).astype(np.uint64)) - np.uint64(1)) & ~((np.uint64(1) << low.astype(np.uint64)) - np.uint64(1))
-        bits |= np.where(twice, all_, np.uint64(0))
+        # an equal context elsewhere stands beside this one
+        both = np.concatenate([first, first[twice]])
+        order = np.argsort(g[both], kind="stable")
+        group = np.unique(g[both[order]], return_inverse=True)[1]
+        left, right = notes[both, 0].astype(np.int64), notes[both, 1].astype(np.int64)
+        bits = np.empty(len(both), np.uint64)
+        bits[order] = repeated_windows(around[both[order]], left[order], right[order], group)
         said = bits[where]
         cuts = np.concatenate(([0], np.cumsum([len(x) for x in gs])))
         out += [(r[0], r[1], X.ANSWER, None, said[cuts[i] : cuts[i + 1]].tobytes(), None) for i, r in enumerate(asked)]
@@ -402,32 +379,29 @@ def _found(table: pa.Table) -> pa.Table:
     bits = np.concatenate([np.frombuffer(a, np.uint64) for _, a in answers]) if answers else np.zeros(0, np.uint64)
     each = bits[s["own"]]
     shift = np.arange(WINDOW, dtype=np.uint64)
-    rk, spans = [], []
+    some, spans = [], []
     cuts = np.searchsorted(s["doc"], np.arange(len(s["rk"]) + 1))
     for d in np.unique(s["doc"][each > 0]).tolist():
         a, b = cuts[d], cuts[d + 1]
         row, offset = np.nonzero((each[a:b, None] >> shift) & np.uint64(1))
         starts = np.unique(s["places"][a:b].astype(np.int64)[row] - SIDE + offset)
-        rk.append(int(s["rk"][d]))
+        some.append(d)
         spans.append(spans_of(starts, starts + LENGTH).astype("<u4").tobytes())
-    return pa.table([pa.array(rk, pa.int64()), pa.array(spans, pa.binary())], names=["rk", "found"])
+    return pa.table([pa.array(s["did"][some], pa.int64()), pa.array(s["rk"][some], pa.int64()), pa.array(spans, pa.binary())], names=[*KEY, "found"])
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
-    """(rk, sure, found): byte spans to remove, for each distinct rk that has some; keyed from with_row_key()."""
+    """(did, rk, found): byte spans to remove, for each key that has some; keyed from with_row_key()."""
     keys = X.bucket_keys(keyed.sparkSession)
-    asked = keyed.select("text", "rk").mapInArrow(lean(_ask_anchors(keys)), X.SCHEMA)
-    judged = asked.groupBy("bucket").applyInArrow(lean(_judge), X.SCHEMA).groupBy("chunk").applyInArrow(lean(_places), JUDGED)
-    judged = materialise(judged.groupBy("rk").agg(F.max("sure").alias("sure"), F.max("open").alias("open")))
-    waiting = judged.where("open IS NOT NULL").select("rk", "open")
+    asked = keyed.select("text", *KEY).mapInArrow(lean(_ask_anchors(keys)), X.SCHEMA)
+    judged = asked.groupBy("bucket").applyInArrow(lean(_judge), X.SCHEMA).groupBy("chunk").applyInArrow(lean(_places), OPEN)
+    waiting = materialise(judged.groupBy(*KEY).agg(F.max("open").alias("open")))
     # each copy of a row is an occurrence of its own, as in the tables
-    # merged, so that rows come in the order of rk and a task that runs again numbers its chunks as before
-    texts = keyed.join(waiting.hint("merge"), "rk").select("text", "rk", "open")
+    # merged, so that rows come in the order of their key and a task that runs again numbers its chunks as before
+    texts = keyed.join(waiting.hint("merge"), KEY).select("text", *KEY, "open")
     contexts = texts.mapInArrow(lean(_ask_contexts(keys)), X.SCHEMA)
-    found = contexts.groupBy("bucket").applyInArrow(lean(_solve), X.SCHEMA).groupBy("chunk").applyInArrow(lean(_found), "rk long, found binary")
-    none = F.lit(None).cast("binary")
-    both = judged.select("rk", "sure", none.alias("found")).union(found.select("rk", none.alias("sure"), "found"))
-    return both.groupBy("rk").agg(F.max("sure").alias("sure"), F.max("found").alias("found")).where("sure IS NOT NULL OR found IS NOT NULL")
+    found = contexts.groupBy("bucket").applyInArrow(lean(_solve), X.SCHEMA).groupBy("chunk").applyInArrow(lean(_found), "did long, rk long, found binary")
+    return found.groupBy(*KEY).agg(F.max("found").alias("found"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -442,10 +416,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for part, data, offsets in K.steps(batch):
                 removed: list[list] = []
                 gone = np.zeros(len(data) + 1, np.int64)
-                for d, (sure, found) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                    own = np.concatenate([np.frombuffer(b, "<u4").astype(np.int64).reshape(-1, 2) for b in (sure, found) if b] or [np.zeros((0, 2), np.int64)])
-                    own = own[np.argsort(own[:, 0], kind="stable")]
-                    own = spans_of(own[:, 0], own[:, 1])
+                for d, found in enumerate(part.column(2).to_pylist()):
+                    own = np.frombuffer(found or b"", "<u4").astype(np.int64).reshape(-1, 2)
                     removed.append([{"begin": a, "end": b} for a, b in own.tolist()])
                     gone[own[:, 0] + offsets[d]] += 1
                     np.add.at(gone, own[:, 1] + offsets[d], -1)
@@ -454,7 +426,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 kept = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data[keep].tobytes())])
                 yield pa.RecordBatch.from_arrays([K.long_of(part.column(0)), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, runs), kept], ["doc_id", "n_bytes", "removed", "kept"])
 
-    joined = keyed.join(spans.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", "sure", "found")
+    joined = keyed.join(spans.hint("shuffle_hash"), KEY, "left").select("doc_id", "text", "found")
     return joined.mapInArrow(lean(cut), "doc_id long, n_bytes long, removed array<struct<begin:long,end:long>>, kept binary")
 
 
