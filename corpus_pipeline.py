@@ -40,7 +40,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pseudonyms for personal data; n_chars follows the text."""
-    done = pseudonyms.pseudonymise(docs).select(*docs.columns)
+    done = pseudonyms.pseudonymise(docs, key=pseudonyms.session_key(spark)).select(*docs.columns)
     return done.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast("long")) if "n_chars" in docs.columns else done
 
 

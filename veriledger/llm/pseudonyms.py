@@ -7,13 +7,17 @@ without two real parts (dates, single letters or digits) are permuted in the nex
 again until the result is inside. The permutation depends only on key, kind and domain: equal values get equal pseudonyms in all documents,
 whatever separators they are written with, and the key holder can undo them.
 
-Kinds, in the order in which an overlap is settled: secret (keys, tokens and passwords, each character within its class), email (letters and
-digits before the @), iban, card, ip, ssn, phone, date.
+Kinds, in the order in which an overlap is settled: secret (known forms of keys and tokens, and values assigned to a password or key that hold a digit or sign, mix cases or
+stand in quotes; each character within its class), email (letters and digits before the @), iban, card, ip, ssn, phone, date.
+A phone's last ten digits (all of a shorter one) are permuted as a number, so a subscriber has one pseudonym with or without the country code and however it is spaced.
 Dates stay within DATES; ISO, day/month and month/day forms keep their form. Days up to the 12th and later days are permuted apart, so
 a month/day form stays one, and a date has the same pseudonym in every form; whether the day is past the 12th stays visible. Numbers that do not validate stay as they are.
 
+The key is the caller's; there is no default. Registered queries take it from the session (KEY_SETTING), or else a test key, with a warning.
+
 Defined results: null text stays null, empty stays empty, no value found leaves the text as it is; a value next to letters or digits
-is not one; repeated rows get equal results.
+is not one; of overlapping values the first kind counts, and within a kind the leftmost; texts of any length are searched whole; repeated rows get equal results; an empty table gives
+none; a column named pii_found is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import datetime
 import hashlib
 import math
 import re
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +35,14 @@ from pyspark.sql import functions as F
 from veriledger.llm.storage import small_batches
 from veriledger.llm.workers import lean
 
-KEY = b"change-me: keyed pseudonyms"
+KEY_SETTING, TEST_KEY = "spark.veriledger.pseudonymKey", "tests only"
 ROUNDS = 10
 DATES = (datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal())
-_EDGE, _END = r"(?<![\w.+-])", r"(?![\w])"
+_HEADS = r"AKIA|ASIA|gh[opsur]_|github_pat_|glpat-|xox[abprs]-|sk-"
 PATTERNS = {
-    "secret": r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,}=*)",
-    "email": r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-])",
+    "secret": r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|gh[opsur]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}"
+    r"|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}(?:\"[^\s\"]{6,}\"|'[^\s']{6,}'|[^\s\"'<>,;]{6,}))",
+    "email": r"(?<![\w.+%-])[^\W_][\w.+%-]{0,63}@[^\W_](?:[^\W_]|-){0,62}(?:\.[^\W_](?:[^\W_]|-){0,62})*\.[^\W\d_]{2,24}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
@@ -44,12 +50,15 @@ PATTERNS = {
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|[.-]\d)|(?<![\w.+-])\+\d{8,14}(?!\w)",
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
 }
+#: What a text has to hold for a kind to be there at all.
+NEEDS = {"secret": re.compile(rf"[=:]|{_HEADS}"), "email": re.compile("@")} | {k: re.compile(r"\d") for k in PATTERNS if k not in ("secret", "email")}
 KINDS = tuple(PATTERNS)
-_FOUND = {k: re.compile(p) for k, p in PATTERNS.items()}
+#: Digits are ASCII; letters next to a value are of any script.
+_FOUND = {k: re.compile(p if k == "email" else p.replace(r"\d", "[0-9]")) for k, p in PATTERNS.items()}
 
 
 class Feistel:
-    def __init__(self, key: bytes = KEY, rounds: int = ROUNDS):
+    def __init__(self, key: bytes, rounds: int = ROUNDS):
         self.key, self.rounds = hashlib.sha256(key).digest(), rounds
 
     def _f(self, tag: str, i: int, value: int, size: int) -> int:
@@ -153,8 +162,13 @@ def _date(shape: str) -> tuple[datetime.date, str] | None:
 def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | None:
     """The text's pseudonym (or, back, the original), None if it does not validate."""
     if kind == "secret":
-        head = re.match(r"AKIA|.*?[=:][\s\"']*", text, re.DOTALL)[0]
-        return head + _letters(f, "secret", text[len(head) :], back)
+        head = re.match(rf"(?:{_HEADS})|.*?[=:][\s\"']*", text, re.DOTALL)[0]
+        value = text[len(head) :]
+        if head[-1] in "=:\t\n " and not re.search(r"[^\W_]", value[:-1] if value[-1:] in ".!?)" else value):
+            return None
+        if head[-1] in "=:\t\n " and re.fullmatch(r"[A-Z]?[a-z]+[.!?:)]*|[A-Z]+[.!?:)]*|[^\x00-\x7F\d]*[A-Za-z]*[^\x00-\x7F\d]+[A-Za-z]*[.!?:)]*", value):  # a word of prose
+            return None
+        return head + _letters(f, "secret", value, back)
     if kind == "email":
         local, _, domain = text.partition("@")
         return _letters(f, "email/" + domain.lower(), local, back) + "@" + domain
@@ -186,10 +200,9 @@ def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | Non
     if kind == "phone":
         if not 8 <= len(digits) <= 15:
             return None
-        # the country code stays, and so does the number's length
-        code = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-        keep = len(code[0]) - 1 if code else 2 if text[0] == "+" else 0
-        new = f.digits(f"phone/{''.join(map(str, digits[:keep]))}", digits[keep:], [10] * (len(digits) - keep), back)
+        # what comes before the last ten digits stays, and so does the number's length
+        keep = max(0, len(digits) - 10)
+        new = f.digits("phone", digits[keep:], [10] * (len(digits) - keep), back)
         return _refill(text, "".join(map(str, [*digits[:keep], *new])))
     found = _date(text)
     if not found or not DATES[0] <= found[0].toordinal() < DATES[1]:
@@ -209,20 +222,17 @@ def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | Non
 
 _LATE, _EARLY = ([o - DATES[0] for o in range(*DATES) if (datetime.date.fromordinal(o).day > 12) == late] for late in (True, False))
 _LATE_PLACE, _EARLY_PLACE = ({o: i for i, o in enumerate(days)} for days in (_LATE, _EARLY))
-_SOME = re.compile(r"[0-9@]|[=:]")
 
 
 def replace(f: Feistel, text: str, memo: dict | None = None) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and what was found: kind, begin and end in the original, pseudonym."""
-    if not _SOME.search(text):
-        return text, []
     found: list[tuple] = []
-    taken: list[tuple[int, int]] = []
+    taken = None
     for kind, pattern in _FOUND.items():
-        if kind == "email" and "@" not in text:
+        if not NEEDS[kind].search(text):
             continue
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
+            if taken is not None and 1 in taken[m.start() : m.end()]:
                 continue
             new = None if memo is None else memo.get((kind, m[0]))
             if new is None:
@@ -230,7 +240,8 @@ def replace(f: Feistel, text: str, memo: dict | None = None) -> tuple[str, list[
                 if memo is not None and new is not None and len(memo) < 100_000:
                     memo[kind, m[0]] = new
             if new is not None:
-                taken.append(m.span())
+                taken = bytearray(len(text)) if taken is None else taken
+                taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
                 found.append((m.start(), m.end(), kind, new))
     if not found:
         return text, []
@@ -245,7 +256,15 @@ def replace(f: Feistel, text: str, memo: dict | None = None) -> tuple[str, list[
 ENTITIES = "array<struct<kind:string,begin:long,end:long,pseudonym:string>>"
 
 
-def pseudonymise(docs: DataFrame, *, key: bytes = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The session's key; where none is set, the test key, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a key that everybody knows", stacklevel=2)
+    return (key or TEST_KEY).encode()
+
+
+def pseudonymise(docs: DataFrame, *, key: bytes) -> DataFrame:
     """The columns of docs, text with pseudonyms, and pii_found: kind, begin, end (characters of the original text) and pseudonym."""
     small_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c != "pii_found"]
@@ -266,7 +285,7 @@ def pseudonymise(docs: DataFrame, *, key: bytes = KEY) -> DataFrame:
 
 
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    done = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key=session_key(spark))
     of = lambda kind: F.size(F.filter("pii_found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return done.select("doc_id", F.size("pii_found").cast("long").alias("n_found"), *map(of, KINDS), "text")
 
