@@ -4,37 +4,34 @@ Each document's histogram of character classes, and its histogram of common word
 Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). A document is kept if it passes the base rules and some
 language is near in both. Texts too short for a histogram to say much are not judged by it (``min_chars``, ``min_words``).
 
-How far is too far differs with length, so limits can be learnt (``limits``): for each band of lengths a high quantile of the distances of
-rows that are known to be good text. Without these the two fixed limits judge, as in the registered query and its SQL.
+Common words are learnt: of each language the COMMON most frequent, counted over all its rows. References are sums over all rows of a language (text and
+lang not null). One row of sums for each language and COMMON words of it reach the driver.
 
-References are sums over all rows of a language with null-free text and lang; languages without a word list or without rows
-have no reference. One row of sums for each listed language reaches the driver.
+How far is too far differs with length, so limits are learnt too (``limits``): for each band of lengths the farthest of the rows that are known to be good text and pass the base
+rules, and a margin. A band without such rows takes the limits of the next shorter one that has some, and the first ones take the fixed limits.
 
-Defined results: null and empty texts have no words and fail the base rules; without any reference only the base rules judge;
-repeated rows get equal results; an empty table gives none.
+Defined results: null and empty texts have no words and fail the base rules; without any reference only the base rules judge; of equally frequent words the
+smaller counts as more frequent; texts of any length are judged whole; repeated rows get equal results; further columns of docs play no part; an empty table gives none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriledger.llm.storage import materialise
 
-#: Frequent function words by language.
-COMMON_WORDS = {
-    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch"),
-    "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on", "with", "as", "be", "are", "this", "or", "at", "by"),
-    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "lo"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "sur"),
-}
+#: Most frequent words of each language that make its histogram.
+COMMON = 20
 SYMBOLS = r"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "symbol", "other")
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.35, 0.6
 MIN_CHARS, MIN_WORDS = 200, 40
 #: Least words of the bands of lengths for which limits are learnt.
 BANDS = (0, 40, 80, 160, 320, 1000)
-QUANTILE = 0.99
+#: How much farther than the farthest good text is too far.
+MARGIN = 1.05
+_FOLD = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WINDOW = 8
 _SPACE = " \t\n\x0b\f\r"
 
@@ -44,8 +41,18 @@ def _only(text: Column, unwanted: str) -> Column:
     return F.length(F.regexp_replace(text, unwanted, "")).cast("long")
 
 
-def _named(words: tuple[str, ...]) -> list[str]:
-    return sorted({w for ws in COMMON_WORDS.values() for w in ws} if not words else set(words))
+def _split(text: Column) -> Column:
+    trimmed = F.btrim(text, F.lit(_SPACE))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))
+
+
+def common_words(docs: DataFrame, *, most: int = COMMON) -> list[str]:
+    """The most frequent words (A-Z in lower case) of each language, together, in order. Ranked in salted parts first, so no task ranks a whole language."""
+    words = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.explode(_split(F.translate("text", *_FOLD))).alias("w"))
+    counted = words.groupBy("lang", "w").agg(F.count("*").alias("n")).withColumn("part", F.pmod(F.xxhash64("w"), F.lit(64)))
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("n"), "w"))
+    few = counted.withColumn("r", rank("part")).where(F.col("r") <= most).withColumn("r", rank()).where(F.col("r") <= most)
+    return sorted({r["w"] for r in few.select("w").collect()}, key=str.encode)
 
 
 def _in_windows(words: Column, windows: Column) -> Column:
@@ -54,18 +61,16 @@ def _in_windows(words: Column, windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) < n, F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """The columns of docs but text, and: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars (counts by class), common (counts by word)."""
     rest = [c for c in docs.columns if c != "text"]
-    vocabulary = _named(())
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.select(*rest, text.alias("text")).withColumn("_trim", F.btrim("text", F.lit(_SPACE)))
-    a = a.withColumn("_words", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", r"[\x20\x09-\x0D]+", -1))).drop("_trim")
+    a = docs.select(*rest, text.alias("text")).withColumn("_words", _split(F.col("text")))
     words = F.col("_words")
     n = F.size(words)
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))).otherwise(F.array().cast("array<long>"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    hits = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(vocabulary))
+    hits = F.filter(F.transform(words, lambda w: F.translate(w, *_FOLD)), lambda w: w.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
     b = a.select(
         *rest, "text", n.cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         windows.alias("_windows"), lines.alias("_lines"), F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")).alias("_hits"),
@@ -81,7 +86,7 @@ def features(docs: DataFrame) -> DataFrame:
     symbols = _only(F.col("text"), f"[^{SYMBOLS}]+")
     letters, upper, digits = _only(F.col("text"), r"\P{L}+"), _only(F.col("text"), r"\P{Lu}+"), _only(F.col("text"), r"\P{Nd}+")
     hit = F.col("_hits")
-    common = F.array(*[((F.octet_length(hit) - F.octet_length(F.replace(hit, F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).cast("long") for w in vocabulary])
+    common = F.array(*[((F.octet_length(hit) - F.octet_length(F.replace(hit, F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).cast("long") for w in vocabulary]).cast("array<long>")
     e = d.select(
         *rest, "n_words", "word_chars", symbols.alias("n_symbols"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeat.alias("n_repeat_words"),
         letters.alias("_letters"), upper.alias("_upper"), digits.alias("_digits"), common.alias("common"),
@@ -90,15 +95,14 @@ def features(docs: DataFrame) -> DataFrame:
     return e.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", chars.alias("chars"), "common")
 
 
-def references(featured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """For each listed language that has rows: shares of the character classes, and of the common words with all other words last."""
-    vocabulary = _named(())
-    sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(vocabulary))]
-    rows = featured.where(F.col("lang").isin(*COMMON_WORDS)).groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).collect()
+def references(featured: DataFrame, n_common: int) -> dict[str, tuple[list[float], list[float]]]:
+    """For each language that has rows: shares of the character classes, and of the common words with all other words last."""
+    sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
+    rows = featured.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).collect()
     out = {}
     for r in rows:
         chars = [r[f"c{i}"] for i in range(len(CLASSES))]
-        words = [r[f"w{i}"] for i in range(len(vocabulary))]
+        words = [r[f"w{i}"] for i in range(n_common)]
         if r["n"] and sum(chars):
             out[r["lang"]] = [x / sum(chars) for x in chars], [x / r["n"] for x in [*words, r["n"] - sum(words)]]
     return out
@@ -115,18 +119,15 @@ def distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def limits(judged: DataFrame, *, quantile: float = QUANTILE) -> dict[int, tuple[float, float]]:
-    """For each band the most char_distance and word_distance, learnt from rows of judge() that are good text.
-
-    A band without such rows takes the limits of the next shorter one, as distances fall with length; the first ones are the fixed limits.
-    """
+def limits(judged: DataFrame, *, margin: float = MARGIN) -> dict[int, tuple[float, float]]:
+    """For each band the most char_distance and word_distance, learnt from rows of judge() that are good text."""
     band = F.greatest(*[F.when(F.col("n_words") >= b, b).otherwise(0) for b in BANDS])
-    cut = [F.percentile(c, F.lit(quantile)).alias(c) for c in ("char_distance", "word_distance")]
-    found = {r["band"]: r for r in judged.groupBy(band.alias("band")).agg(*cut).collect()}
+    farthest = [F.max(c).alias(c) for c in ("char_distance", "word_distance")]
+    found = {r["band"]: r for r in judged.where("NOT base_failed").groupBy(band.alias("band")).agg(*farthest).collect()}
     out, last = {}, (MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE)
     for b in BANDS:
         own = (found[b]["char_distance"], found[b]["word_distance"]) if b in found else (None, None)
-        out[b] = last = tuple(x if x is not None else y for x, y in zip(own, last, strict=True))
+        out[b] = last = tuple(x * margin if x is not None else y for x, y in zip(own, last, strict=True))
     return out
 
 
@@ -142,7 +143,7 @@ def judge(featured: DataFrame, reference: dict, *, learnt: dict[int, tuple[float
 
     def nearest(column: str, which: int, judged: Column) -> Column:
         found = [distance(F.col(column), reference[n][which]) for n in names]
-        return F.when(judged, found[0] if len(found) == 1 else F.least(*found)) if found else F.lit(None).cast("double")
+        return F.when(judged, F.round(found[0] if len(found) == 1 else F.least(*found), 9)) if found else F.lit(None).cast("double")
 
     out = shares.withColumn("char_distance", nearest("_chars", 0, F.col("_n") >= min_chars)).withColumn("word_distance", nearest("_words", 1, F.col("n_words") >= min_words))
     most_char, most_word = F.lit(most_char_distance), F.lit(most_word_distance)
@@ -152,51 +153,57 @@ def judge(featured: DataFrame, reference: dict, *, learnt: dict[int, tuple[float
     return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("_n", "_chars", "_words")
 
 
-def assess(docs: DataFrame, *, good: DataFrame | None = None, quantile: float = QUANTILE, **options) -> DataFrame:
-    """doc_id, features, distances, base_failed and kept of every row; good: doc_id of good texts, to learn limits from."""
-    featured = materialise(features(docs.select("doc_id", "text", "lang")))
-    reference = references(featured)
+def assess(docs: DataFrame, *, good: DataFrame | None = None, margin: float = MARGIN, **options) -> DataFrame:
+    """doc_id, features, distances, base_failed and kept of every row; good: doc_id of good texts, to learn limits from. Without, the fixed limits judge."""
+    docs = docs.select("doc_id", "text", "lang")
+    vocabulary = common_words(docs)
+    featured = materialise(features(docs, vocabulary))
+    reference = references(featured, len(vocabulary))
     if good is not None:
-        own = judge(featured.join(good.select("doc_id"), "doc_id", "left_semi"), reference, **options)
-        options["learnt"] = limits(own, quantile=quantile)
+        own = judge(featured.join(good.select("doc_id").distinct(), "doc_id", "left_semi"), reference, **options)
+        options["learnt"] = limits(own, margin=margin)
     return judge(featured, reference, **options)
 
 
 def op8_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     shown = [F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")]
-    return assess(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *shown)
+    return assess(docs, good=labels.where("quality = 1")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *shown)
 
 
 QUERIES = {"op8_distribution_divergence": op8_distribution_divergence}
 
 
 def _sql() -> str:
-    vocabulary = _named(())
-    quoted = ", ".join(f"'{w}'" for w in vocabulary)
-    languages = ", ".join(f"'{n}'" for n in COMMON_WORDS)
     share = "(CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / (p + q)) ELSE 0 END)"
     js = f"sqrt(greatest(0, sum(({share.format('p')} + {share.format('q')}) / 2)))"
 
     def nearest(name, counts, total):
         return f"""{name}_l AS (SELECT k, lang, {total} AS total, unnest(range(1, len({counts}) + 1)) AS i, unnest({counts}) AS c FROM f),
-{name}_q AS (SELECT lang, i, sum(c) / sum(total) AS q FROM {name}_l WHERE lang IN ({languages}) GROUP BY lang, i HAVING sum(total) > 0),
+{name}_q AS (SELECT lang, i, sum(c) / sum(total) AS q FROM {name}_l WHERE lang IS NOT NULL GROUP BY lang, i HAVING sum(total) > 0),
 {name}_d AS (SELECT k, min(d) AS d FROM (SELECT k, x.lang, {js} AS d FROM (SELECT {name}_l.k, {name}_q.lang, c / greatest(total, 1) AS p, q FROM {name}_l JOIN {name}_q USING (i)) x GROUP BY k, x.lang) GROUP BY k)"""
 
+    bands = ", ".join(f"({b})" for b in BANDS)
     return rf"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+voc AS (SELECT DISTINCT v FROM (SELECT lang, v, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, v) AS r
+  FROM (SELECT lang, translate(unnest(w), '{_FOLD[0]}', '{_FOLD[1]}') AS v FROM d WHERE lang IS NOT NULL) GROUP BY lang, v) WHERE r <= {COMMON}),
 g AS (SELECT k, i, list_slice(w, i, i + 7) AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i) WHERE len(w) >= 8),
 rw AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY k, s) AS c FROM g) WHERE c > 1) GROUP BY k),
 ln AS (SELECT k, count(*) - count(DISTINCT l) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY k),
 e AS (SELECT d.k, doc_id, lang, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, length(regexp_replace(text, '[^{SYMBOLS}]+', '', 'g')) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words,
   length(regexp_replace(text, '\PL+', '', 'g')) AS le, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS up, length(regexp_replace(text, '\P{{Nd}}+', '', 'g')) AS di,
-  list_transform([{quoted}], lambda v: len(list_filter(w, lambda x: lower(x) = v))) AS common FROM d LEFT JOIN rw USING (k) LEFT JOIN ln USING (k)),
+  list_transform(coalesce((SELECT list(v ORDER BY v) FROM voc), []), lambda v: len(list_filter(w, lambda x: translate(x, '{_FOLD[0]}', '{_FOLD[1]}') = v))) AS common FROM d LEFT JOIN rw USING (k) LEFT JOIN ln USING (k)),
 f AS (SELECT *, [le - up, up, di, n_symbols, greatest(word_chars - le - di - n_symbols, 0)] AS chars, list_append(common, n_words - list_sum(common)) AS every, list_sum(chars) AS n_chars FROM e),
 {nearest("ch", "chars", "n_chars")},
 {nearest("wo", "every", "n_words")},
-v AS (SELECT f.*, CASE WHEN n_chars >= {MIN_CHARS} THEN ch_d.d END AS cd, CASE WHEN n_words >= {MIN_WORDS} THEN wo_d.d END AS wd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
-  FROM f LEFT JOIN ch_d USING (k) LEFT JOIN wo_d USING (k))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(cd, 0) > {MOST_CHAR_DISTANCE} OR coalesce(wd, 0) > {MOST_WORD_DISTANCE}) AS kept,
-  round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM v"""
+v AS (SELECT f.*, CASE WHEN n_chars >= {MIN_CHARS} THEN round(ch_d.d, 9) END AS cd, CASE WHEN n_words >= {MIN_WORDS} THEN round(wo_d.d, 9) END AS wd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM f LEFT JOIN ch_d USING (k) LEFT JOIN wo_d USING (k)),
+x AS (SELECT *, (SELECT max(b) FROM (VALUES {bands}) AS bs(b) WHERE b <= n_words) AS band FROM v),
+far AS (SELECT b, max(cd) AS c, max(wd) AS o FROM (VALUES {bands}) AS bs(b) LEFT JOIN (SELECT * FROM x SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id) WHERE NOT base_failed) ON band = b GROUP BY b),
+lim AS (SELECT b, coalesce(last_value(c IGNORE NULLS) OVER s * {MARGIN}::DOUBLE, {MOST_CHAR_DISTANCE}) AS lc, coalesce(last_value(o IGNORE NULLS) OVER s * {MARGIN}::DOUBLE, {MOST_WORD_DISTANCE}) AS lo
+  FROM far WINDOW s AS (ORDER BY b ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(cd, 0) > lc OR coalesce(wd, 0) > lo) AS kept,
+  round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM x JOIN lim ON b = band"""
 
 
 SQL = {"op8_distribution_divergence": _sql()}
