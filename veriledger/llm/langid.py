@@ -25,6 +25,8 @@ from veriledger.llm.storage import small_batches
 from veriledger.llm.workers import lean
 
 PROFILE_SIZE = 400
+#: Letters up to which n-grams are counted in tables, and characters that are counted at once.
+MOST_LETTERS, STEP = 160, 1 << 19
 _LETTER: np.ndarray | None = None
 _SHIFT = np.int64(21)
 
@@ -84,47 +86,81 @@ class Profiles:
         return self.names[best], float(1 - total[best] / (self.size * len(own)))
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a text, and how often each is there. The same as of codes(), through tables over the text's own letters where these are few."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[points]
+    present = np.zeros(int(points.max()) + 1, bool) if len(points) else np.zeros(1, bool)
+    present[points[letter]] = True
+    alphabet = np.flatnonzero(present)
+    k = len(alphabet) + 1
+    if k == 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if k > MOST_LETTERS:
+        return np.unique(codes(text), return_counts=True)
+    number = np.zeros(len(present), np.int32)  # 0 is the space between words
+    number[alphabet] = np.arange(1, k)
+    line = np.zeros(len(points) + 2, np.int32)
+    line[1:-1] = np.where(letter, number[points], 0)
+    keep = np.ones(len(line), bool)
+    keep[1:] = (line[1:] != 0) | (line[:-1] != 0)
+    line = line[keep]
+    pairs = line[:-1] * np.int32(k) + line[1:]
+    threes = (pairs[:-1] * np.int32(k) + line[2:])[line[1:-1] != 0]
+    point = np.concatenate(([32], alphabet)).astype(np.int64)
+    grams, n = [], []
+    for width, found in ((1, line[line != 0]), (2, pairs), (3, threes)):
+        count = np.bincount(found, minlength=1)
+        there = np.flatnonzero(count)
+        code = np.zeros(len(there), np.int64)
+        for i in range(width):
+            code = code << _SHIFT | point[there // k ** (width - 1 - i) % k]
+        grams.append(code)
+        n.append(count[there])
+    return np.concatenate(grams), np.concatenate(n)
+
+
 def _count(batches):
     """(lang, n-gram, count) of a partition's rows, flushed when the tables grow large."""
-    names: dict[str, list] = {}
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def flush():
-        for lang, (keys, n) in _summed(names).items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
-        names.clear()
+        for lang, (keys, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
+        held.clear()
+
+    def add(lang, texts):
+        # line feeds are no letters, so no gram goes from one text to the next
+        keys, n = counted("\n".join(texts))
+        if lang in held:
+            keys, where = np.unique(np.concatenate([held[lang][0], keys]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([held[lang][1], n]), len(keys)).astype(np.int64)
+        held[lang] = keys, n
 
-    held = 0
     for batch in batches:
+        waiting: dict[str, list[str]] = {}
+        size: dict[str, int] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            grams = codes(text)
-            names.setdefault(lang, []).append(grams)
-            held += len(grams)
-            if held > 2_000_000:
-                for name, (keys, n) in _summed(names).items():
-                    names[name] = [(keys, n)]
-                held = sum(len(v[0][0]) for v in names.values())
-                if held > 1_000_000:
-                    yield from flush()
-                    held = 0
+            waiting.setdefault(lang, []).append(text)
+            size[lang] = size.get(lang, 0) + len(text)
+            if size[lang] > STEP:
+                add(lang, waiting.pop(lang))
+                size[lang] = 0
+        for lang, texts in waiting.items():
+            add(lang, texts)
+        if sum(len(keys) for keys, _ in held.values()) > 500_000:
+            yield from flush()
     yield from flush()
 
 
-def _summed(names: dict[str, list]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    out = {}
-    for lang, parts in names.items():
-        keys = np.concatenate([p[0] if isinstance(p, tuple) else p for p in parts])
-        weights = np.concatenate([p[1] if isinstance(p, tuple) else np.ones(len(p), np.int64) for p in parts])
-        distinct, where = np.unique(keys, return_inverse=True)
-        out[lang] = distinct, np.bincount(where, weights, len(distinct)).astype(np.int64)
-    return out
-
-
 def learn(labelled: DataFrame, *, size: int = PROFILE_SIZE) -> Profiles:
     """Profiles from all rows with text and lang."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
     counted = rows.mapInArrow(lean(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counted.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size)
+    # ranked in salted parts first, so no task ranks all n-grams of a language
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("n"), "gram")) - 1
+    parts = counted.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(64))).withColumn("rank", rank("part")).where(F.col("rank") < size)
+    top = parts.withColumn("rank", rank()).where(F.col("rank") < size)
     return Profiles([(r[0], r[1], r[2]) for r in top.select("lang", "gram", "rank").collect()], size)
 
 
