@@ -503,12 +503,34 @@ def test_urls(spark):
 
 
 def test_long_lists_are_joined(spark, monkeypatch):
-    urls = ["http://a.example.net/en/x?q", "https://EXAMPLE.NET/de/", "http://www.example.com/de/1#f", "http://notexample.com/de/1", "http://x.org/fr/1", "http://www.cheap-pills.example.com/en/4", "http://cheap-pills.example.net/", "nothing", None, "", "http://"]
-    pages = spark.createDataFrame([(i % 13, urls[i % len(urls)]) for i in range(5 * len(urls))] + [(None, urls[0])] * 2, "page_id long, url string")
-    order = lambda frame: sorted(map(str, frame.collect()))
-    want = order(url_filter.judge(pages))
+    import random
+
+    rnd = random.Random(4)
+    hosts = [".".join([*rnd.sample(["a", "b", "cheap-pills", "c", "ads", "pillsb", "example"], rnd.randint(0, 3)), rnd.choice(["net", "org", "com"])]) for _ in range(60)]
+    urls = [f"{rnd.choice(['http', 'HTTPS'])}://{rnd.choice([h, h.upper()])}{rnd.choice(['', '/', '/en/', '/fr/x', '/de', '?/fr/'])}" for h in hosts] + ["http://x.example/" + "y" * 100_000, "nothing", None, "", "http://"]
+    pages = spark.createDataFrame([(i % 31, u, "k", "block") for i, u in enumerate(urls + urls[:20])] + [(None, urls[0], None, None)] * 2, "page_id long, url string, keys string, verdict string")
+    # two rules of one length fit: that of the longer host counts; a key that is blocked and allowed is blocked
+    rules = (*url_filter.RULES, ("a.net", "/", "allow"), ("net", "/en/", "block"), ("org", "/fr/", "block"))
+    listed = ["b.org", "c.com", "nobody.asks"]
+
+    def plain(url):
+        rest = url.partition("://")[2] if url and "://" in url else ""
+        host = __import__("re").match(r"[^/?#]*", rest)[0].translate(brute.LOWER)
+        path = __import__("re").match(r"[^/?#]*([^?#]*)", rest)[1]
+        under = lambda h: host == h or host.endswith("." + h)
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if host and under(h) and path.startswith(p)]
+        if fits:
+            top = max(f[:3] for f in fits)
+            return host, path, top[2], "block" if any(f[:3] == top and f[3] == "block" for f in fits) else "allow"
+        words = {w for label in host.split(".") for w in label.split("-")}
+        return host, path, None, "block" if host and (words & set(url_filter.UNWANTED) or any(map(under, listed))) else "allow"
+
+    want = sorted((str((i, *plain(u))) for i, u, _, _ in pages.collect()))
+    got = lambda: sorted(str(tuple(r)) for r in url_filter.judge(pages, rules=rules, listed_hosts=listed).collect())
+    assert got() == want
+    assert sorted(str(tuple(r)) for r in url_filter.judge(pages, rules=rules, listed_hosts=spark.createDataFrame([(h,) for h in listed], "key string")).collect()) == want
     monkeypatch.setattr(url_filter, "MOST_LISTED", 3)
-    assert order(url_filter.judge(pages)) == want and len(want) == pages.count()
+    assert got() == want
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 

@@ -5,11 +5,12 @@ level 1 takes by mistake; level 3 the listed keys that level 2 takes by mistake,
 judged by the first level that does not hold it. The universe is all keys that the corpus's urls can ask for, so each answer
 is exact, and a url is judged by probes alone, without a join.
 
-The list is a parameter of at most ``MOST_LISTED`` keys and the levels shrink by half, so the broadcast filters have a bound
-that depends on the list and only through a logarithm on the universe. judge() takes a longer list another way: an exact join.
+Listed are the keys of the rules and hosts: given ones, and those domains of the corpus that have an unwanted word in their name. Up to ``MOST_LISTED`` of them
+are collected, after they were counted, and the levels shrink by half, so the broadcast filters have a bound
+that depends on the list and only through a logarithm on the universe. A longer list goes another way: an exact join.
 
 Defined results: a null url, or one without ://, has empty host and path, fits no rule and is allowed; repeated urls get equal
-results; an empty table gives none. Of rules that fit, the longest by characters wins; of equals the one with the longer host.
+results; urls of any length are judged whole; further columns play no part; an empty table gives none. Of rules that fit, the longest by characters wins; of equals the one with the longer host.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from veriledger.llm.workers import lean
 
 MOST_LISTED = 2_000_000
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Hosts whose pages are not wanted, subdomains included.
-LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+#: Words between dots and hyphens of a domain's name that make it, and its subdomains, unwanted.
+UNWANTED = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "warez")
 
 
 def key_hashes(keys: pa.Array) -> np.ndarray:
@@ -126,12 +127,17 @@ def asked_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.concat(own, F.flatten(F.transform(own, lambda d: F.transform(starts, lambda p: F.concat(d, p))))))
 
 
-def judged_by_join(urls: DataFrame, block: Iterable[str], allow: Iterable[str]) -> DataFrame:
+def unwanted_domains(universe: DataFrame, words: Iterable[str]) -> DataFrame:
+    """(key): the domains of the universe whose own name, the part before the first dot, has one of the words."""
+    own = F.split(F.substring_index("key", ".", 1), "-", -1)
+    words = F.array(*[F.lit(w) for w in sorted(set(words))]).cast("array<string>")
+    return universe.where(~F.contains("key", F.lit("/")) & F.arrays_overlap(own, words)).select("key")
+
+
+def judged_by_join(urls: DataFrame, block: DataFrame, allow: DataFrame) -> DataFrame:
     """The way for lists beyond the bound: judge() for urls (page_id, host, path, keys) by a join with the listed keys. Repeated rows stay."""
-    spark = urls.sparkSession
     # a key that is both is blocked, as the cascades have it
-    rows = [(k, "block") for k in set(block)] + [(k, "allow") for k in set(allow) - set(block)]
-    listed = spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["key", "verdict"]))
+    listed = block.select("key", F.lit("block").alias("verdict")).union(allow.select("key", F.lit("allow"))).groupBy("key").agg(F.max("verdict").alias("verdict"))
     # one row for each host and path, so repeated urls meet the list once
     asked = urls.select("host", "path", F.explode("keys").alias("key")).distinct()
     hits = asked.join(listed, "key").withColumn("ruled", F.instr("key", "/") > 0)
@@ -141,18 +147,23 @@ def judged_by_join(urls: DataFrame, block: Iterable[str], allow: Iterable[str])
     return done.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
 
 
-def judge(pages: DataFrame, *, rules=RULES, listed_hosts=LISTED_HOSTS) -> DataFrame:
-    """page_id, host, path, rule, verdict."""
+def judge(pages: DataFrame, *, rules=RULES, listed_hosts: DataFrame | Iterable[str] = (), unwanted: Iterable[str] = UNWANTED) -> DataFrame:
+    """page_id, host, path, rule, verdict. listed_hosts: hosts to block with their subdomains, as a table's column key or as strings."""
+    spark = pages.sparkSession
     lengths = sorted({len(p) for _, p, _ in rules})
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("keys", asked_keys(F.col("host"), F.col("path"), lengths))
-    listed, allowed = {*[h + p for h, p, v in rules if v == "block"], *listed_hosts}, {h + p for h, p, v in rules if v == "allow"}
-    if max(len(listed), len(allowed)) > MOST_LISTED:
-        return judged_by_join(urls, listed, allowed)
     universe = materialise(urls.select(F.explode("keys").alias("key")).distinct())
+    table = lambda keys: spark.createDataFrame(pa.table([pa.array(sorted(set(keys)), pa.string())], names=["key"]))
+    hosts = listed_hosts if isinstance(listed_hosts, DataFrame) else table(listed_hosts)
+    block = table(h + p for h, p, v in rules if v == "block").union(hosts.select("key")).union(unwanted_domains(universe, unwanted)).distinct()
+    allow = table(h + p for h, p, v in rules if v == "allow")
+    # keys that no url asks for need no room
+    block, allow = (materialise(listed.join(universe, "key", "left_semi")) for listed in (block, allow))
+    if max(block.count(), allow.count()) > MOST_LISTED:
+        return judged_by_join(urls, block, allow)
     n = universe.count()
-    block, allow = build(listed, universe, n), build(allowed, universe, n)
-    sent = pages.sparkSession.sparkContext.broadcast((block, allow))
+    sent = spark.sparkContext.broadcast(tuple(build((r[0] for r in listed.collect()), universe, n) for listed in (block, allow)))
 
     def run(batches):
         blocked, allowed = sent.value
@@ -178,15 +189,14 @@ def op9_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_bloom_cascade": op9_bloom_cascade}
-_LIST = ", ".join(f"('{h}')" for h in LISTED_HOSTS)
+_LIST = ", ".join(f"'{w}'" for w in UNWANTED)
 SQL = {
     "op9_bloom_cascade": rf"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 s AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(h, p, v)),
-l AS (SELECT * FROM (VALUES {_LIST}) AS t(h)),
 b AS (SELECT s.*, (SELECT arg_max(struct_pack(rule := h || p, v := v), length(h || p) * 1000 + length(h)) FROM r WHERE (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, r.p)) AS best FROM s)
 SELECT page_id, host, path, best.rule AS rule,
-       coalesce(best.v, CASE WHEN EXISTS (SELECT 1 FROM l WHERE b.host = l.h OR ends_with(b.host, '.' || l.h)) THEN 'block' ELSE 'allow' END) AS verdict FROM b"""
+       coalesce(best.v, CASE WHEN list_has_any(string_split_regex(host, '[.-]'), [{_LIST}]) THEN 'block' ELSE 'allow' END) AS verdict FROM b"""
 }
