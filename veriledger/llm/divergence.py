@@ -31,7 +31,6 @@ MIN_CHARS, MIN_WORDS = 200, 40
 BANDS = (0, 40, 80, 160, 320, 1000)
 #: How much farther than the farthest good text is too far.
 MARGIN = 1.05
-_FOLD = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WINDOW = 8
 _SPACE = " \t\n\x0b\f\r"
 
@@ -47,8 +46,8 @@ def _split(text: Column) -> Column:
 
 
 def common_words(docs: DataFrame, *, most: int = COMMON) -> list[str]:
-    """The most frequent words (A-Z in lower case) of each language, together, in order. Ranked in salted parts first, so no task ranks a whole language."""
-    words = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.explode(_split(F.translate("text", *_FOLD))).alias("w"))
+    """The most frequent words (in lower case) of each language, together, in order. Ranked in salted parts first, so no task ranks a whole language."""
+    words = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.explode(_split(F.lower("text"))).alias("w"))
     counted = words.groupBy("lang", "w").agg(F.count("*").alias("n")).withColumn("part", F.pmod(F.xxhash64("w"), F.lit(64)))
     rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("n"), "w"))
     few = counted.withColumn("r", rank("part")).where(F.col("r") <= most).withColumn("r", rank()).where(F.col("r") <= most)
@@ -70,7 +69,7 @@ def features(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     n = F.size(words)
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))).otherwise(F.array().cast("array<long>"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    hits = F.filter(F.transform(words, lambda w: F.translate(w, *_FOLD)), lambda w: w.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
+    hits = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
     b = a.select(
         *rest, "text", n.cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         windows.alias("_windows"), lines.alias("_lines"), F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")).alias("_hits"),
@@ -186,13 +185,13 @@ def _sql() -> str:
     bands = ", ".join(f"({b})" for b in BANDS)
     return rf"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 voc AS (SELECT DISTINCT v FROM (SELECT lang, v, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, v) AS r
-  FROM (SELECT lang, translate(unnest(w), '{_FOLD[0]}', '{_FOLD[1]}') AS v FROM d WHERE lang IS NOT NULL) GROUP BY lang, v) WHERE r <= {COMMON}),
+  FROM (SELECT lang, lower(unnest(w)) AS v FROM d WHERE lang IS NOT NULL) GROUP BY lang, v) WHERE r <= {COMMON}),
 g AS (SELECT k, i, list_slice(w, i, i + 7) AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i) WHERE len(w) >= 8),
 rw AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY k, s) AS c FROM g) WHERE c > 1) GROUP BY k),
 ln AS (SELECT k, count(*) - count(DISTINCT l) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY k),
 e AS (SELECT d.k, doc_id, lang, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, length(regexp_replace(text, '[^{SYMBOLS}]+', '', 'g')) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words,
   length(regexp_replace(text, '\PL+', '', 'g')) AS le, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS up, length(regexp_replace(text, '\P{{Nd}}+', '', 'g')) AS di,
-  list_transform(coalesce((SELECT list(v ORDER BY v) FROM voc), []), lambda v: len(list_filter(w, lambda x: translate(x, '{_FOLD[0]}', '{_FOLD[1]}') = v))) AS common FROM d LEFT JOIN rw USING (k) LEFT JOIN ln USING (k)),
+  list_transform(coalesce((SELECT list(v ORDER BY v) FROM voc), []), lambda v: len(list_filter(w, lambda x: lower(x) = v))) AS common FROM d LEFT JOIN rw USING (k) LEFT JOIN ln USING (k)),
 f AS (SELECT *, [le - up, up, di, n_symbols, greatest(word_chars - le - di - n_symbols, 0)] AS chars, list_append(common, n_words - list_sum(common)) AS every, list_sum(chars) AS n_chars FROM e),
 {nearest("ch", "chars", "n_chars")},
 {nearest("wo", "every", "n_words")},
