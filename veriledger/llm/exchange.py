@@ -43,17 +43,17 @@ def _partition_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (h ^ h >> np.uint32(16)).astype(np.int32).astype(np.int64) % n
 
 
-def bucket_keys(spark: SparkSession) -> np.ndarray:
-    """Each bucket's key, ascending: BUCKETS_EACH for each shuffle partition."""
+def bucket_keys(spark: SparkSession, each: int = BUCKETS_EACH) -> np.ndarray:
+    """Each bucket's key, ascending: so many for each shuffle partition."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = 64 * n
+    size = 32 * each * n
     while True:
         keys = np.arange(size, dtype=np.int32)
         part = _partition_of(keys, n)
         order = np.argsort(part, kind="stable")
         nth = np.arange(size) - np.searchsorted(part[order], part[order])
-        chosen = order[nth < BUCKETS_EACH]
-        if len(chosen) == n * BUCKETS_EACH:
+        chosen = order[nth < each]
+        if len(chosen) == n * each:
             return np.sort(keys[chosen])
         size *= 2
 

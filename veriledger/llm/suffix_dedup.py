@@ -31,6 +31,8 @@ from veriledger.llm.substrings import KEY, load, row_keys, save, with_row_key
 from veriledger.llm.workers import lean
 
 LENGTH, WINDOW = 200, 61
+#: Buckets of contexts for each shuffle partition: contexts are far larger than hashes.
+CONTEXT_BUCKETS = 8
 #: Contexts that one suffix array holds; a group of more is taken apart.
 MOST_CONTEXTS = 1500
 SIDE = WINDOW - 1
@@ -353,10 +355,11 @@ def _solve(table: pa.Table) -> pa.Table:
     out = [r for r in rows if r[2] == X.SKELETON]
     if asked:
         gs = [X.unpack(r[3], 8) for r in asked]
+        ends = np.cumsum([len(x) for x in gs])
         g = np.concatenate(gs)
         notes = np.concatenate([np.frombuffer(r[4], np.uint8).reshape(-1, 3) for r in asked])
         around = np.concatenate([np.frombuffer(r[5], np.uint8).reshape(-1, 2 * SIDE) for r in asked])
-        print_ = K.row_hashes(np.concatenate([g.view(np.uint8).reshape(-1, 8), notes[:, :2], around], 1))
+        print_ = K.mix(K.row_hashes(around) + K.mix(g + notes[:, 0].astype(K.U64) * K.U64(256) + notes[:, 1].astype(K.U64)))
         _, first, where, n = np.unique(print_, return_index=True, return_inverse=True, return_counts=True)
         twice = n + np.bincount(where, notes[:, 2], len(first)) > 1
         # an equal context elsewhere stands beside this one
@@ -367,8 +370,7 @@ def _solve(table: pa.Table) -> pa.Table:
         bits = np.empty(len(both), np.uint64)
         bits[order] = repeated_windows(around[both[order]], left[order], right[order], group)
         said = bits[where]
-        cuts = np.concatenate(([0], np.cumsum([len(x) for x in gs])))
-        out += [(r[0], r[1], X.ANSWER, None, said[cuts[i] : cuts[i + 1]].tobytes(), None) for i, r in enumerate(asked)]
+        out += [(r[0], r[1], X.ANSWER, None, said[a:b].tobytes(), None) for r, a, b in zip(asked, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
     return _table(out)
 
 
@@ -399,7 +401,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     # each copy of a row is an occurrence of its own, as in the tables
     # merged, so that rows come in the order of their key and a task that runs again numbers its chunks as before
     texts = keyed.join(waiting.hint("merge"), KEY).select("text", *KEY, "open")
-    contexts = texts.mapInArrow(lean(_ask_contexts(keys)), X.SCHEMA)
+    contexts = texts.mapInArrow(lean(_ask_contexts(X.bucket_keys(keyed.sparkSession, CONTEXT_BUCKETS))), X.SCHEMA)
     found = contexts.groupBy("bucket").applyInArrow(lean(_solve), X.SCHEMA).groupBy("chunk").applyInArrow(lean(_found), "did long, rk long, found binary")
     return found.groupBy(*KEY).agg(F.max("found").alias("found"))
 
