@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from veriledger.storage import discard, materialise, scope, shared_dir
 
-__all__ = ["discard", "materialise", "scope", "shared_dir", "small_batches"]
+__all__ = ["discard", "materialise", "release_shuffles", "scope", "shared_dir", "small_batches"]
 
 ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -21,3 +21,8 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) ->
     known = spark.conf.get(BYTES, None)
     if known is None or not known.isdigit() or not 0 < int(known) <= size:
         spark.conf.set(BYTES, size)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """After a table was written: lets Spark delete the shuffle files behind it now, and not when the driver next happens to collect its garbage."""
+    spark.sparkContext._jvm.System.gc()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from veriledger.llm import exchange as X
 from veriledger.llm import kernels as K
-from veriledger.llm.storage import materialise, small_batches
+from veriledger.llm.storage import materialise, release_shuffles, small_batches
 from veriledger.llm.workers import lean
 
 WIDTH = 35
@@ -134,6 +134,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     small_batches(docs.sparkSession)
     keyed = with_row_key(docs)
     places = materialise(windows_repeated(keyed, width=width))
+    release_shuffles(docs.sparkSession)
     schema = "doc_id long, n_words long, removed array<struct<begin:long,end:long>>, kept_text string"
     runs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 

@@ -26,7 +26,7 @@ from veriledger.llm import exchange as X
 from veriledger.llm import kernels as K
 from veriledger.llm.gsaca import suffix_array
 from veriledger.llm.small_ints import ints, small_ints
-from veriledger.llm.storage import materialise, small_batches
+from veriledger.llm.storage import materialise, release_shuffles, small_batches
 from veriledger.llm.substrings import KEY, load, row_keys, save, with_row_key
 from veriledger.llm.workers import lean
 
@@ -411,6 +411,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     keyed = with_row_key(docs)
     spans = materialise(repeated_spans(keyed))
+    release_shuffles(docs.sparkSession)
     runs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
