@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 DIR = "spark.checkpoint.dir"
+#: Spark's own setting that removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _open: list[list[str]] = []
 
 
@@ -26,10 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lost executors need no earlier stage."""
+    """Write df as Parquet to the shared folder and read it again: lost executors need no earlier stage.
+
+    The shuffle files behind the table go when it is written, not when the driver next collects its garbage; the session's setting comes back.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veriledger-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     written = spark.read.schema(df.schema).parquet(path)
     written._veriledger_path = path
     for paths in _open[-1:]:
