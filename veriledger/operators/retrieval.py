@@ -6,19 +6,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriledger.errors import IndexError_, RetrievalError
+from veriledger.operators import cells
+from veriledger.operators.cells import unit
 from veriledger.sources.corpus import Corpus, embedding_text
 from veriledger.storage import materialise
 
 TOP_K = 3
 DIMENSIONS = 256
-#: Rows (or queries) that one comparison holds, and numbers of a side that is broadcast whole.
-BLOCK, MOST_SENT = 1024, 8_000_000
-#: Rows of either side in a block, where both sides are too large to be sent.
-LARGE_BLOCK = 50_000
+#: Rows (or queries) that one comparison holds, and numbers of a side that is broadcast whole: a rule corpus of a few thousand provisions.
+BLOCK, MOST_SENT = 1024, 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,12 +54,6 @@ def index(corpus: Corpus, embed: Callable[[Column], Column] | None = None) -> Da
     return materialise(corpus.provisions.withColumn("vector", embed(embedding_text(F.col("title"), F.col("text"), F.col("keywords")))))
 
 
-def _unit(vectors) -> np.ndarray:
-    matrix = np.array([np.asarray(v, np.float64) for v in vectors])
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(norm > 0, norm, 1)
-
-
 def _best(q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Scores and ids of the k best of rows for each of q, best first, ties to the smaller id. A block of both at once."""
     all_s, all_i = [], []
@@ -83,48 +77,35 @@ def _rows_of(query_ids, scores: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"query_id": np.repeat(np.asarray(query_ids), n), "row_id": ids.ravel(), "score": scores.ravel()})
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = TOP_K, *, digits: int | None = None, most_sent: int = MOST_SENT, large_block: int = LARGE_BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int = TOP_K, *, digits: int | None = None, most_sent: int = MOST_SENT, large_block: int = cells.LARGE_BLOCK) -> DataFrame:
     """(query_id, row_id, score, rank): for each query the k rows with the highest cosine, ties to the smaller row_id.
 
     queries: query_id (of any type), vector; rows: row_id (long), vector. Rows of up to most_sent numbers (a rule corpus) are counted, then sent to all tasks, and
-    queries stay where they are. Otherwise both sides are cut into blocks of bounded size, each block of queries meets each block of rows, and k rows a
-    query and block are merged. digits: scores are rounded before they are ranked.
+    queries stay where they are. Otherwise rows are put into cells, and only cells that can hold one of the k are scored. digits: scores are rounded before they are ranked.
+    Null vectors are left out on both sides.
     """
     if k <= 0:
         raise IndexError_("top_k must be positive")
     spark = rows.sparkSession
-    queries, rows = queries.select("query_id", "vector"), rows.select(F.col("row_id").cast("long").alias("row_id"), "vector")
+    queries, rows = queries.where("vector IS NOT NULL").select("query_id", "vector"), rows.where("vector IS NOT NULL").select(F.col("row_id").cast("long").alias("row_id"), "vector")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, row_id long, score double"
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("numbers")).collect()[0]
     if not size["n"]:
         return spark.createDataFrame([], schema + ", rank int")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     if size["numbers"] <= most_sent:
         held = rows.orderBy("row_id").collect()
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), _unit([r[1] for r in held])))
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), unit([r[1] for r in held])))
 
         def against(batches):
             ids, matrix = sent.value
             for pdf in batches:
                 for a in range(0, len(pdf), BLOCK):
                     part = pdf.iloc[a : a + BLOCK]
-                    scores, found = _best(_unit(part["vector"]), ids, matrix, k, digits)
+                    scores, found = _best(unit(part["vector"]), ids, matrix, k, digits)
                     yield _rows_of(part["query_id"], scores, found).assign(rank=np.tile(np.arange(1, scores.shape[1] + 1, dtype=np.int32), len(part)))
 
         return queries.mapInPandas(against, schema + ", rank int")
-    n_rows, n_queries = (max(1, -(-n // large_block)) for n in (size["n"], queries.count()))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", block("query_id", n_queries)).withColumn("rb", spread(n_rows))
-    right = rows.withColumn("rb", block("row_id", n_rows)).withColumn("qb", spread(n_queries))
-
-    def both(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": [], "row_id": [], "score": []})
-        return _rows_of(q["query_id"], *_best(_unit(q["vector"]), r["row_id"].to_numpy(np.int64), _unit(r["vector"]), k, digits))
-
-    met = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(both, schema)
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return cells.search(queries, cells.build(rows), k, digits=digits, large_block=large_block)
 
 
 def search(indexed: DataFrame, text: str, *, top_k: int = TOP_K, embed: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -215,7 +215,7 @@ def nearest_vectors_top3(spark, sf_dir):
 
 @query(_EVERY_20TH)
 def nearest_vectors_in_blocks(spark, sf_dir):
-    """The way for sides that are both too large to be sent."""
+    """By cells, the way for rows that are too many to be sent."""
     return _every_20th(spark, sf_dir, most_sent=0, large_block=500)
 
 
