@@ -7,18 +7,13 @@ grouped by where they start and where they end.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriledger.errors import SignalError
-from veriledger.functions.scalars import micros, seconds_between
+from veriledger.functions.scalars import micros
+from veriledger.operators.chains import MAX_HOPS, WINDOW_MINUTES, best_chains, check_bounds, longest, path_levels, paths  # noqa: F401  names that users of signals have
 from veriledger.storage import materialise
 
-WINDOW_MINUTES, MAX_HOPS = 120, 6
-
-
 #: Devices of an account up to which all their subsets are counted.
 MOST_DEVICES = 6
 
@@ -94,50 +89,6 @@ def clustering(accounts: DataFrame, transfers: DataFrame, *, only: DataFrame | N
     return accounts.select("account_id").join(found, "account_id", "left").withColumn("local_clustering_coefficient", F.coalesce("local_clustering_coefficient", F.lit(0.0)))
 
 
-def check_bounds(window_minutes: int, max_hops: int) -> None:
-    if window_minutes <= 0 or max_hops <= 0:
-        raise SignalError("window and depth must be positive")
-
-
-def path_levels(transfers: DataFrame, *, window_minutes: int = WINDOW_MINUTES, max_hops: int = MAX_HOPS, starts: DataFrame | None = None, backward: bool = False) -> list[DataFrame]:
-    """For each depth the chains (start, end, last_us, gap in seconds or null, visited, k).
-
-    A chain and its next transfer meet on the account and on slots of time as long as the window, so a hub's transfers of other days
-    are never compared. Each depth is written once, since the next and the sums both read it.
-    starts: (account_id) to follow only chains from these. backward: chains against the direction of transfers and time.
-    """
-    check_bounds(window_minutes, max_hops)
-    window = window_minutes * 60 * 1_000_000
-    us = micros(F.col("executed_at"))
-    ends = ("dst", "src") if backward else ("src", "dst")
-    moves = transfers.where("src <> dst AND executed_at IS NOT NULL").select(*ends, (-us if backward else us).alias("us")).toDF("src", "dst", "us")
-    moves = materialise(moves)
-    level = moves if starts is None else moves.join(starts.select(F.col("account_id").alias("src")), "src", "left_semi")
-    level = level.select(F.col("src").alias("start"), F.col("dst").alias("end"), F.col("us").alias("last_us"), F.lit(None).cast("double").alias("gap"), F.array("src", "dst").alias("visited"), F.lit(1).alias("k"))
-    levels = [level]
-    slot = lambda c: F.floor(c / window)
-    onward = moves.select(F.col("src").alias("end"), F.col("dst").alias("then"), F.col("us").alias("then_us"), slot(F.col("us")).alias("slot"))
-    for k in range(2, max_hops + 1):
-        waiting = level.withColumn("slot", F.explode(F.array(slot(F.col("last_us")), slot(F.col("last_us")) + 1)))
-        met = waiting.join(onward, ["end", "slot"]).where("then_us - last_us BETWEEN 0 AND " + str(window)).where(~F.array_contains("visited", F.col("then")))
-        step = seconds_between(F.col("last_us"), F.col("then_us"))
-        level = materialise(met.select("start", F.col("then").alias("end"), F.col("then_us").alias("last_us"), F.least("gap", step).alias("gap"), F.array_append("visited", F.col("then")).alias("visited"), F.lit(k).alias("k")))
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return levels
-
-
-def paths(transfers: DataFrame, **options) -> DataFrame:
-    return reduce(DataFrame.unionByName, path_levels(transfers, **options))
-
-
-def longest(found: DataFrame, side: str, hops: str, gap: str) -> DataFrame:
-    """Longest chains by their start or end, and the smallest gap on chains of that length."""
-    best = F.max(F.struct(F.col("k"), (-F.col("gap")).alias("g")))
-    return found.groupBy(F.col(side).alias("account_id")).agg(best.alias("best")).select("account_id", F.col("best.k").alias(hops), (-F.col("best.g")).alias(gap))
-
-
 def pivot_dwell(transfers: DataFrame) -> DataFrame:
     """(account_id, dwell_seconds): the shortest wait between a transfer in and a later or simultaneous transfer out.
 
@@ -162,15 +113,18 @@ def velocity(accounts: DataFrame, transfers: DataFrame, *, window_minutes: int =
     The two longest chains are added without a time check where they meet; a dwell beyond the window does not count.
     only: (account_id) if just these accounts' rows matter; then chains are followed from them alone, both ways.
     """
+    check_bounds(window_minutes, max_hops)
     bounds = {"window_minutes": window_minutes, "max_hops": max_hops}
-    found = paths(transfers, starts=only, **bounds)
-    back = longest(found, "end", "b", "bg") if only is None else longest(paths(transfers, starts=only, backward=True, **bounds), "start", "b", "bg")
-    if only is not None:
+    if only is None:
+        best = materialise(best_chains(transfers, **bounds))
+        ahead, back = (best.where(F.col("backward") == b).select("account_id", F.col("hops").alias(h), F.col("gap").alias(g)) for b, h, g in ((False, "f", "fg"), (True, "b", "bg")))
+    else:
+        ahead, back = longest(paths(transfers, starts=only, **bounds), "start", "f", "fg"), longest(paths(transfers, starts=only, backward=True, **bounds), "start", "b", "bg")
         accounts = accounts.join(only, "account_id", "left_semi")
         touching = only.select("account_id").distinct()
         transfers = transfers.join(touching.toDF("src"), "src", "left_semi").union(transfers.join(touching.toDF("dst"), "dst", "left_semi").select(*transfers.columns)).distinct()
     both = (
-        accounts.select("account_id").join(longest(found, "start", "f", "fg"), "account_id", "left")
+        accounts.select("account_id").join(ahead, "account_id", "left")
         .join(back, "account_id", "left").join(pivot_dwell(transfers), "account_id", "left")
     )
     dwell = F.when(F.col("dwell_seconds") <= window_minutes * 60, F.col("dwell_seconds"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriledger.functions.scalars import micros
-from veriledger.operators import audit_chain, evaluation, retrieval, signals, validation, verdicts
+from veriledger.operators import audit_chain, chains, evaluation, retrieval, signals, validation, verdicts
 from veriledger.registry import query
 from veriledger.sources import corpus as corpora
 from veriledger.sources import ledger as ledgers
@@ -130,14 +130,19 @@ def velocity_paths_by_depth(spark, sf_dir):
     return signals.paths(_ledger(spark, sf_dir).transfers).groupBy("k").agg(F.count("*").alias("n"))
 
 
+def _best_chains(spark, sf_dir, *, backward, **options):
+    found = chains.best_chains(_ledger(spark, sf_dir).transfers, window_minutes=signals.WINDOW_MINUTES, max_hops=signals.MAX_HOPS, **options)
+    return found.where(F.col("backward") == backward).select("account_id", "hops", F.round("gap", 6).alias("gap"))
+
+
 @query(f"WITH RECURSIVE {_T}, {_P}, {_FB} SELECT account_id, f AS hops, round(fg, 6) AS gap FROM f")
 def velocity_forward(spark, sf_dir):
-    return signals.longest(signals.paths(_ledger(spark, sf_dir).transfers), "start", "hops", "gap").withColumn("gap", F.round("gap", 6))
+    return _best_chains(spark, sf_dir, backward=False, most_listed=0)  # by the program over transfers
 
 
 @query(f"WITH RECURSIVE {_T}, {_P}, {_FB} SELECT account_id, b AS hops, round(bg, 6) AS gap FROM b")
 def velocity_backward(spark, sf_dir):
-    return signals.longest(signals.paths(_ledger(spark, sf_dir).transfers), "end", "hops", "gap").withColumn("gap", F.round("gap", 6))
+    return _best_chains(spark, sf_dir, backward=True)
 
 
 @query(f"WITH RECURSIVE {_T}, {_A}, {_P}, {_FB}, {_W}, {_V} SELECT account_id, max_multi_hop_velocity_hops, round(min_hop_interval_seconds, 6) AS min_hop_interval_seconds FROM v")
