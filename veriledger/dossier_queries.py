@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriledger.errors import VeriledgerError
-from veriledger.operators import audit_chain, evaluation, retrieval, validation, verdicts
+from veriledger.errors import AuditError, VeriledgerError
+from veriledger.operators import audit_chain, evaluation, log_store, retrieval, validation, verdicts
 from veriledger.plans import dossier, reports
 from veriledger.queries import _A, _ALL, _D, _SIGNS, RING, _ledger, _table
 from veriledger.registry import query
@@ -231,8 +231,8 @@ l AS (SELECT e.n, a, prev, h, concat('{{', CASE WHEN w IS NULL THEN '' ELSE conc
   '}}, "previous_entry_hash": "', prev, '", "regulatory_provisions": null, "sequence_number": ', e.n, ', "triggered_reasons": ', r, ', "verdict": "', v, '"}}') AS line FROM e JOIN h USING (n))"""
 
 
-def _conversation_log(spark: SparkSession, sf_dir: str) -> str:
-    """An audit log of conversation turns, those of even conversations first, then the others appended."""
+def _conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, record_json) of conversation turns."""
     turns = _table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL")
     user = F.col("role") == "user"
     verified = F.when(~user, F.col("turn") % 3 == 0)
@@ -241,8 +241,12 @@ def _conversation_log(spark: SparkSession, sf_dir: str) -> str:
         F.when(user, F.array().cast("array<string>")).otherwise(F.array(F.col("role"), F.lit("x"))).alias("triggered_reasons"), F.struct(F.col("turn"), F.length("text").alias("n_chars")).alias("metrics"),
         F.lit(None).cast("array<string>").alias("regulatory_provisions"), verified.alias("corpus_is_verified_real_text"), audit_chain.warning(verified).alias(audit_chain.WARNING_KEY),
     )
-    ready = record.select("conv_id", "turn", F.to_json(F.struct(*record.columns[2:]), {"ignoreNullFields": "false"}).alias("record_json"))
-    log = _place(spark, "log")
+    return record.select("conv_id", "turn", F.to_json(F.struct(*record.columns[2:]), {"ignoreNullFields": "false"}).alias("record_json"))
+
+
+def _conversation_log(spark: SparkSession, sf_dir: str) -> str:
+    """An audit log of conversation turns, those of even conversations first, then the others appended."""
+    ready, log = _conversation_records(spark, sf_dir), _place(spark, "log")
     for part in range(2):
         audit_chain.append(ready.where(F.col("conv_id") % 2 == part), log, order=["conv_id", "turn"], created_at=f"t{part + 1}")
     return log
@@ -272,6 +276,37 @@ def audit_log_tampered(spark, sf_dir):
     return audit_chain.broken_links(audit_chain.read_log(spark, changed), audit_chain.recompute()(F.col("line")))
 
 
+_RACE = _LINES.replace("conv_id % 2, conv_id, turn) AS n", "1 - conv_id % 2, conv_id, turn) AS n").replace("1 + conv_id % 2) AS t", "2 - conv_id % 2) AS t")
+
+
+@query(f"WITH RECURSIVE {_RACE} SELECT n AS sequence_number, a AS account_id, h AS entry_hash, prev AS previous_entry_hash, sha256(line) AS line_sha256 FROM l")
+def audit_log_lost_race(spark, sf_dir):
+    """Two writers chain their turns after the same head; the second to publish finds it taken, and its turns follow the other's."""
+    ready, log = _conversation_records(spark, sf_dir), _place(spark, "log")
+    options = {"order": ["conv_id", "turn"]}
+    slow = audit_chain.draft(ready.where("conv_id % 2 = 0"), log, created_at="t2", **options)
+    audit_chain.append(ready.where("conv_id % 2 = 1"), log, created_at="t1", **options)
+    if audit_chain.publish(spark, slow):
+        raise AuditError("two writers took one head")
+    audit_chain.append(ready.where("conv_id % 2 = 0"), log, created_at="t2", **options)
+    audit_chain.verify(spark, log)
+    return audit_chain.read_log(spark, log).select("sequence_number", "account_id", "entry_hash", "previous_entry_hash", F.sha2("line", 256).alias("line_sha256"))
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY conv_id % 2, conv_id, turn) AS n, count(*) OVER () AS total FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)
+SELECT n AS sequence_number FROM e WHERE n > total - total // 10""")
+def audit_log_cut_tail(spark, sf_dir):
+    """A log whose last segment was written again without the last tenth of all entries: what its heads promise and it lacks."""
+    log = _conversation_log(spark, sf_dir)
+    last = audit_chain.head_of(spark, log)[0]
+    segment = log_store.heads(spark, log).orderBy(F.desc("version")).first()["segment"]
+    shorter = audit_chain.read_log(spark, log).where(F.col("sequence_number") <= last - last // 10).where(F.get_json_object("line", "$.created_at") == "t2").select("line")
+    rest = materialise(shorter)
+    log_store.remove(spark, f"{log}/segment={segment}")
+    rest.write.text(f"{log}/segment={segment}")
+    return log_store.missing(spark, log, audit_chain.read_log(spark, log))
+
+
 _TAMPERED = [
     ("content", "entry 2: the content was changed"), ("intact", "True"), ("link", "entry 3: the chain is broken"), ("malformed", "an entry is malformed"), ("missing", "entries are missing or repeated"),
     ("no_log", "True"), ("repeated", "entries are missing or repeated"),

@@ -7,8 +7,10 @@ long for one task, keep a log for each segment (a day, a region): each has its o
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,9 +19,13 @@ from pyspark.sql import functions as F
 
 from veriledger.errors import AuditError
 from veriledger.functions.scalars import canonical_json
+from veriledger.operators import log_store
+from veriledger.operators.log_store import exists
 from veriledger.storage import materialise
 
 GENESIS = "GENESIS"
+#: How often an append starts again because another writer was faster.
+MOST_ATTEMPTS = 20
 WARNING_KEY = "SYSTEM_AUDIT_WARNING"
 UNVERIFIED_WARNING = "The provisions cited in this entry come from a corpus that is not marked as verified text; check them before relying on them."
 LINE = "sequence_number long, account_id string, entry_hash string, previous_entry_hash string, line string"
@@ -99,8 +105,12 @@ def broken_links(chained: DataFrame, recomputed: Column, *, genesis: str = GENES
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """LINE rows of a written log (JSON lines, blank ones skipped); malformed lines have null fields and are kept."""
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*$"))
+    """LINE rows of a log (JSON lines, blank ones skipped), of one that append() wrote only what is committed; malformed lines have null fields and are kept."""
+    lines = (log_store.lines(spark, path).select("value") if log_store.has_heads(spark, path) else spark.read.text(path)).where(~F.col("value").rlike(r"^\s*$"))
+    return _entries(lines)
+
+
+def _entries(lines: DataFrame) -> DataFrame:
     parsed = F.from_json("value", "sequence_number long, account_id string, entry_hash string, previous_entry_hash string")
     return lines.select(parsed.alias("p"), F.col("value").alias("line")).select("p.*", "line").select("sequence_number", "account_id", "entry_hash", "previous_entry_hash", "line")
 
@@ -123,13 +133,11 @@ def recompute() -> Callable[[Column], Column]:
     return again
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def head_of(spark: SparkSession, path: str) -> tuple[int, str]:
-    """(last sequence number, its hash), (0, GENESIS) for no log."""
+    """(last sequence number, its hash), (0, GENESIS) for no log. Of a log that append() wrote, from its newest head record alone."""
+    if log_store.has_heads(spark, path):
+        head = log_store.newest(spark, path, GENESIS)
+        return head.sequence_number, head.entry_hash
     if not exists(spark, path):
         return 0, GENESIS
     log = read_log(spark, path)
@@ -139,24 +147,79 @@ def head_of(spark: SparkSession, path: str) -> tuple[int, str]:
     return (found["n"], found["h"]) if found["n"] is not None else (0, GENESIS)
 
 
+@dataclasses.dataclass(frozen=True)
+class Draft:
+    """Lines that are written but not yet part of the log, and the head that they follow."""
+
+    path: str
+    after: log_store.Head
+    segment: str
+    last: int
+    entry_hash: str
+    created_at: str
+
+    @property
+    def folder(self) -> str:
+        return f"{self.path}/segment={self.segment}"
+
+
+def draft(records: DataFrame, path: str, *, order: list[str], created_at: str) -> Draft:
+    """Chains records after the log's newest head and writes their lines where readers do not see them yet."""
+    spark = records.sparkSession
+    log_store.start(spark, path)
+    after, segment = log_store.newest(spark, path, GENESIS), uuid.uuid4().hex
+    chained = materialise(chain(records, order=order, created_at=created_at, head=(after.sequence_number, after.entry_hash)))
+    last = chained.agg(F.max("sequence_number"), F.max_by("entry_hash", "sequence_number")).collect()[0]
+    made = Draft(path, after, segment, last[0] if last[0] is not None else after.sequence_number, last[1] or after.entry_hash, created_at)
+    chained.select("line").write.text(made.folder)
+    return made
+
+
+def publish(spark: SparkSession, made: Draft) -> bool:
+    """Makes a draft part of the log. False if another writer's lines have taken its place after the same head; the draft is gone then."""
+    if log_store.commit(spark, made.path, made.after, last=made.last, entry_hash=made.entry_hash, segment=made.segment, created_at=made.created_at):
+        return True
+    log_store.remove(spark, made.folder)
+    return False
+
+
 def append(records: DataFrame, path: str, *, order: list[str], created_at: str) -> DataFrame:
-    """Chains records after the log's head, writes their lines, and returns them."""
+    """Chains records after the log's head, publishes their lines, and returns them (LINE rows). If another writer is faster, the records are chained again after its lines."""
     spark = records.sparkSession
-    chained = chain(records, order=order, created_at=created_at, head=head_of(spark, path))
-    chained = materialise(chained)
-    chained.select("line").coalesce(1).write.mode("append").text(path)
-    return chained
+    for _ in range(MOST_ATTEMPTS):
+        made = draft(records, path, order=order, created_at=created_at)
+        if publish(spark, made):
+            return _entries(spark.read.text(made.folder))
+    raise AuditError(f"{path}: other writers were faster {MOST_ATTEMPTS} times")
 
 
-def verify(spark: SparkSession, path: str) -> bool:
-    """True for an intact or missing log; else an AuditError that names the first bad entry."""
+def has_run(spark: SparkSession, path: str, created_at: str) -> bool:
+    """Whether an append of this created_at is in the log; reads head records only."""
+    return log_store.has_heads(spark, path) and not log_store.heads(spark, path).where(F.col("created_at") == created_at).isEmpty()
+
+
+def verify(spark: SparkSession, path: str, *, known: tuple[int, str] | None = None) -> bool:
+    """True for an intact or missing log; else an AuditError that names the first bad entry.
+
+    Entries that a head record promises must be there, so a cut tail is found. A log of which the last head records went with their lines looks like one that was never
+    longer: known, a head (sequence number, hash) that the caller kept, finds that.
+    """
     if not exists(spark, path):
+        if known:
+            raise AuditError("the log is gone")
         return True
     log = read_log(spark, path)
+    if log_store.has_heads(spark, path):
+        log_store.check_heads(spark, path, GENESIS)
+        lost = log_store.missing(spark, path, log).agg(F.min("sequence_number")).collect()[0][0]
+        if lost is not None:
+            raise AuditError(f"entry {lost}: promised by a head record and not there")
+    if known and known[0] and log.where((F.col("sequence_number") == known[0]) & (F.col("entry_hash") == known[1])).isEmpty():
+        raise AuditError(f"entry {known[0]}: a head that was known is not in the log")
     if not log.where("sequence_number IS NULL OR entry_hash IS NULL").isEmpty():
         raise AuditError("an entry is malformed")
     numbers = log.agg(F.count("*").alias("n"), F.max("sequence_number").alias("m"), F.count_distinct("sequence_number").alias("d")).collect()[0]
-    if numbers["n"] != numbers["m"] or numbers["d"] != numbers["n"]:
+    if numbers["n"] != (numbers["m"] or 0) or numbers["d"] != numbers["n"]:
         raise AuditError("entries are missing or repeated")
     bad = broken_links(log, recompute()(F.col("line"))).orderBy("sequence_number").limit(1).collect()
     if bad:

@@ -48,7 +48,7 @@ def score_stream(stream: DataFrame, accounts: DataFrame, ledger_path: str, log_p
             none.cast("boolean").alias("corpus_is_verified_real_text"), none.cast("string").alias(audit_chain.WARNING_KEY),
         )
         stamp = f"batch-{number}"
-        if audit_chain.exists(spark, log_path) and not audit_chain.read_log(spark, log_path).where(F.get_json_object("line", "$.created_at") == stamp).isEmpty():
+        if audit_chain.has_run(spark, log_path, stamp):
             return
         audit_chain.append(as_json(recorded), log_path, order=["account_id"], created_at=stamp)
 
