@@ -14,6 +14,7 @@ from veriledger.operators import audit_chain, chains, evaluation, retrieval, sig
 from veriledger.registry import query
 from veriledger.sources import corpus as corpora
 from veriledger.sources import ledger as ledgers
+from veriledger.sources import lookup
 from veriledger.storage import materialise
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -194,8 +195,9 @@ def threshold_sweep(spark, sf_dir):
 
 @query(f"SELECT * FROM ({_VERDICTS}) WHERE account_id = (SELECT min(user_id) FROM events)")
 def single_account_verdict(spark, sf_dir):
+    """From a ledger laid out by account: chains, neighbours and devices of the one account, bucket by bucket."""
     led = _ledger(spark, sf_dir)
-    return _verdict_rows(verdicts.verdict_of(led, led.accounts.agg(F.min("account_id")).first()[0]))
+    return _verdict_rows(lookup.verdict_at(lookup.lookup(led, buckets=16), led.accounts.agg(F.min("account_id")).first()[0]))
 
 
 _NEAREST = """SELECT query_id, row_id, score, rank FROM (
