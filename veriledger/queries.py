@@ -193,6 +193,19 @@ def threshold_sweep(spark, sf_dir):
     return verdicts.sweep(signals.signals(_ledger(spark, sf_dir)), many)
 
 
+@query(f"""{_ALL}, th AS (SELECT p_partkey AS setting, (p_size % 5) * 0.1::DOUBLE AS c, p_partkey % 4 AS d, 1 + p_partkey % 6 AS h, 600.0 * (1 + p_size % 7) AS i FROM part)
+SELECT setting, CASE WHEN shared_device_account_count >= d AND (local_clustering_coefficient >= c OR max_multi_hop_velocity_hops >= h OR coalesce(min_hop_interval_seconds <= i, false)) THEN 'FLAGGED' ELSE 'SAFE' END AS verdict,
+count(*) AS n FROM m, th GROUP BY 1, 2""")
+def threshold_sweep_of_table(spark, sf_dir):
+    """A setting for each part, all from one count of the accounts by the thresholds that they meet."""
+    part = _table(spark, sf_dir, "part")
+    settings = part.select(
+        F.col("p_partkey").alias("setting"), ((F.col("p_size") % 5) * F.lit(0.1)).alias("min_clustering_coefficient"), (F.col("p_partkey") % 4).alias("min_shared_device_neighbors"),
+        (1 + F.col("p_partkey") % 6).alias("min_velocity_hops"), (600.0 * (1 + F.col("p_size") % 7)).alias("max_hop_interval_seconds"),
+    )
+    return verdicts.sweep_table(materialise(signals.signals(_ledger(spark, sf_dir))), settings)
+
+
 @query(f"SELECT * FROM ({_VERDICTS}) WHERE account_id = (SELECT min(user_id) FROM events)")
 def single_account_verdict(spark, sf_dir):
     """From a ledger laid out by account: chains, neighbours and devices of the one account, bucket by bucket."""
