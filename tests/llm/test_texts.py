@@ -206,11 +206,11 @@ def test_language_model(spark, rows, docs, folder):
         assert r[6] < 0
 
 
-def _filter(words, word_counts, pairs, pair_counts, bits):
+def _filter(words, word_counts, pairs, pair_counts, bits, first=log_bloom.PROBES):
     import numpy as np
 
     most = int(log_bloom.levels_of(np.concatenate([word_counts, pair_counts])).max(initial=0))
-    return log_bloom.Filter(log_bloom.fill(words, word_counts, pairs, pair_counts, bits), bits, most)
+    return log_bloom.Filter(log_bloom.fill(words, word_counts, pairs, pair_counts, bits, first), bits, most, first)
 
 
 def test_levels():
@@ -231,7 +231,7 @@ def test_filter_gives_levels_back():
 
     words, pairs = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n) for n in (3000, 5000))
     word_counts, pair_counts = np.arange(3000) % 900 + 1, np.where(np.arange(5000) < 4000, 1, 7)
-    bits = log_bloom.bits_for(word_counts, pair_counts)
+    bits = log_bloom.bits_for(word_counts, pair_counts, log_bloom.PROBES)
     model = _filter(words, word_counts, pairs, pair_counts, bits)
     for keys, counts in ((words, word_counts), (pairs, pair_counts)):
         levels = model.levels(keys)
@@ -243,6 +243,37 @@ def test_filter_gives_levels_back():
     assert _filter(words[:0], word_counts[:0], pairs[:0], pair_counts[:0], 64).levels(words).sum() == 0
 
 
+@pytest.mark.parametrize("n", [2_000, 60_000])
+def test_probabilities_through_the_filter_sum_to_one(n):
+    """Of n words after one of them, most were never seen there; the filter has no more room than its insertions need."""
+    import numpy as np
+
+    rnd = np.random.default_rng(7)
+    words = rnd.integers(1, 1 << 63, n, np.int64).astype(np.uint64)
+    counts = np.maximum(1, (n / np.arange(1, n + 1)).astype(np.int64))
+    contexts = [0, 5, n // 2]
+    pair = lambda v, w: log_bloom.K.mix(words[v] * np.uint64(0x9E3779B97F4A7C15) + words[w])
+    seen = {v: np.unique(rnd.choice(n, min(n, 4 * int(counts[v])), p=counts / counts.sum())) for v in contexts}
+    others = rnd.integers(1, 1 << 63, 4 * n, np.int64).astype(np.uint64)  # pairs of other words
+    keys = np.concatenate([*(pair(v, w) for v, w in seen.items()), others])
+    pair_counts = np.where(np.arange(len(keys)) % 9 == 0, 3, 1)
+    first = log_bloom.first_probes(n)
+    bits = log_bloom.bits_for(counts, pair_counts, first)
+    model = _filter(words, counts, keys, pair_counts, bits, first)
+    mean = log_bloom.means_of(log_bloom.sums_of(model.levels(words), counts))
+    pair_mean = log_bloom.means_of(log_bloom.sums_of(model.levels(keys), pair_counts))
+    total, single = counts.sum(), mean[model.levels(words)]
+    p_word = (single + 1) / (total + n + 1)
+    assert p_word.sum() + 1 / (total + n + 1) == pytest.approx(1, abs=0.01)
+    for v, own in seen.items():
+        found = model.levels(pair(v, np.arange(n)))
+        absent = np.setdiff1d(np.arange(n), own)
+        assert (found[absent] > 0).sum() <= 2
+        c = float(pair_counts[np.isin(keys, pair(v, own))].sum())
+        mass = ((np.minimum(pair_mean[found], c) + log_bloom.MU * p_word) / (c + log_bloom.MU)).sum()
+        assert mass == pytest.approx(1, abs=0.02), v
+
+
 def _model(rows, mu=log_bloom.MU):
     """Scores by exact levels, and the probability of a word after another (None for an unknown word), in plain Python."""
     import collections

@@ -3,7 +3,8 @@
 Counts of words and of word pairs over all training rows are quantised to levels, each a fourth root of two above the one before (counts up to
 5 have a level of their own), and the n-gram is put into a Bloom filter once for each level up to its own. Asking level after level until one is
 not there gives the level back, with one-sided errors. The filter is cut into ranges of the n-gram hash. Each range is
-as long as its counted insertions need at PROBES bits an insertion (all together at least FILTER_BITS), so every word and every pair goes in whatever the corpus. A range
+as long as its counted insertions need, so every word and every pair goes in whatever the corpus. The first level takes log2(V) + SPARE probes: of the V words that might follow one, those that
+do not are then almost never taken for seen, and probabilities sum to 1 for any V; the levels above take PROBES. A range
 is filled and asked in the task that counts it: chunks of text send their n-grams to the ranges and get levels back, so no
 filter is broadcast or collected.
 
@@ -35,7 +36,7 @@ from veriledger.llm.substrings import load, save
 from veriledger.llm.workers import lean
 
 #: MU: of 1 to 2000, the one with the best held-out probability on the test tables was 500.
-FILTER_BITS, PROBES, MU = 1 << 28, 6, 500.0
+PROBES, SPARE, MU = 6, 4, 500.0
 #: The least count of each level from 1.
 LEAST = np.unique(np.ceil(2.0 ** (np.arange(4 * 60) / 4) - 1e-9).astype(np.int64))
 END = np.uint64(0x5BD1E995C2B2AE3D)
@@ -89,41 +90,47 @@ def halves(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return a, K.mix(a) | np.uint64(1)
 
 
-def places(keys: np.ndarray, level: int, bits: int):
+def first_probes(n_words: int) -> int:
+    """Probes of the first level where so many words are known."""
+    return max(PROBES, math.ceil(math.log2(n_words + 2)) + SPARE)
+
+
+def places(keys: np.ndarray, level: int, bits: int, probes: int):
     a, b = halves(keys, level)
-    for i in range(PROBES):
+    for i in range(probes):
         yield ((a + np.uint64(i) * b) % np.uint64(bits)).astype(np.int64)
 
 
-def bits_for(word_counts: np.ndarray, pair_counts: np.ndarray, least: int = 64) -> int:
-    """The length of a range with room for all of its insertions."""
-    insertions = int(levels_of(word_counts).sum()) + int(levels_of(pair_counts).sum())
-    return max(least, math.ceil(insertions * PROBES / 0.69))
+def bits_for(word_counts: np.ndarray, pair_counts: np.ndarray, first: int) -> int:
+    """The length of a range with room for all of its insertions, first probes for each n-gram's first level."""
+    n = len(word_counts) + len(pair_counts)
+    above = int(levels_of(word_counts).sum()) + int(levels_of(pair_counts).sum()) - n
+    return max(64, math.ceil((n * first + above * PROBES) / 0.69))
 
 
-def fill(words: np.ndarray, word_counts: np.ndarray, pair_keys: np.ndarray, pair_counts: np.ndarray, bits: int) -> np.ndarray:
-    """One range of the filter."""
+def fill(words: np.ndarray, word_counts: np.ndarray, pair_keys: np.ndarray, pair_counts: np.ndarray, bits: int, first: int) -> np.ndarray:
+    """One range of the filter. All counts are above 0."""
     word_levels, pair_levels = levels_of(word_counts), levels_of(pair_counts)
     out = np.zeros(bits, bool)
     for keys, levels in ((words, word_levels), (pair_keys, pair_levels)):
         for level in range(1, int(levels.max(initial=0)) + 1):
             some = keys[levels >= level]
-            for at in places(some, level, bits):
+            for at in places(some, level, bits, first if level == 1 else PROBES):
                 out[at] = True
     return np.packbits(out, bitorder="little")
 
 
 class Filter:
-    def __init__(self, data: np.ndarray, bits: int, most: int):
-        """data: the bits of one range, of which there are bits; most: the largest level in it."""
-        self.data, self.bits, self.most = data, bits, most
+    def __init__(self, data: np.ndarray, bits: int, most: int, first: int):
+        """data: the bits of one range, of which there are bits; most: the largest level in it; first: probes of the first level."""
+        self.data, self.bits, self.most, self.first = data, bits, most, first
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         levels = np.zeros(len(keys), np.int64)
         open_ = np.arange(len(keys))
         for level in range(1, self.most + 1):
             a, b = halves(keys[open_], level)
-            for i in range(PROBES):
+            for i in range(self.first if level == 1 else PROBES):
                 at = ((a + np.uint64(i) * b) % np.uint64(self.bits)).astype(np.int64)
                 there = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 open_, a, b = open_[there], a[there], b[there]
@@ -191,7 +198,9 @@ def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return distinct, np.bincount(where, np.concatenate(counts), len(distinct)).astype(np.int64), where
 
 
-def _count(least: int):
+def _count(n_ranges: int):
+    """Of one range: words are spread evenly over ranges by their hashes, so its own times n_ranges are those of the corpus."""
+
     def one(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "h", "r")), strict=True))
         asked, paired = ([r for r in rows if r[2] == kind] for kind in (X.ASK, PAIRS))
@@ -201,9 +210,10 @@ def _count(least: int):
         out: list[tuple] = []
         if asked or paired:
             known, known_pair = counts > 0, pair_counts > 0
-            bits = bits_for(counts[known], pair_counts[known_pair], least)
+            first = first_probes(int(known.sum()) * n_ranges)
+            bits = bits_for(counts[known], pair_counts[known_pair], first)
             most = int(levels_of(np.array([counts.max(initial=0), pair_counts.max(initial=0)])).max())
-            own = Filter(fill(words[known], counts[known], pair[known_pair], pair_counts[known_pair], bits), bits, most)
+            own = Filter(fill(words[known], counts[known], pair[known_pair], pair_counts[known_pair], bits, first), bits, most, first)
             levels, pair_levels = own.levels(words), own.levels(pair)
             bucket = rows[0][0]
             out.append((bucket, -1, SUMS, None, save(n=counts.sum(), v=known.sum(), words=sums_of(levels[known], counts[known]), pairs=sums_of(pair_levels[known_pair], pair_counts[known_pair])), None))
@@ -265,7 +275,7 @@ def score(docs: DataFrame, *, mu: float = MU) -> DataFrame:
     """Tokens and scores of every row of docs (doc_id, text, held_out) by the counts of the rows that are not held_out."""
     keys = X.bucket_keys(docs.sparkSession)
     asked = docs.select("doc_id", "text", "held_out").mapInArrow(lean(_ask(keys)), SCHEMA)
-    answered = materialise(asked.groupBy("bucket").applyInArrow(lean(_count(max(64, FILTER_BITS // len(keys)))), SCHEMA))
+    answered = materialise(asked.groupBy("bucket").applyInArrow(lean(_count(len(keys))), SCHEMA))
     sums = [load(bytes(r[0])) for r in answered.where(F.col("kind") == SUMS).select("r").toLocalIterator()]
     n, v = (sum(int(x[c]) for x in sums) for c in ("n", "v"))
     word_mean, pair_mean = (means_of(sum((x[c] for x in sums), np.zeros((2, 256), np.int64))) for c in ("words", "pairs"))
