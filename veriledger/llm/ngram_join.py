@@ -76,8 +76,10 @@ SETS = "doc_id long, n_shingles long, tokens binary"
 
 def place_of(df: np.ndarray, bucket: np.ndarray | int, low: np.ndarray) -> np.ndarray:
     """An n-gram's id, which is its place in the global order: frequency (in steps of a fourth root of two), bucket, hash."""
-    level = np.minimum(63, (4 * np.log2(np.maximum(df, 1))).astype(np.int64))
-    return level << 57 | (np.asarray(bucket, np.int64) & 0x1FFFF) << 40 | low.astype(np.int64)
+    level, bucket = np.minimum(63, (4 * np.log2(np.maximum(df, 1))).astype(np.int64)), np.asarray(bucket, np.int64)
+    if bucket.max(initial=0) > 0x1FFFF:
+        raise ValueError("more than 131,072 buckets: ids of n-grams would clash; set fewer shuffle partitions")
+    return level << 57 | bucket << 40 | low.astype(np.int64)
 
 
 def _blobs(table: pa.Table, kind: int) -> list[tuple]:
