@@ -5,9 +5,9 @@ level 1 takes by mistake; level 3 the listed keys that level 2 takes by mistake,
 judged by the first level that does not hold it. The universe is all keys that the corpus's urls can ask for, so each answer
 is exact, and a url is judged by probes alone, without a join.
 
-Listed are the keys of the rules and hosts: given ones, and those domains of the corpus that have an unwanted word in their name. Up to ``MOST_LISTED`` of them
-are collected, after they were counted, and the levels shrink by half, so the broadcast filters have a bound
-that depends on the list and only through a logarithm on the universe. A longer list goes another way: an exact join.
+Listed are the keys of the rules and hosts: given ones, such as junk_hosts() finds by what their pages hold, and domains of the corpus with an unwanted word in their name. Up to
+``MOST_LISTED`` of them are collected as hashes of 8 bytes, after they were counted, and the levels shrink by half, so what is broadcast (16 MB of hashes while a cascade is built, then its
+filters) has a bound that depends on the list and only through a logarithm on the universe. A longer list goes another way: an exact join. Equality of keys is that of 64-bit hashes.
 
 Defined results: a null url, or one without ://, has empty host and path, fits no rule and is allowed; repeated urls get equal
 results; urls of any length are judged whole; further columns play no part; an empty table gives none. Of rules that fit, the longest by characters wins; of equals the one with the longer host.
@@ -32,6 +32,9 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Words between dots and hyphens of a domain's name that make it, and its subdomains, unwanted.
 UNWANTED = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "warez")
 
+#: A page with so many signs in a row is junk; so many percent of junk pages make a host unwanted.
+JUNK, JUNK_SHARE = "[#*$%]{3}", 5
+
 
 def key_hashes(keys: pa.Array) -> np.ndarray:
     data, offsets = K.strings(keys)
@@ -78,23 +81,32 @@ class Cascade:
         return out
 
 
-def build(listed: Iterable[str], universe: DataFrame, n_universe: int) -> Cascade:
-    """universe: one column of distinct keys. Keys listed that no url asks for do no harm."""
-    keys = sorted(set(listed))
-    if len(keys) > MOST_LISTED:
-        raise ValueError(f"a cascade takes at most {MOST_LISTED} listed keys, not {len(keys)}; judge() joins longer lists")
-    spark = universe.sparkSession
-    inside = key_hashes(pa.array(keys, pa.string()))
-    first = Bloom(inside, math.sqrt(0.5) * len(keys) / max(1, n_universe), 0)
-    sent = spark.sparkContext.broadcast((first, set(keys)))
+def hashes_of(keys: DataFrame) -> np.ndarray:
+    """The different hashes of a table of one column of keys, collected: for tables whose rows were counted."""
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(key_hashes(batch.column(0)).view(np.int64))], ["hash"])
+
+    return np.unique(np.asarray(keys.mapInArrow(lean(hashed), "hash long").toArrow()["hash"].combine_chunks()).view(np.uint64))
+
+
+def build(listed: Iterable[str] | np.ndarray, universe: DataFrame, n_universe: int) -> Cascade:
+    """listed: keys or their hashes; universe: one column of distinct keys. Keys listed that no url asks for do no harm."""
+    inside = listed if isinstance(listed, np.ndarray) else np.unique(key_hashes(pa.array(list(listed), pa.string())))
+    if len(inside) > MOST_LISTED:
+        raise ValueError(f"a cascade takes at most {MOST_LISTED} listed keys, not {len(inside)}; judge() joins longer lists")
+    first = Bloom(inside, math.sqrt(0.5) * len(inside) / max(1, n_universe), 0)
+    sent = universe.sparkSession.sparkContext.broadcast((first, inside))
 
     def mistakes(batches):
         level, own = sent.value
         for batch in batches:
-            taken = batch.filter(pa.array(level.holds(key_hashes(batch.column(0)))))
-            yield taken.filter(pa.array([k not in own for k in taken.column(0).to_pylist()], pa.bool_()))
+            hashes = key_hashes(batch.column(0))
+            yield batch.filter(pa.array(level.holds(hashes) & ~np.isin(hashes, own)))
 
-    outside = key_hashes(pa.array([r[0] for r in universe.toDF("key").mapInArrow(lean(mistakes), "key string").toLocalIterator()], pa.string()))
+    # the first level takes about 0.7 times as many by mistake as there are listed keys
+    outside = hashes_of(universe.toDF("key").mapInArrow(lean(mistakes), "key string"))
     levels, held, wrong = [first], inside, outside
     while len(wrong):
         level = Bloom(wrong, 0.5, len(levels))
@@ -134,6 +146,12 @@ def unwanted_domains(universe: DataFrame, words: Iterable[str]) -> DataFrame:
     return universe.where(~F.contains("key", F.lit("/")) & F.arrays_overlap(own, words)).select("key")
 
 
+def junk_hosts(pages: DataFrame, *, share: int = JUNK_SHARE) -> DataFrame:
+    """(key): hosts of which at least share percent of the pages hold junk. Counted by host with partial sums, so a host with most of the pages is no burden; a null html is no junk."""
+    seen = pages.select(host_of(F.col("url")).alias("key"), F.coalesce(F.col("html").rlike(JUNK), F.lit(False)).alias("junk")).where("key <> ''")
+    return seen.groupBy("key").agg(F.count("*").alias("n"), F.count_if("junk").alias("n_junk")).where(F.col("n_junk") * 100 >= F.col("n") * share).select("key")
+
+
 def judged_by_join(urls: DataFrame, block: DataFrame, allow: DataFrame) -> DataFrame:
     """The way for lists beyond the bound: judge() for urls (page_id, host, path, keys) by a join with the listed keys. Repeated rows stay."""
     # a key that is both is blocked, as the cascades have it
@@ -163,7 +181,7 @@ def judge(pages: DataFrame, *, rules=RULES, listed_hosts: DataFrame | Iterable[s
     if max(block.count(), allow.count()) > MOST_LISTED:
         return judged_by_join(urls, block, allow)
     n = universe.count()
-    sent = spark.sparkContext.broadcast(tuple(build((r[0] for r in listed.collect()), universe, n) for listed in (block, allow)))
+    sent = spark.sparkContext.broadcast(tuple(build(hashes_of(listed), universe, n) for listed in (block, allow)))
 
     def run(batches):
         blocked, allowed = sent.value
@@ -185,18 +203,20 @@ def judge(pages: DataFrame, *, rules=RULES, listed_hosts: DataFrame | Iterable[s
 
 
 def op9_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    """Hosts are listed by what their pages hold, which no url shows."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return judge(pages, listed_hosts=junk_hosts(pages), unwanted=())
 
 
 QUERIES = {"op9_bloom_cascade": op9_bloom_cascade}
-_LIST = ", ".join(f"'{w}'" for w in UNWANTED)
 SQL = {
     "op9_bloom_cascade": rf"""
-WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-s AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+WITH u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+s AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(h, p, v)),
+j AS (SELECT host FROM s WHERE host <> '' GROUP BY host HAVING count(*) FILTER (WHERE regexp_matches(html, '{JUNK}')) * 100 >= count(*) * {JUNK_SHARE}),
+l AS (SELECT h.host, bool_or(j.host IS NOT NULL) AS listed FROM (SELECT DISTINCT host FROM s) h LEFT JOIN j ON h.host = j.host OR ends_with(h.host, '.' || j.host) GROUP BY h.host),
 b AS (SELECT s.*, (SELECT arg_max(struct_pack(rule := h || p, v := v), length(h || p) * 1000 + length(h)) FROM r WHERE (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, r.p)) AS best FROM s)
-SELECT page_id, host, path, best.rule AS rule,
-       coalesce(best.v, CASE WHEN list_has_any(string_split_regex(host, '[.-]'), [{_LIST}]) THEN 'block' ELSE 'allow' END) AS verdict FROM b"""
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM b JOIN l USING (host)"""
 }
