@@ -401,6 +401,44 @@ def test_pseudonyms_link_spellings():
         assert pseudonyms.replace(f, prose) == (prose, []), prose
 
 
+def test_pseudonyms_of_scripts_and_countries():
+    f = pseudonyms.Feistel(b"k")
+    for v in ("用户@example.com", "müller@example.com", "иван.петров@example.com"):
+        text, found = pseudonyms.replace(f, f"an {v} so")
+        new = found[0]["pseudonym"]
+        assert text == f"an {new} so" and not set(v.split("@")[0]) & set(new.split("@")[0]) - set("müler.апивтно") and new != v
+        assert pseudonyms.pseudonym(f, "email", new, back=True) == v and not any(x == y for x, y in zip(v.split("@")[0], new, strict=False) if not x.isascii()), new
+    subscribers = [
+        (["+34 612 345 678", "612 345 678", "34 612 345 678", "+34612345678", "0034 612 345 678"], "612345678"), (["+44 20 7946 0958", "020 7946 0958", "+44 (20) 7946-0958"], "2079460958"),
+        (["+33 6 12 34 56 78", "06 12 34 56 78", "+33612345678"], "612345678"), (["+1 212 555 0147", "1 212 555 0147", "(212) 555-0147"], "2125550147"),
+    ]
+    for spelt, own in subscribers:
+        new = [pseudonyms.pseudonym(f, "phone", v) for v in spelt]
+        assert len({"".join(c for c in n if c.isdigit())[-len(own) :] for n in new}) == 1, new
+        for v, n in zip(spelt, new, strict=True):
+            kept = "".join(c for c in v if c.isdigit())[: -len(own)]
+            assert "".join(c for c in n if c.isdigit()).startswith(kept) and pseudonyms.pseudonym(f, "phone", n, back=True) == v
+            if v != "0034 612 345 678":
+                assert pseudonyms.replace(f, f"call {v}, ok") == (f"call {n}, ok", [{"kind": "phone", "begin": 5, "end": 5 + len(v), "pseudonym": n}]), v
+    days = [pseudonyms.pseudonym(f, "date", v) for v in ("2020/04/05", "2020-4-5", "2020-04-05")]
+    assert len({tuple(map(int, __import__("re").findall(r"\d+", d))) for d in days}) == 1 and days[0] == days[2].replace("-", "/")
+    upper, lower = (pseudonyms.pseudonym(f, "iban", v) for v in ("DE89370400440532013000", "de89370400440532013000"))
+    assert lower == upper.lower() and pseudonyms.replace(f, "x de89370400440532013000 y")[0] == f"x {lower} y"
+    seen = {pseudonyms.pseudonym(f, "phone", f"+34 6 {n // 100:02d} {n % 100:02d} 0000") for n in range(2000)}
+    assert len(seen) == 2000
+
+
+def test_junk_hosts(spark):
+    rows = [(i, f"http://{h}/p{i}", html) for i, (h, html) in enumerate(
+        [("good.example", "text")] * 30 + [("good.example", "a ### b")] + [("Bad.example", "%%%")] + [("bad.example", None)] * 19 + [("sub.bad.example", "fine"), ("notbad.example", "# $ %"), ("worse.org", "***")]
+    )] + [(98, None, "###"), (99, "nothing", "###")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(r["key"] for r in url_filter.junk_hosts(pages).collect()) == ["bad.example", "worse.org"]
+    got = {r["page_id"]: (r["host"], r["verdict"]) for r in url_filter.judge(pages, listed_hosts=url_filter.junk_hosts(pages), unwanted=()).collect()}
+    assert {h for h, v in got.values() if v == "block"} == {"bad.example", "sub.bad.example", "worse.org"} and got[98] == got[99] == ("", "allow") and len(got) == len(rows)
+    assert url_filter.junk_hosts(pages.limit(0)).count() == 0
+
+
 def test_pseudonyms_equal_a_slow_search():
     """Documents of values and prose: all kinds tried at every place, no shortcuts, no memory; then undone."""
     import random

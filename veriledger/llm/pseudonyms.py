@@ -9,9 +9,12 @@ whatever separators they are written with, and the key holder can undo them.
 
 Kinds, in the order in which an overlap is settled: secret (known forms of keys and tokens, and values assigned to a password or key that hold a digit or sign, mix cases or
 stand in quotes; each character within its class), email (letters and digits before the @), iban, card, ip, ssn, phone, date.
-A phone's last ten digits (all of a shorter one) are permuted as a number, so a subscriber has one pseudonym with or without the country code and however it is spaced.
-Dates stay within DATES; ISO, day/month and month/day forms keep their form. Days up to the 12th and later days are permuted apart, so
+Of a phone the calling code (after a +, or where more than ten digits are left) and zeros before the national number stay; the national number is permuted among those as long that
+start with no zero either. So a subscriber has one pseudonym with or without the code or a trunk zero and however it is spaced. E-mail letters of any script are permuted among the letters of
+their kind in their part of the code table. IBANs are found in upper case, and in lower case when written without spaces.
+Dates stay within DATES; year-month-day (with - or /), day/month and month/day forms keep their form. Days up to the 12th and later days are permuted apart, so
 a month/day form stays one, and a date has the same pseudonym in every form; whether the day is past the 12th stays visible. Numbers that do not validate stay as they are.
+Not looked for: IPv6 addresses, dates before 1900, and phones without a + that are not split into groups.
 
 The key is the caller's; there is no default. Registered queries take it from the session (KEY_SETTING), or else a test key, with a warning.
 
@@ -23,9 +26,11 @@ none; a column named pii_found is replaced, all others stay.
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import math
 import re
+import unicodedata
 import warnings
 
 import pyarrow as pa
@@ -39,16 +44,19 @@ KEY_SETTING, TEST_KEY = "spark.veriledger.pseudonymKey", "tests only"
 ROUNDS = 10
 DATES = (datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal())
 _HEADS = r"AKIA|ASIA|gh[opsur]_|github_pat_|glpat-|xox[abprs]-|sk-"
+#: Calling codes of countries, fixed values: those of one and two digits are listed, all others have three.
+CALLING_CODE = r"(?:[17]|2(?:[07]|\d\d)|3(?:[0-469]|\d\d)|4(?:[013-9]|2\d)|5(?:[1-8]|\d\d)|6(?:[0-6]|\d\d)|8(?:[1246]|\d\d)|9(?:[0-58]|\d\d))"
 PATTERNS = {
     "secret": r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|gh[opsur]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}"
     r"|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}(?:\"[^\s\"]{6,}\"|'[^\s']{6,}'|[^\s\"'<>,;]{6,}))",
     "email": r"(?<![\w.+%-])[^\W_][\w.+%-]{0,63}@[^\W_](?:[^\W_]|-){0,62}(?:\.[^\W_](?:[^\W_]|-){0,62})*\.[^\W\d_]{2,24}(?![\w-])",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)|(?<!\w)[a-z]{2}\d{2}[a-z0-9]{11,30}(?!\w)",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|[.-]\d)|(?<![\w.+-])\+\d{8,14}(?!\w)",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
+    "phone": rf"(?<![\w.+-])(?:\+\d{{1,3}}[ .-]?|{CALLING_CODE}[ .-])?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]\d{{3,4}}(?![\w]|[.-]\d)|(?<![\w.+-])\+\d{{8,14}}(?!\w)"
+    r"|(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,4}(?:[ .-]\d{2}){3,5}|0\d(?:[ .-]\d{2}){4})(?!\w|[.-]\d)",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
 }
 #: What a text has to hold for a kind to be there at all.
 NEEDS = {"secret": re.compile(rf"[=:]|{_HEADS}"), "email": re.compile("@")} | {k: re.compile(r"\d") for k in PATTERNS if k not in ("secret", "email")}
@@ -136,9 +144,18 @@ def _refill(shape: str, new: str) -> str:
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+@functools.lru_cache(4096)
+def _class_of(x: str) -> str | None:
+    """The characters that x may become: ASCII ones of its kind, else the letters or digits of its category among the 128 code points around it. None for other characters."""
+    if x.isascii() or not x.isalnum():
+        return next((c for c in _CLASSES if x in c), None)
+    first = ord(x) & ~127
+    return "".join(c for c in map(chr, range(first, first + 128)) if c.isalnum() and unicodedata.category(c) == unicodedata.category(x) and not c.isascii())
+
+
 def _letters(f: Feistel, tag: str, text: str, back: bool) -> str:
-    """ASCII letters and digits permuted, each within its class; others stay."""
-    classes = [next((c for c in _CLASSES if x in c), None) for x in text]
+    """Letters and digits permuted, each within its class; others stay."""
+    classes = [_class_of(x) for x in text]
     own = [(c.index(x), len(c)) for x, c in zip(text, classes, strict=True) if c]
     if not own:
         return text
@@ -149,7 +166,7 @@ def _letters(f: Feistel, tag: str, text: str, back: bool) -> str:
 def _date(shape: str) -> tuple[datetime.date, str] | None:
     parts = re.split(r"[-/.]", shape)
     try:
-        if "-" in shape:
+        if len(parts[0]) == 4:
             return datetime.date(*map(int, parts)), "ymd"
         a, b, year = map(int, parts)
         if "." in shape or b <= 12:
@@ -159,6 +176,16 @@ def _date(shape: str) -> tuple[datetime.date, str] | None:
         return None
 
 
+def _before_national(digits: str, international: bool) -> int:
+    """How many digits of a phone come before its national number: zeros, a calling code, zeros."""
+    at = len(digits) - len(digits.lstrip("0"))
+    if international or len(digits) - at > 10:
+        code = re.compile(CALLING_CODE).match(digits, at)
+        at = code.end() if code else at
+        at = len(digits) - len(digits[at:].lstrip("0"))
+    return at
+
+
 def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | None:
     """The text's pseudonym (or, back, the original), None if it does not validate."""
     if kind == "secret":
@@ -179,12 +206,13 @@ def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | Non
         new = f.digits("card", digits[:-1], [10] * (len(digits) - 1), back)
         return _refill(text, "".join(map(str, [*new, luhn(new)])))
     if kind == "iban":
-        plain = text.replace(" ", "")
+        plain = text.replace(" ", "").upper()
         if _mod97(plain[4:] + plain[:4]) != 1:
             return None
         new = _letters(f, "iban/" + plain[:2], plain[4:], back)
         check = 98 - _mod97(new + plain[:2] + "00")
-        return _refill(text, f"{plain[:2]}{check:02d}{new}")
+        done = f"{plain[:2]}{check:02d}{new}"
+        return _refill(text, done.lower() if text[0].islower() else done)
     if kind == "ip":
         octets = [int(x) for x in text.split(".")]
         if max(octets) > 255:
@@ -200,10 +228,12 @@ def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | Non
     if kind == "phone":
         if not 8 <= len(digits) <= 15:
             return None
-        # what comes before the last ten digits stays, and so does the number's length
-        keep = max(0, len(digits) - 10)
-        new = f.digits("phone", digits[keep:], [10] * (len(digits) - keep), back)
-        return _refill(text, "".join(map(str, [*digits[:keep], *new])))
+        keep = _before_national("".join(map(str, digits)), "+" in text)
+        own = digits[keep:]
+        if not own:
+            return None
+        first, *rest = f.digits("phone", [own[0] - 1, *own[1:]], [9] + [10] * (len(own) - 1), back)
+        return _refill(text, "".join(map(str, [*digits[:keep], first + 1, *rest])))
     found = _date(text)
     if not found or not DATES[0] <= found[0].toordinal() < DATES[1]:
         return None
@@ -213,7 +243,9 @@ def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | Non
     ordinal = days[f.walk("date/late" if late else "date/early", places[day.toordinal() - DATES[0]], len(days), back)]
     new_day = datetime.date.fromordinal(ordinal + DATES[0])
     if order == "ymd":
-        return new_day.isoformat()
+        mark = text[4]
+        wide = re.fullmatch(r"\d{4}.\d\d.\d\d", text)
+        return new_day.isoformat().replace("-", mark) if wide else f"{new_day.year}{mark}{new_day.month}{mark}{new_day.day}"
     mark = "." if "." in text else "/"
     first, second = (new_day.day, new_day.month) if order == "dmy" else (new_day.month, new_day.day)
     wide = re.match(r"0\d|\d\d[/.]\d\d", text)
