@@ -232,7 +232,7 @@ l AS (SELECT e.n, a, prev, h, concat('{{', CASE WHEN w IS NULL THEN '' ELSE conc
 
 
 def _conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, record_json) of conversation turns."""
+    """Records of conversation turns, beside conv_id and turn."""
     turns = _table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL")
     user = F.col("role") == "user"
     verified = F.when(~user, F.col("turn") % 3 == 0)
@@ -241,7 +241,7 @@ def _conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(user, F.array().cast("array<string>")).otherwise(F.array(F.col("role"), F.lit("x"))).alias("triggered_reasons"), F.struct(F.col("turn"), F.length("text").alias("n_chars")).alias("metrics"),
         F.lit(None).cast("array<string>").alias("regulatory_provisions"), verified.alias("corpus_is_verified_real_text"), audit_chain.warning(verified).alias(audit_chain.WARNING_KEY),
     )
-    return record.select("conv_id", "turn", F.to_json(F.struct(*record.columns[2:]), {"ignoreNullFields": "false"}).alias("record_json"))
+    return audit_chain.with_parts(record)
 
 
 def _conversation_log(spark: SparkSession, sf_dir: str) -> str:
@@ -273,7 +273,7 @@ def audit_log_tampered(spark, sf_dir):
     line = F.when(n % 70 == 0, F.regexp_replace("line", r'"previous_entry_hash": "\w+"', '"previous_entry_hash": "0"')).when(n % 50 == 0, F.replace(F.col("line"), F.lit('"n_chars": '), F.lit('"n_chars": 1'))).otherwise(F.col("line"))
     changed = _place(spark, "log")
     log.select(line.alias("value")).write.text(changed)
-    return audit_chain.broken_links(audit_chain.read_log(spark, changed), audit_chain.recompute()(F.col("line")))
+    return audit_chain.broken_entries(audit_chain.read_log(spark, changed))
 
 
 _RACE = _LINES.replace("conv_id % 2, conv_id, turn) AS n", "1 - conv_id % 2, conv_id, turn) AS n").replace("1 + conv_id % 2) AS t", "2 - conv_id % 2) AS t")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriledger.errors import AuditError
+from veriledger.functions.canonical import canonical
 from veriledger.functions.scalars import canonical_json
 from veriledger.operators import log_store
 from veriledger.operators.log_store import exists
@@ -53,8 +54,51 @@ def line_of(hashed: dict, entry_hash: str) -> str:
     return canonical_json(shown)
 
 
+def with_parts(records: DataFrame) -> DataFrame:
+    """records with a column payload: the canonical JSON of a record's own columns, cut where an entry's number, hash and time come in. Made in parallel and in the JVM (doubles: in Python).
+
+    records: account_id, verdict, triggered_reasons, metrics, regulatory_provisions, corpus_is_verified_real_text and, where there is one, WARNING_KEY; other columns stay beside it.
+    """
+    kinds = {f.name: f.dataType for f in records.schema.fields}
+    of = lambda name: canonical(F.col(f"`{name}`"), kinds[name])
+    # a record without reasons has an empty list of them
+    reasons = F.when(F.col("triggered_reasons").isNull(), "[]").otherwise(of("triggered_reasons"))
+    return records.withColumn("payload", F.struct(
+        F.col("account_id").cast("string").alias("account_id"),
+        F.concat(F.lit('{"account_id": '), of("account_id"), F.lit(', "corpus_is_verified_real_text": '), of("corpus_is_verified_real_text"), F.lit(', "created_at": ')).alias("first"),
+        F.concat(F.lit(', "metrics": '), of("metrics"), F.lit(', "previous_entry_hash": ')).alias("second"),
+        F.concat(F.lit(', "regulatory_provisions": '), of("regulatory_provisions"), F.lit(', "sequence_number": ')).alias("third"),
+        (of(WARNING_KEY) if WARNING_KEY in kinds else F.lit("null")).alias("warning"),
+        F.concat(F.lit(', "triggered_reasons": '), reasons, F.lit(', "verdict": '), of("verdict"), F.lit("}")).alias("last"),
+    ))
+
+
+def _chain_parts(records: DataFrame, order: list[str], created_at: str, head: tuple[int, str]) -> DataFrame:
+    """chain() of records with_parts(): what is left to the one ordered task is to join texts and hash them."""
+    last, first_hash = head
+    when = json.dumps(created_at)
+    ordered = records.select(*order, "payload").repartition(1).sortWithinPartitions(*order).select("payload.*")
+
+    def fold(batches):
+        n, previous = last, first_hash
+        for pdf in batches:
+            rows = []
+            for account, first, second, third, warned, rest in pdf.itertuples(index=False, name=None):
+                n += 1
+                until, between = f"{first}{when}", f'{second}"{previous}"{third}{n}'
+                digest = hashlib.sha256(f'{until}{between}, "system_audit_warning": {warned}{rest}'.encode()).hexdigest()
+                shown = until if warned == "null" else f'{{"{WARNING_KEY}": {warned}, {until[1:]}'
+                rows.append((n, account, digest, previous, f'{shown}, "entry_hash": "{digest}"{between}{rest}'))
+                previous = digest
+            yield pd.DataFrame(rows, columns=["sequence_number", "account_id", "entry_hash", "previous_entry_hash", "line"])
+
+    return ordered.mapInPandas(fold, LINE)
+
+
 def chain(records: DataFrame, *, order: list[str], created_at: str, head: tuple[int, str] = (0, GENESIS)) -> DataFrame:
-    """LINE rows for records (record_json: a JSON object), appended after head = (last sequence number, last hash) in this total order."""
+    """LINE rows for records (with_parts(), or a column record_json: a JSON object), appended after head = (last sequence number, last hash) in this total order."""
+    if "payload" in records.columns:
+        return _chain_parts(records, order, created_at, head)
     last, first_hash = head
     ordered = records.select(*order, "record_json").repartition(1).sortWithinPartitions(*order)
 
@@ -92,8 +136,8 @@ def linked(rows: DataFrame, *, order: list[str], payload_column: str, genesis: s
     return rows.repartition(1).sortWithinPartitions(*order).mapInPandas(fold, schema)
 
 
-def broken_links(chained: DataFrame, recomputed: Column, *, genesis: str = GENESIS) -> DataFrame:
-    """(sequence_number, kind) of entries that do not follow their predecessor (link) or whose content does not give their hash (hash).
+def _checked(chained: DataFrame, recomputed: Column, genesis: str) -> DataFrame:
+    """Entries that do not follow their predecessor (kind: link) or whose content does not give their hash (hash).
 
     The predecessor comes by a join on the sequence number, so no single task orders the whole chain.
     """
@@ -101,7 +145,37 @@ def broken_links(chained: DataFrame, recomputed: Column, *, genesis: str = GENES
     checked = chained.join(before, "sequence_number", "left")
     link = F.col("previous_entry_hash") != F.coalesce("_before", F.lit(genesis))
     kind = F.when(F.coalesce(link, F.lit(True)), "link").when(F.coalesce(recomputed != F.col("entry_hash"), F.lit(True)), "hash")
-    return checked.withColumn("kind", kind).where("kind IS NOT NULL").select("sequence_number", "kind")
+    return checked.withColumn("kind", kind).where("kind IS NOT NULL")
+
+
+def broken_links(chained: DataFrame, recomputed: Column, *, genesis: str = GENESIS) -> DataFrame:
+    """(sequence_number, kind) of entries that do not follow their predecessor (link) or whose content does not give their hash (hash)."""
+    return _checked(chained, recomputed, genesis).select("sequence_number", "kind")
+
+
+def written_hash(line: Column, entry_hash: Column) -> Column:
+    """The hash of what a line in canonical form says was hashed, by Spark's own functions; null or another hash for lines in any other form.
+
+    The hashed text is the line without its own hash and with the warning back at its place. A line that gives the hash so has the content that was hashed: to differ, it would
+    need another text with the same hash.
+    """
+    own = F.concat(F.lit(', "entry_hash": "'), entry_hash, F.lit('"'))
+    opening = F.regexp_extract(line, rf'^\{{"{WARNING_KEY}": ((?:"(?:[^"\\]++|\\.)*+"))(?=, )', 0)
+    warned = F.substring(opening, len(WARNING_KEY) + 6, F.length(opening))
+    body = F.when(opening == "", line).otherwise(F.concat(F.lit("{"), F.substring(line, F.length(opening) + 3, F.length(line))))
+    bare = F.replace(body, own, F.lit(""))
+    mark = ', "triggered_reasons": '
+    rest = F.substring_index(bare, mark, -1)
+    start = F.substring(bare, F.lit(1), F.length(bare) - F.length(rest) - len(mark))
+    hashed = F.concat(start, F.lit(', "system_audit_warning": '), F.when(opening == "", "null").otherwise(warned), F.lit(mark), rest)
+    return F.when(F.length(body) - F.length(bare) == F.length(own), F.sha2(hashed, 256))
+
+
+def broken_entries(log: DataFrame) -> DataFrame:
+    """(sequence_number, kind) of a log's broken entries. Lines in canonical form are hashed in the JVM; only what fails there is parsed and hashed again in Python."""
+    suspect = _checked(log, written_hash(F.col("line"), F.col("entry_hash")), GENESIS)
+    parsed = F.when(F.col("kind") == "hash", recompute()(F.col("line")))
+    return suspect.where(F.coalesce(parsed != F.col("entry_hash"), F.lit(True))).select("sequence_number", "kind")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -221,7 +295,7 @@ def verify(spark: SparkSession, path: str, *, known: tuple[int, str] | None = No
     numbers = log.agg(F.count("*").alias("n"), F.max("sequence_number").alias("m"), F.count_distinct("sequence_number").alias("d")).collect()[0]
     if numbers["n"] != (numbers["m"] or 0) or numbers["d"] != numbers["n"]:
         raise AuditError("entries are missing or repeated")
-    bad = broken_links(log, recompute()(F.col("line"))).orderBy("sequence_number").limit(1).collect()
+    bad = broken_entries(log).orderBy("sequence_number").limit(1).collect()
     if bad:
         raise AuditError(f"entry {bad[0]['sequence_number']}: the {'chain is broken' if bad[0]['kind'] == 'link' else 'content was changed'}")
     return True

@@ -25,14 +25,6 @@ def records(decided: DataFrame, grounded: DataFrame) -> DataFrame:
     )
 
 
-def as_json(recorded: DataFrame) -> DataFrame:
-    """(account_id, record_json); keys with null values stay, but for the warning's."""
-    plain = [c for c in recorded.columns if c != audit_chain.WARNING_KEY]
-    whole = F.to_json(F.struct(*recorded.columns), {"ignoreNullFields": "false"})
-    quiet = F.to_json(F.struct(*plain), {"ignoreNullFields": "false"})
-    return recorded.select("account_id", F.when(F.col(audit_chain.WARNING_KEY).isNull(), quiet).otherwise(whole).alias("record_json"))
-
-
 def dossiers(ledger, corpus: Corpus, *, indexed: DataFrame | None = None, thresholds: Thresholds | None = None, top_k: int = retrieval.TOP_K, account_id=None, embed=None, digits: int | None = None) -> DataFrame:
     """Records of all accounts, or of one. Only flagged accounts reach the search."""
     decided = verdicts(ledger, thresholds, texts=True) if account_id is None else verdict_of(ledger, account_id, thresholds, texts=True)
@@ -44,4 +36,4 @@ def dossiers(ledger, corpus: Corpus, *, indexed: DataFrame | None = None, thresh
 def run(ledger, corpus: Corpus, log: str, *, created_at: str | None = None, **options) -> DataFrame:
     """dossiers(), appended to the audit log in the order of account ids; returns the log's new lines."""
     now = created_at or dt.datetime.now(dt.timezone.utc).isoformat()
-    return audit_chain.append(as_json(dossiers(ledger, corpus, **options)), log, order=["account_id"], created_at=now)
+    return audit_chain.append(audit_chain.with_parts(dossiers(ledger, corpus, **options)), log, order=["account_id"], created_at=now)

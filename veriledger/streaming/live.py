@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veriledger.operators import audit_chain
 from veriledger.operators.signals import MAX_HOPS
 from veriledger.operators.verdicts import Thresholds, verdicts
-from veriledger.plans.dossier import METRICS, as_json
+from veriledger.plans.dossier import METRICS
 from veriledger.sources.ledger import Ledger, last_write_wins
 from veriledger.storage import materialise
 
@@ -50,7 +50,7 @@ def score_stream(stream: DataFrame, accounts: DataFrame, ledger_path: str, log_p
         stamp = f"batch-{number}"
         if audit_chain.has_run(spark, log_path, stamp):
             return
-        audit_chain.append(as_json(recorded), log_path, order=["account_id"], created_at=stamp)
+        audit_chain.append(audit_chain.with_parts(recorded), log_path, order=["account_id"], created_at=stamp)
 
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
