@@ -548,6 +548,46 @@ def test_limits_learnt_from_good_texts(spark):
     assert divergence.limits(divergence.assess(docs.limit(0))) == {b: (divergence.MOST_CHAR_DISTANCE, divergence.MOST_WORD_DISTANCE) for b in divergence.BANDS}
 
 
+def test_wrong_labels_open_no_band(spark):
+    import collections
+    import math
+    import random
+
+    rnd = random.Random(5)
+    common, content = "the of and to in a is that for it".split(), [f"{a}{b}" for a in ("stone", "river", "garden", "window", "letter") for b in ("", "s", "ed", "er", "ing", "ly")]
+    prose = lambda n, share: " ".join(rnd.choice(common if rnd.random() < share else content) for _ in range(n))
+    rows = [(i, prose(90 + i % 60, 0.4), "en") for i in range(400)] + [(i, prose(120, 0.0), "en") for i in range(400, 403)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    right, wrong = (divergence.assess(docs, good=docs.where(f"doc_id < 300 OR doc_id IN ({more})")) for more in ("-1", "400, 401, 402"))
+    for found in (right, wrong):  # one label in a hundred is wrong: those texts stay out, the others stay in
+        kept = {r["doc_id"] for r in found.where("kept").collect()}
+        assert not kept & {400, 401, 402} and len(kept & set(range(300))) >= 297
+    # limits against a count of all steps; a band with fewer than LEAST_GOOD rows has those of the shorter one
+    judged = divergence.assess(docs).where("doc_id < 330 OR doc_id >= 400").collect()
+    of = collections.defaultdict(list)
+    for r in judged:
+        for i, c in enumerate(("char_distance", "word_distance")):
+            if not r["base_failed"] and r[c] is not None:
+                of[max(b for b in divergence.BANDS if b <= r["n_words"]), i].append(math.ceil(r[c] * divergence.STEPS))
+    want, last = {}, (divergence.MOST_CHAR_DISTANCE, divergence.MOST_WORD_DISTANCE)
+    for b in divergence.BANDS:
+        last = tuple(sorted(v)[-(-divergence.QUANTILE * len(v) // 100) - 1] / divergence.STEPS * divergence.MARGIN if len(v := of[b, i]) >= divergence.LEAST_GOOD else last[i] for i in (0, 1))
+        want[b] = last
+    assert divergence.limits(spark.createDataFrame(judged)) == want
+    assert want[0] == want[40] == (divergence.MOST_CHAR_DISTANCE, divergence.MOST_WORD_DISTANCE) != want[80] == want[320]
+
+
+def test_common_words_are_counted(spark):
+    texts = [None, "", "a", "A a b", "b " * 5000 + "a", "c d e", " \t\n", "aa ab a\u00e9 \u00e9 \u00c9 b-b b", "%a a% _ a_"]
+    vocabulary = sorted(["a", "b", "aa", "\u00e9", "zz", "%a"], key=str.encode)
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    found = divergence.features(spark.createDataFrame(rows, "doc_id long, text string, lang string"), vocabulary)
+    for r in found.collect():
+        words = [w.lower() for w in brute.words(texts[r["doc_id"]])]
+        assert r["common"] == [words.count(v) for v in vocabulary], r["doc_id"]
+    assert all(r["common"] == [] for r in divergence.features(spark.createDataFrame(rows, "doc_id long, text string, lang string"), []).collect())
+
+
 def test_cascade_is_exact(spark):
     keys = [f"host{i}.example" for i in range(4000)]
     universe = spark.createDataFrame([(k,) for k in keys], "key string")

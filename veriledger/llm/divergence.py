@@ -7,8 +7,9 @@ language is near in both. Texts too short for a histogram to say much are not ju
 Common words are learnt: of each language the COMMON most frequent, counted over all its rows. References are sums over all rows of a language (text and
 lang not null). One row of sums for each language and COMMON words of it reach the driver.
 
-How far is too far differs with length, so limits are learnt too (``limits``): for each band of lengths the farthest of the rows that are known to be good text and pass the base
-rules, and a margin. A band without such rows takes the limits of the next shorter one that has some, and the first ones take the fixed limits.
+How far is too far differs with length, so limits are learnt too (``limits``): for each band of lengths a high quantile of the rows that are known to be good text and pass the base
+rules, in steps of a thousandth, and a margin. So a few wrong labels do not open a band, and limits settle as rows are added. A band with too few such rows for a quantile takes the
+limits of the next shorter one, and the first ones take the fixed limits.
 
 Defined results: null and empty texts have no words and fail the base rules; without any reference only the base rules judge; of equally frequent words the
 smaller counts as more frequent; texts of any length are judged whole; repeated rows get equal results; further columns of docs play no part; an empty table gives none.
@@ -29,8 +30,10 @@ MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.35, 0.6
 MIN_CHARS, MIN_WORDS = 200, 40
 #: Least words of the bands of lengths for which limits are learnt.
 BANDS = (0, 40, 80, 160, 320, 1000)
-#: How much farther than the farthest good text is too far.
-MARGIN = 1.05
+#: The share of good rows, in per cent, that a limit holds before the margin; of how many at least; steps of a distance.
+QUANTILE, LEAST_GOOD, STEPS = 98, 50, 1000
+#: How much farther than that is too far.
+MARGIN = 1.15
 WINDOW = 8
 _SPACE = " \t\n\x0b\f\r"
 
@@ -60,6 +63,18 @@ def _in_windows(words: Column, windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) < n, F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
 
 
+def _counted(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """docs with common: how often each word of the vocabulary is in _hits (sorted), from the lengths of its runs."""
+    if not vocabulary:
+        return docs.withColumn("common", F.array().cast("array<long>"))
+    hits, firsts = F.col("_hits"), F.col("_firsts")
+    starts = F.filter(F.transform(hits, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(hits, x["i"] - 1) != x["w"]))
+    runs = F.transform(firsts, lambda x, j: F.struct(x["w"], (F.coalesce(F.get(firsts, j + 1)["i"], F.size(hits)) - x["i"]).cast("long")))
+    found = docs.withColumn("_firsts", starts).withColumn("_runs", F.map_from_entries(runs))
+    known = F.array(*[F.lit(w) for w in vocabulary])
+    return found.withColumn("common", F.transform(known, lambda w: F.coalesce(F.try_element_at("_runs", w), F.lit(0).cast("long"))))
+
+
 def features(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """The columns of docs but text, and: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars (counts by class), common (counts by word)."""
     rest = [c for c in docs.columns if c != "text"]
@@ -69,10 +84,10 @@ def features(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     n = F.size(words)
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))).otherwise(F.array().cast("array<long>"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    hits = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
+    hits = F.sort_array(F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(vocabulary))) if vocabulary else F.array().cast("array<string>")
     b = a.select(
         *rest, "text", n.cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        windows.alias("_windows"), lines.alias("_lines"), F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")).alias("_hits"),
+        windows.alias("_windows"), lines.alias("_lines"), hits.alias("_hits"),
     )
     c = b.withColumn("_sorted", _in_windows(words, F.col("_windows")))
     s = F.col("_sorted")
@@ -84,11 +99,9 @@ def features(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     repeat = F.when(at.isNotNull(), F.aggregate(steps, F.lit(WINDOW).cast("long"), lambda acc, x: acc + x)).otherwise(F.lit(0).cast("long"))
     symbols = _only(F.col("text"), f"[^{SYMBOLS}]+")
     letters, upper, digits = _only(F.col("text"), r"\P{L}+"), _only(F.col("text"), r"\P{Lu}+"), _only(F.col("text"), r"\P{Nd}+")
-    hit = F.col("_hits")
-    common = F.array(*[((F.octet_length(hit) - F.octet_length(F.replace(hit, F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).cast("long") for w in vocabulary]).cast("array<long>")
-    e = d.select(
+    e = _counted(d, vocabulary).select(
         *rest, "n_words", "word_chars", symbols.alias("n_symbols"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeat.alias("n_repeat_words"),
-        letters.alias("_letters"), upper.alias("_upper"), digits.alias("_digits"), common.alias("common"),
+        letters.alias("_letters"), upper.alias("_upper"), digits.alias("_digits"), "common",
     )
     chars = F.array(F.col("_letters") - F.col("_upper"), F.col("_upper"), F.col("_digits"), F.col("n_symbols"), F.greatest(F.col("word_chars") - F.col("_letters") - F.col("_digits") - F.col("n_symbols"), F.lit(0).cast("long")))
     return e.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", chars.alias("chars"), "common")
@@ -118,15 +131,31 @@ def distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def limits(judged: DataFrame, *, margin: float = MARGIN) -> dict[int, tuple[float, float]]:
-    """For each band the most char_distance and word_distance, learnt from rows of judge() that are good text."""
+def limits(judged: DataFrame, *, margin: float = MARGIN, quantile: int = QUANTILE, least: int = LEAST_GOOD) -> dict[int, tuple[float, float]]:
+    """For each band the most char_distance and word_distance, learnt from rows of judge() that are good text.
+
+    Rows are counted by band and step of distance, so what reaches the driver has a bound: bands x 2 x (STEPS + 1) counts.
+    """
     band = F.greatest(*[F.when(F.col("n_words") >= b, b).otherwise(0) for b in BANDS])
-    farthest = [F.max(c).alias(c) for c in ("char_distance", "word_distance")]
-    found = {r["band"]: r for r in judged.where("NOT base_failed").groupBy(band.alias("band")).agg(*farthest).collect()}
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.ceil(F.col(c) * STEPS).alias("step")) for i, c in enumerate(("char_distance", "word_distance"))])).alias("s")
+    counted = judged.where("NOT base_failed").select(band.alias("band"), steps).select("band", "s.*").where("step IS NOT NULL").groupBy("band", "which", "step").agg(F.count("*").alias("n"))
+    found: dict[tuple, list] = {}
+    for r in sorted(counted.collect()):
+        found.setdefault((r["band"], r["which"]), []).append((r["step"], r["n"]))
+
+    def limit(steps: list[tuple[int, int]], otherwise: float) -> float:
+        total, so_far = sum(n for _, n in steps), 0
+        if total < least:
+            return otherwise
+        for step, n in steps:
+            so_far += n
+            if 100 * so_far >= quantile * total:
+                return step / STEPS * margin
+        return otherwise
+
     out, last = {}, (MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE)
     for b in BANDS:
-        own = (found[b]["char_distance"], found[b]["word_distance"]) if b in found else (None, None)
-        out[b] = last = tuple(x * margin if x is not None else y for x, y in zip(own, last, strict=True))
+        out[b] = last = tuple(limit(found.get((b, i), []), y) for i, y in enumerate(last))
     return out
 
 
@@ -183,6 +212,8 @@ def _sql() -> str:
 {name}_d AS (SELECT k, min(d) AS d FROM (SELECT k, x.lang, {js} AS d FROM (SELECT {name}_l.k, {name}_q.lang, c / greatest(total, 1) AS p, q FROM {name}_l JOIN {name}_q USING (i)) x GROUP BY k, x.lang) GROUP BY k)"""
 
     bands = ", ".join(f"({b})" for b in BANDS)
+    held = f"""l{{m}} AS (SELECT band, min(step) AS {{m}} FROM (SELECT band, s{{m}} AS step, sum(count(*)) OVER (PARTITION BY band ORDER BY s{{m}}) AS n, sum(count(*)) OVER (PARTITION BY band) AS total
+  FROM st WHERE s{{m}} IS NOT NULL GROUP BY band, s{{m}}) WHERE total >= {LEAST_GOOD} AND 100 * n >= {QUANTILE} * total GROUP BY band)"""
     return rf"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 voc AS (SELECT DISTINCT v FROM (SELECT lang, v, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, v) AS r
   FROM (SELECT lang, lower(unnest(w)) AS v FROM d WHERE lang IS NOT NULL) GROUP BY lang, v) WHERE r <= {COMMON}),
@@ -198,9 +229,12 @@ f AS (SELECT *, [le - up, up, di, n_symbols, greatest(word_chars - le - di - n_s
 v AS (SELECT f.*, CASE WHEN n_chars >= {MIN_CHARS} THEN round(ch_d.d, 9) END AS cd, CASE WHEN n_words >= {MIN_WORDS} THEN round(wo_d.d, 9) END AS wd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
   FROM f LEFT JOIN ch_d USING (k) LEFT JOIN wo_d USING (k)),
 x AS (SELECT *, (SELECT max(b) FROM (VALUES {bands}) AS bs(b) WHERE b <= n_words) AS band FROM v),
-far AS (SELECT b, max(cd) AS c, max(wd) AS o FROM (VALUES {bands}) AS bs(b) LEFT JOIN (SELECT * FROM x SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id) WHERE NOT base_failed) ON band = b GROUP BY b),
-lim AS (SELECT b, coalesce(last_value(c IGNORE NULLS) OVER s * {MARGIN}::DOUBLE, {MOST_CHAR_DISTANCE}) AS lc, coalesce(last_value(o IGNORE NULLS) OVER s * {MARGIN}::DOUBLE, {MOST_WORD_DISTANCE}) AS lo
-  FROM far WINDOW s AS (ORDER BY b ROWS UNBOUNDED PRECEDING))
+good AS (SELECT * FROM x SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id) WHERE NOT base_failed),
+st AS (SELECT band, ceil(cd * {STEPS}) AS sc, ceil(wd * {STEPS}) AS so FROM good),
+{held.format(m="c")},
+{held.format(m="o")},
+lim AS (SELECT b, coalesce(last_value(c IGNORE NULLS) OVER s / {STEPS}::DOUBLE * {MARGIN}::DOUBLE, {MOST_CHAR_DISTANCE}) AS lc, coalesce(last_value(o IGNORE NULLS) OVER s / {STEPS}::DOUBLE * {MARGIN}::DOUBLE, {MOST_WORD_DISTANCE}) AS lo
+  FROM (VALUES {bands}) AS bs(b) LEFT JOIN lc ON lc.band = b LEFT JOIN lo ON lo.band = b WINDOW s AS (ORDER BY b ROWS UNBOUNDED PRECEDING))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(cd, 0) > lc OR coalesce(wd, 0) > lo) AS kept,
   round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM x JOIN lim ON b = band"""
 
