@@ -47,6 +47,28 @@ def test_malformed_corpus(spark, tmp_path, text):
         C.read_corpus(spark, str(tmp_path))
 
 
+def test_corpus_of_many_files(spark, tmp_path):
+    want = []
+    for f in range(60):  # of files with none to seven provisions, some with null values and texts that are not ASCII
+        own = [{"citation_id": f"F{f}-{i}", "title": "t" * i, "text": None if i == 3 else f"r\u00e8gle {i}", "keywords": ["k", None][: i % 3]} for i in range(f * 5 % 8)]
+        (tmp_path / f"f{f:03}.json").write_text(json.dumps({"verified_real_text": True, "provisions": own}))
+        want += [(p["citation_id"], p["title"], p["text"], p["keywords"], f"f{f:03}.json") for p in own]
+    found = C.read_corpus(spark, str(tmp_path))
+    assert found.verified and found.provisions.schema.simpleString() == spark.createDataFrame([], C.SCHEMA).schema.simpleString()
+    assert [tuple(r) for r in found.provisions.orderBy("ordinal").collect()] == [(*w, i) for i, w in enumerate(want)]
+    (tmp_path / "f030.json").write_text("[]")
+    (tmp_path / "f045.json").write_text("{")
+    with pytest.raises(CorpusError, match="f030.json: expected an object"):  # the first by name
+        C.read_corpus(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("content", [b'{"provisions": [{"citation_id": 1, "title": "t", "text": "x"}]}', b'{"provisions": [{"citation_id": "1", "title": "t", "text": "x", "keywords": null}]}', b"\xff{}"])
+def test_values_of_another_type(spark, tmp_path, content):
+    (tmp_path / "x.json").write_bytes(content)
+    with pytest.raises(CorpusError):
+        C.read_corpus(spark, str(tmp_path))
+
+
 def test_missing_corpus(spark, tmp_path):
     for path in (tmp_path / "none", tmp_path):
         with pytest.raises(CorpusError):
