@@ -97,58 +97,77 @@ def sweep(measured: DataFrame, many: dict[str, Thresholds]) -> DataFrame:
     return spread.groupBy(F.col("_t.setting").alias("setting"), verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-#: Axis ranks that the dense grid of a sweep may have, and settings of a table at most (their thresholds come to the driver).
-MOST_CELLS, MOST_SETTINGS = 1 << 20, 100_000
+#: Axis ranks that the dense grid of a sweep may have, and thresholds of one axis that come to the driver.
+MOST_CELLS, MOST_STEPS = 1 << 20, 1000
+#: Where there are more: combinations of thresholds in a block, parts of the accounts that each block meets. Combinations up to which their counts are sent to the settings.
+BLOCK, PARTS, MOST_SENT = 4096, 64, 100_000
 
 
 def sweep_table(measured: DataFrame, settings: DataFrame) -> DataFrame:
-    """(setting, verdict, n) of the default rule for each row of settings (setting, and a column for each threshold), with no work for accounts x settings.
+    """(setting, verdict, n) of the default rule for the rows of settings (setting, and a column for each threshold), with no work for accounts x settings.
 
-    A signal only matters by how many of the settings' thresholds on its axis it meets. Accounts are counted by these four ranks; sums along the axes then give, for every
-    setting at once, the accounts with the device signal and those of them with no other signal. Verdicts that no account has are left out. The grid has one place for each combination of
-    ranks; where thresholds are so many that it would pass MOST_CELLS, counted ranks meet the settings instead.
+    Any number of settings: equal combinations of thresholds are decided once. A signal only matters by how many of the thresholds on its axis it meets. Accounts are counted by these four
+    ranks; sums along the axes then give, for every combination at once, the accounts with the device signal and those of them with no other signal. Verdicts that no account has are left
+    out; rows of settings with one name are added up. The grid has one place for each combination of ranks; where thresholds are so many that it would pass MOST_CELLS, distinct signals
+    meet blocks of combinations instead.
     """
-    spark, names = measured.sparkSession, [f.name for f in dataclasses.fields(Thresholds)]
-    clustering, device, hops, speed = names
-    n_settings = settings.count()
-    if n_settings > MOST_SETTINGS:
-        raise ThresholdError(f"more than {MOST_SETTINGS} settings")
-    settings = settings.select("setting", F.col(clustering).cast("double").alias(clustering), F.col(device).cast("double").alias(device), F.col(hops).cast("double").alias(hops), F.col(speed).cast("double").alias(speed))
-    steps = {n: sorted(r[0] for r in settings.select(n).distinct().collect()) for n in names}
-    if any(v is None for own in steps.values() for v in own):
+    names = [f.name for f in dataclasses.fields(Thresholds)]
+    settings = settings.select("setting", *[F.col(n).cast("double").alias(n) for n in names])
+    asked = materialise(settings.select(*names).distinct())
+    found = asked.agg(F.count("*").alias("n"), *[f(n).alias(f"{k}_{n}") for n in names for k, f in (("known", F.count), ("steps", F.count_distinct), ("min", F.min), ("max", F.max))]).collect()[0]
+    if not found["n"]:
+        return settings.select("setting", F.lit(SAFE).alias("verdict"), F.lit(0).cast("long").alias("n")).limit(0)
+    if any(found[f"known_{n}"] < found["n"] for n in names):
         raise ThresholdError("a threshold is missing")
-    for row in ({n: own[0] for n, own in steps.items()}, {n: own[-1] for n, own in steps.items()}):
-        Thresholds(**row)
+    for end in ("min", "max"):
+        Thresholds(**{n: found[f"{end}_{n}"] for n in names})
+    steps = {n: found[f"steps_{n}"] for n in names}
+    dense = max(steps.values()) <= MOST_STEPS and math.prod(k + 1 for k in steps.values()) <= MOST_CELLS
+    flagged = (_flagged_by_ranks if dense else _flagged_by_blocks)(measured, asked, names, found["n"])
+    flagged = F.broadcast(flagged) if found["n"] <= MOST_SENT else flagged
+    total = measured.count()
+    verdicts_ = F.array(F.struct(F.lit(FLAGGED).alias("verdict"), F.col("flagged").alias("n")), F.struct(F.lit(SAFE).alias("verdict"), (F.lit(total) - F.col("flagged")).alias("n")))
+    return settings.join(flagged, names).select("setting", F.inline(verdicts_)).where("n > 0").groupBy("setting", "verdict").agg(F.sum("n").cast("long").alias("n"))
+
+
+def _flagged_by_ranks(measured: DataFrame, asked: DataFrame, names: list[str], _: int) -> DataFrame:
+    """(a column for each threshold, flagged) of each row of asked, from running sums over the grid of ranks."""
+    clustering, device, hops, speed = names
+    steps = {n: sorted(r[0] for r in asked.select(n).distinct().collect()) for n in names}
     value = {clustering: "local_clustering_coefficient", device: "shared_device_account_count", hops: "max_multi_hop_velocity_hops", speed: "min_hop_interval_seconds"}
     axis = lambda n: F.array(*[F.lit(float(x)) for x in steps[n]])
     meets = lambda n, x, v: x <= v if n != speed else x >= v
     rank = lambda n, v: F.size(F.filter(axis(n), lambda x: meets(n, x, v)))
     signal = lambda n: F.col(value[n]).cast("double")
     counted = measured.select(*[F.when(signal(n).isNull(), 0).otherwise(rank(n, signal(n))).alias(n) for n in names]).groupBy(*names).agg(F.count("*").alias("n"))
-    # the rank at which a setting's threshold is met: all thresholds that are easier to meet, and itself
-    asked = settings.select("setting", *[rank(n, F.col(n)).alias(n) for n in names])
     size = {n: len(steps[n]) + 1 for n in names}
-    cells = math.prod(size.values())
-    if cells > MOST_CELLS:
-        held = F.broadcast(asked.select("setting", *[F.col(n).alias(f"_{n}") for n in names]))
-        met = counted.join(held, F.lit(True))
-        fires = {n: F.col(n) >= F.col(f"_{n}") for n in names}
-        flagged = met.where(fires[device] & (fires[clustering] | fires[hops] | fires[speed])).groupBy("setting").agg(F.sum("n").alias("flagged"))
-        both = asked.select("setting").join(flagged, "setting", "left").select("setting", F.coalesce("flagged", F.lit(0)).alias("flagged"))
-    else:
-        place, places = F.col("id"), {}
-        for n in names:
-            places[n] = (place % size[n]).cast("int").alias(n)
-            place = F.floor(place / size[n])
-        grid = spark.range(cells).select(*places.values()).join(counted, names, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-        for n in names:
-            order = F.desc(n) if n == device else F.asc(n)
-            grid = grid.withColumn("n", F.sum("n").over(Window.partitionBy(*[m for m in names if m != n]).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-        grid = materialise(grid)
-        others = [n for n in names if n != device]
-        with_device = grid.where(" AND ".join(f"{n} = {size[n] - 1}" for n in others)).select(device, F.col("n").alias("with_device"))
-        alone = grid.select(device, *[(F.col(n) + 1).alias(n) for n in others], F.col("n").alias("alone"))
-        both = asked.join(F.broadcast(with_device), device).join(alone, names).select("setting", (F.col("with_device") - F.col("alone")).alias("flagged"))
-    total = measured.count()
-    verdicts_ = F.array(F.struct(F.lit(FLAGGED).alias("verdict"), F.col("flagged").alias("n")), F.struct(F.lit(SAFE).alias("verdict"), (F.lit(total) - F.col("flagged")).alias("n")))
-    return both.select("setting", F.inline(verdicts_)).where("n > 0").select("setting", "verdict", F.col("n").cast("long").alias("n"))
+    place, places = F.col("id"), {}
+    for n in names:
+        places[n] = (place % size[n]).cast("int").alias(n)
+        place = F.floor(place / size[n])
+    grid = measured.sparkSession.range(math.prod(size.values())).select(*places.values()).join(counted, names, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    for n in names:
+        order = F.desc(n) if n == device else F.asc(n)
+        grid = grid.withColumn("n", F.sum("n").over(Window.partitionBy(*[m for m in names if m != n]).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    grid = materialise(grid)
+    others = [n for n in names if n != device]
+    ranks = {n: f"_{n}" for n in names}
+    with_device = grid.where(" AND ".join(f"{n} = {size[n] - 1}" for n in others)).select(F.col(device).alias(ranks[device]), F.col("n").alias("with_device"))
+    alone = grid.select(F.col(device).alias(ranks[device]), *[(F.col(n) + 1).alias(ranks[n]) for n in others], F.col("n").alias("alone"))
+    # the rank at which a threshold is met: all thresholds that are easier to meet, and itself
+    placed = asked.select(*names, *[rank(n, F.col(n)).alias(ranks[n]) for n in names])
+    return placed.join(F.broadcast(with_device), ranks[device]).join(alone, list(ranks.values())).select(*names, (F.col("with_device") - F.col("alone")).alias("flagged"))
+
+
+def _flagged_by_blocks(measured: DataFrame, asked: DataFrame, names: list[str], n_asked: int) -> DataFrame:
+    """The same from each pair of distinct signals and combinations, in blocks of bounded size; the pairs are counted where they meet."""
+    signals = ["local_clustering_coefficient", "shared_device_account_count", "max_multi_hop_velocity_hops", "min_hop_interval_seconds"]
+    counted = measured.groupBy(*signals).agg(F.count("*").alias("n"))
+    n_blocks = math.ceil(n_asked / BLOCK)
+    dealt = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = counted.withColumn("part", dealt(signals, PARTS)).withColumn("block", every(n_blocks))
+    right = asked.withColumn("block", dealt(names, n_blocks)).withColumn("part", every(PARTS))
+    met = left.join(right, ["block", "part"]).where(F.coalesce(device_gate(fired({n: F.col(n) for n in names})), F.lit(False)))
+    n = met.groupBy(*names).agg(F.sum("n").alias("flagged"))
+    return asked.join(n, names, "left").select(*names, F.coalesce("flagged", F.lit(0).cast("long")).alias("flagged"))
