@@ -67,3 +67,23 @@ def test_few_rows_nulls_and_repeated_ids(spark):
     assert retrieval.nearest(queries.limit(0), rows, 2, most_sent=0).count() == 0 and retrieval.nearest(queries, rows.where("row_id > 9"), 2, most_sent=0).count() == 0
     only_zeros = retrieval.nearest(queries, rows.where(F.col("row_id") == 3), 2, most_sent=0).collect()
     assert sorted((r["query_id"], r["row_id"]) for r in only_zeros) == [("a", 3), ("c", 3)]
+
+
+def test_queries_come_once_to_a_shelf(spark, rows, monkeypatch):
+    """Shelves of few rows, a cell larger than a shelf, queries in several blocks; every query may visit every cell, but is sent to shelves only."""
+    monkeypatch.setattr(C, "SHELF", 50)
+    monkeypatch.setattr(C, "LEAST_SHELF", 10)
+    monkeypatch.setattr(C, "MOST_HELD", 500)
+    rnd = np.random.default_rng(5)
+    r = np.concatenate([rnd.normal(size=(400, DIMS)), np.repeat(rnd.normal(size=(1, DIMS)), 130, 0)])
+    q = np.concatenate([r[:70], r[-1:]])
+    made = C.build(frame(spark, r, "row_id").repartition(3), n_cells=25)
+    placed, block = C._plan(made, len(q), 1)
+    assert block == 50 and placed.parts.max() > 1
+    for c in np.flatnonzero(placed.parts == 1):
+        assert made.size[placed.first == placed.first[c]].sum() <= 50
+    asked = C.units(frame(spark, q, "query_id"), "query_id").withColumn("floor", F.lit(-1.0))
+    sent = C.visits(asked, made, placed, 3, 6)
+    assert sent.count() == sent.select("query_id", "shelf").distinct().count() == len(q) * placed.n and placed.n < len(made.size)
+    got = {(x["query_id"], x["row_id"], x["rank"]) for x in C.search(frame(spark, q, "query_id"), made, 3, digits=6, large_block=20).collect()}
+    assert got == brute(q, r, 3, 6).keys()
