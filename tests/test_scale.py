@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veriledger import storage
 from veriledger.errors import IndexError_, LedgerError, RecordError
-from veriledger.operators import signals
+from veriledger.operators import evaluation, signals
 from veriledger.sources import ledger as L
 from veriledger.sources import model
 
@@ -50,6 +50,39 @@ def test_shared_devices(spark, devices):
     assert "Cartesian" not in plan
 
 
+def test_device_overlap_makes_no_pairs_of_accounts(spark, devices):
+    accounts = spark.createDataFrame([(a,) for a in devices], "account_id string")
+    pairs = spark.createDataFrame([*((a, d) for a, own in devices.items() for d in own), (None, "d1"), ("a1", None), ("stranger", "d2")], "account_id string, device_id string")
+    every = devices | {"stranger": {"d2"}}
+    want = {a: sum(1 for b, other in every.items() if b != a and own & other) for a, own in devices.items()}
+    for most in (0, 2, 5):
+        assert {r[0]: r[1] for r in evaluation.device_overlap(pairs, accounts, most_combined=most).collect()} == want, most
+    # one device for all: what joins make stays in proportion to the accounts
+    n = 3000
+    common = spark.range(n).select(F.col("id").alias("account_id"), F.lit("d").alias("device_id"))
+    found = evaluation.device_overlap(common, spark.range(n).toDF("account_id"))
+    assert found.where(F.col("shared_device_account_count") != n - 1).isEmpty()
+    most = _most_rows(found)
+    assert 0 < most < 20 * n
+
+
+def _most_rows(df) -> int:
+    """Rows of the largest output among the operators of a plan that has run."""
+    df.collect()
+    plan, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        children = node.children()
+        plan += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            plan.append(node.executedPlan())
+        if hasattr(node, "plan") and node.nodeName().endswith("QueryStage"):
+            plan.append(node.plan())
+    return most
+
+
 def test_dwell_and_clustering_with_a_hub(spark, moves):
     transfers = spark.createDataFrame(moves, L.TRANSFERS)
     want = {}

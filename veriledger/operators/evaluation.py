@@ -12,12 +12,30 @@ from veriledger.sources.corpus import read_corpus
 TOLERANCE = 1e-9
 
 
-def device_overlap(account_devices: DataFrame, accounts: DataFrame) -> DataFrame:
-    """(account_id, shared_device_account_count), counted by account and partner through each device."""
-    own = account_devices.select("account_id", "device_id").distinct()
-    other = own.select(F.col("account_id").alias("partner"), "device_id")
-    met = own.join(other, "device_id").where(F.col("partner") != F.col("account_id"))
-    n = met.groupBy("account_id").agg(F.count_distinct("partner").alias("n"))
+#: Devices of an account up to which its combinations of devices are counted.
+MOST_COMBINED = 5
+
+
+def device_overlap(account_devices: DataFrame, accounts: DataFrame, *, most_combined: int = MOST_COMBINED) -> DataFrame:
+    """(account_id, shared_device_account_count), without pairs of accounts where accounts have few devices.
+
+    How many accounts hold every device of a combination is counted for all combinations of an account's devices; it meets those of its odd combinations less those of its even ones.
+    Accounts with more than most_combined devices meet their partners one by one, and are added to those of the others.
+    """
+    known = account_devices.where("account_id IS NOT NULL AND device_id IS NOT NULL").select("account_id", "device_id")
+    owned = known.groupBy("account_id").agg(F.sort_array(F.collect_set("device_id")).alias("own"))
+    few, many = owned.where(F.size("own") <= most_combined), owned.where(F.size("own") > most_combined)
+    # the bits of `held` say which devices are in a combination
+    combined = few.withColumn("held", F.explode(F.sequence(F.lit(1), F.expr("CAST(shiftleft(1, size(own)) - 1 AS INT)"))))
+    combined = combined.select("account_id", F.expr("filter(own, (d, i) -> (shiftright(held, i) & 1) = 1)").alias("combination"), F.expr("IF(bit_count(held) % 2 = 1, 1, -1)").alias("sign"))
+    holders = combined.groupBy("combination").agg(F.count("*").alias("holders"))
+    counted = combined.join(holders, "combination").groupBy("account_id").agg((F.sum(F.col("sign") * F.col("holders")) - 1).alias("n"))
+    of_many = many.select("account_id", F.explode("own").alias("device_id"))
+    met = of_many.join(known.withColumnRenamed("account_id", "partner"), "device_id").where("partner <> account_id").select("account_id", "partner").distinct()
+    # a partner with many devices has a row of its own for the same pair
+    both = met.union(met.join(few.select(F.col("account_id").alias("partner")), "partner", "left_semi").select("partner", "account_id"))
+    met_by = both.groupBy("account_id").agg(F.count("*").alias("n"))
+    n = counted.union(met_by).groupBy("account_id").agg(F.sum("n").alias("n"))
     return accounts.select("account_id").join(n, "account_id", "left").select("account_id", F.coalesce("n", F.lit(0).cast("long")).alias("shared_device_account_count"))
 
 
